@@ -145,7 +145,7 @@ def minmax(spark, sf_dir):
 
 
 def onehot_label(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", V.one_hot(F.col("label"), 8).alias("h"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", V.one_hot(F.col("label"), 10).alias("h"))
     text = F.array_join(F.transform("h", lambda x: x.cast("int")), "")
     return rows.select("vec_id", text.alias("one_hot"), V.arg_max(F.col("h")).alias("label"))
 
@@ -243,6 +243,6 @@ ORACLE = {
           CAST(0.5 AS DOUBLE) AS constant_scaled
         FROM part""",
     "q_onehot_label": """
-        SELECT vec_id, repeat('0', label) || '1' || repeat('0', 7 - label) AS one_hot,
+        SELECT vec_id, repeat('0', label) || '1' || repeat('0', 9 - label) AS one_hot,
                CAST(label AS BIGINT) AS label FROM embeddings""",
 }

@@ -62,7 +62,8 @@ def split_tokens(value: Column) -> Column:
 
 
 def token_counts(tokens: Column) -> Column:
-    """array<struct<token, n>> of an array of tokens.
+    """array<struct<token, n, distinct>> of an array of tokens: each token, how often it occurs, and
+    the number of distinct tokens.
 
     The array is sorted and its runs are measured, so the work stays in the row and grows with
     n log n. The one-element outer arrays bind a value once instead of copying its expression.
@@ -81,11 +82,12 @@ def token_counts(tokens: Column) -> Column:
             lambda start, k: F.struct(
                 F.get(s, start).alias("token"),
                 (F.coalesce(F.get(b, k + 1), F.size(s)) - start).alias("n"),
+                F.size(b).alias("distinct"),
             ),
         )
 
-    empty = F.array().cast("array<struct<token:string,n:int>>")
-    counted = F.transform(F.array(F.array_sort(tokens)), runs)[0]
+    empty = F.array().cast("array<struct<token:string,n:int,distinct:int>>")
+    counted = F.transform(F.array(F.sort_array(tokens)), runs)[0]
     return F.when(F.size(tokens) > 0, counted).otherwise(empty)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspark.sources.stored import stored
+from relspark.sources.stored import Stored, measured
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 BROADCAST_ROWS = 1_000_000
@@ -18,12 +18,8 @@ HOT_KEYS = 1000
 ROWS_PER_PIECE = 2_000_000
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Measure a stored table: rows, and bytes as JSON text, which is above its in-memory size."""
-    if df.count() > BROADCAST_ROWS:
-        return False
-    width = F.sum(F.octet_length(F.to_json(F.struct("*"))))
-    return df.agg(F.coalesce(width, F.lit(0))).first()[0] <= BROADCAST_BYTES
+def fits_broadcast(table: Stored) -> bool:
+    return table.rows <= BROADCAST_ROWS and table.size <= BROADCAST_BYTES
 
 
 def hot_keys(big: DataFrame, on: list[str], rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:
@@ -69,29 +65,24 @@ def salted_join(
 
 def sized_join(
     big: DataFrame,
-    small: DataFrame,
+    small: DataFrame | Stored,
     on: list[str],
     spread: list[str],
     how: str = "inner",
-    is_stored: bool = False,
 ) -> DataFrame:
     """Broadcast `small` if it was measured to fit, so `big` is joined in place; else salt."""
-    if not is_stored:
-        small = stored(small)
-    if fits_broadcast(small):
-        return big.join(F.broadcast(small), on, how)
-    return salted_join(big, small, on, spread, how)
+    table = small if isinstance(small, Stored) else measured(small)
+    if fits_broadcast(table):
+        return big.join(F.broadcast(table.df), on, how)
+    return salted_join(big, table.df, on, spread, how)
 
 
 def semi_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: list[str],
-    spread: list[str],
-    is_stored: bool = False,
+    big: DataFrame, small: DataFrame | Stored, on: list[str], spread: list[str]
 ) -> DataFrame:
     """Rows of `big` whose key is in `small`, by the same two ways."""
-    keys = small.select(*on)
-    if not is_stored:
-        keys = keys.distinct()
-    return sized_join(big, keys, on, spread, "left_semi", is_stored)
+    if isinstance(small, Stored):
+        keys = Stored(small.df.select(*on), small.rows, small.size)
+    else:
+        keys = measured(small.select(*on).distinct())
+    return sized_join(big, keys, on, spread, "left_semi")

@@ -16,7 +16,7 @@ from relspark.functions.text import split_tokens, token_counts
 from relspark.operators.joins import semi_join, sized_join
 from relspark.operators.latest import latest_values, newest_time
 from relspark.sources.schemas import FEATURES, Feature
-from relspark.sources.stored import stored
+from relspark.sources.stored import Stored, measured, stored
 
 EDGE_COLUMNS = ["object_id", "other_id", "feature_type", "weight", "ts"]
 MATCHES_PER_PART = 10_000
@@ -35,53 +35,65 @@ def exact_weight(features: Sequence[Feature]) -> Column:
     return _by_feature({f.name: f.weight for f in features})
 
 
-def stored_targets(targets: DataFrame) -> DataFrame:
-    """The distinct target ids as a stored table."""
-    return stored(targets.select("object_id").distinct())
-
-
-def target_values(kb: DataFrame, targets: DataFrame, features: Sequence[Feature]) -> DataFrame:
-    """The latest value of each target per feature type. `targets` is a stored table."""
+def target_values(
+    kb: DataFrame, targets: DataFrame, features: Sequence[Feature] = FEATURES
+) -> Stored:
+    """The latest value of each target per feature type, stored; the left side of every edge."""
     asked = kb.where(F.col("feature_type").isin(_names(features)))
-    mine = semi_join(asked, targets, ["object_id"], ["feature_value", "ts"], is_stored=True)
-    return latest_values(mine).drop("ts")
+    mine = semi_join(asked, targets, ["object_id"], ["feature_value", "ts"])
+    return measured(latest_values(mine).drop("ts"))
 
 
 def exact_edges(
-    kb: DataFrame, targets: DataFrame, features: Sequence[Feature] = FEATURES
+    kb: DataFrame, targets: DataFrame | Stored, features: Sequence[Feature] = FEATURES
 ) -> DataFrame:
     """Edges to all objects that ever had the target's latest value; one edge each, newest time.
 
-    The knowledge base is first cut down to the values asked for, then to one row per object and
-    value, and only then joined to the targets.
+    `targets` has object ids, or is the result of `target_values`. The knowledge base is first cut
+    down to the values asked for, then to one row per object and value, and only then joined to the
+    targets.
     """
     exact = [f for f in features if f.exact]
     key = ["feature_type", "feature_value"]
-    wanted = stored(target_values(kb, stored_targets(targets), exact))
+    wanted = targets if isinstance(targets, Stored) else target_values(kb, targets, exact)
     history = kb.where(F.col("feature_type").isin(_names(exact)))
     held = newest_time(semi_join(history, wanted, key, ["object_id"]), [*key, "object_id"])
     others = held.withColumnRenamed("object_id", "other_id")
-    edges = sized_join(others, wanted, key, ["other_id"], is_stored=True)
+    edges = sized_join(others, wanted, key, ["other_id"])
     edges = edges.where(F.col("object_id") != F.col("other_id"))
     return edges.withColumn("weight", exact_weight(exact)).select(EDGE_COLUMNS)
 
 
+def _short_key(name: str, *parts: str) -> list[Column]:
+    """Two long columns with 120 bits of a SHA-256, a compact stand-in for a long value."""
+    digest = F.sha2(F.concat_ws("\0", *parts), 256)
+    return [
+        F.conv(F.substring(digest, start, 15), 16, 10).cast("long").alias(f"{name}_{i}")
+        for i, start in enumerate((1, 16))
+    ]
+
+
 def _token_rows(values: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per distinct token of each value, with its count and the number of distinct tokens."""
-    listed = values.withColumn("_counts", token_counts(split_tokens(F.col("feature_value"))))
-    listed = listed.withColumn("distinct", F.size("_counts"))
-    return listed.select(*keys, "distinct", F.inline("_counts"))
+    """(keys, token, n, distinct): one row per distinct token of each value.
+
+    The outer form is used because for the inner one Spark would copy the whole token expression
+    into a filter and push it to the scan; a value without tokens gives a NULL token, which no join
+    on the token keeps.
+    """
+    counts = token_counts(split_tokens(F.col("feature_value")))
+    return values.select(*keys, F.inline_outer(counts))
 
 
 def overlap_edges(
     kb: DataFrame,
-    targets: DataFrame,
+    targets: DataFrame | Stored,
     features: Sequence[Feature] = FEATURES,
     as_sets: bool = False,
     best_only: bool = False,
 ) -> DataFrame:
     """Edges to all objects whose comma list shares a token with the target's latest list.
 
+    `targets` has object ids, or is the result of `target_values`.
     Weight: shared tokens counted with repeats (`as_sets`: once each) over distinct tokens of both.
     An object whose history gives several weights has one edge each, or the greatest (`best_only`).
 
@@ -89,36 +101,32 @@ def overlap_edges(
     Tokens are counted inside each row, and targets with equal lists are scored once.
     """
     listed = [f for f in features if not f.exact]
-    wanted = target_values(kb, stored_targets(targets), listed)
-    wanted = stored(wanted.withColumn("list_id", F.sha2("feature_value", 256)))
-    lists = wanted.dropDuplicates(["feature_type", "list_id"])
-    index = _token_rows(lists, ["feature_type", "list_id"]).select(
-        "feature_type",
-        "list_id",
-        "token",
-        F.col("n").alias("list_n"),
-        F.col("distinct").alias("list_distinct"),
-    )
+    wanted = targets if isinstance(targets, Stored) else target_values(kb, targets, listed)
+    list_key = ["list_0", "list_1"]
+    asked = wanted.df.where(F.col("feature_type").isin(_names(listed)))
+    asked = asked.select("*", *_short_key("list", "feature_type", "feature_value"))
+    lists = asked.dropDuplicates(list_key)
+    index = _token_rows(lists, ["feature_type", *list_key])
+    index = index.withColumnsRenamed({"n": "list_n", "distinct": "list_distinct"})
 
     history = kb.where(F.col("feature_type").isin(_names(listed)))
     history = newest_time(history, ["feature_type", "object_id", "feature_value"])
-    history = history.withColumn("value_id", F.sha2("feature_value", 256))
-    row = ["object_id", "value_id", "ts"]
-    tokens = _token_rows(history, ["feature_type", *row])
-    hits = sized_join(tokens, index, ["feature_type", "token"], row)
+    value_key = ["value_0", "value_1"]
+    history = history.select("*", *_short_key("value", "feature_value"))
+    row = ["object_id", *value_key]
+    tokens = _token_rows(history, ["feature_type", *row, "ts"])
+    hits = sized_join(
+        tokens, index.where(F.col("token").isNotNull()), ["feature_type", "token"], row
+    )
     union = F.max("distinct") + F.max("list_distinct") - F.count("*")
     shared = F.count("*") if as_sets else F.sum(F.least("n", "list_n"))
-    scored = hits.groupBy("feature_type", "list_id", "object_id", "value_id", "ts").agg(
-        (shared / union).alias("weight")
+    scored = hits.groupBy(*list_key, *row).agg(
+        (shared / union).alias("weight"), F.max("ts").alias("ts")
     )
     others = scored.withColumnRenamed("object_id", "other_id")
-    edges = sized_join(
-        others,
-        wanted.select("feature_type", "list_id", "object_id"),
-        ["feature_type", "list_id"],
-        ["other_id"],
-        is_stored=True,
-    ).where(F.col("object_id") != F.col("other_id"))
+    owners = Stored(asked.drop("feature_value"), wanted.rows, wanted.size)
+    edges = sized_join(others, owners, list_key, ["other_id"])
+    edges = edges.where(F.col("object_id") != F.col("other_id"))
     pair = ["object_id", "other_id", "feature_type"]
     if best_only:
         best = F.max(F.struct("weight", "ts")).alias("b")
@@ -134,12 +142,12 @@ def primary_relationships(
     best_only: bool = False,
 ) -> DataFrame:
     """All edges of the targets, over all features."""
-    targets = stored_targets(targets)
+    wanted = target_values(kb, targets, features)
     parts = []
     if any(f.exact for f in features):
-        parts.append(exact_edges(kb, targets, features))
+        parts.append(exact_edges(kb, wanted, features))
     if any(not f.exact for f in features):
-        parts.append(overlap_edges(kb, targets, features, as_sets, best_only))
+        parts.append(overlap_edges(kb, wanted, features, as_sets, best_only))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -194,9 +202,9 @@ def relationship_records(
     no row and no task has to hold an unbounded list. A match goes to a part by hash of its id.
     """
     group = ["object_id", "feature_type"]
-    targets, edges = stored_targets(targets), stored(edges)
+    targets, edges = measured(targets.select("object_id").distinct()), stored(edges)
     asked = kb.where(F.col("feature_type").isin(_names(features)))
-    mine = semi_join(asked, targets, ["object_id"], ["feature_type", "ts"], is_stored=True)
+    mine = semi_join(asked, targets, ["object_id"], ["feature_type", "ts"])
     owned = mine.select(*group).distinct()
     sizes = edges.groupBy(*group).agg(F.ceil(F.count("*") / matches_per_part).alias("_parts"))
     placed = sized_join(edges, sizes, group, ["other_id"]).withColumn(
@@ -214,7 +222,7 @@ def relationship_records(
         .pivot("column", [f.column for f in features])
         .agg(F.max(F.struct(F.size("matches"), "matches"))["matches"])
     )
-    bare = targets.withColumn("part", F.lit(0))
+    bare = targets.df.withColumn("part", F.lit(0))
     return bare.join(wide, ["object_id", "part"], "full").withColumn("ts", ts)
 
 

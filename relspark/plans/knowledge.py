@@ -64,9 +64,8 @@ def result_features(results: DataFrame, drop_empty: bool = False) -> DataFrame:
         feature("yara_rules", F.col("rules")),
         feature("called_domains", F.nullif(F.col("urls"), F.lit(""))),
     )
-    return parsed.select(
-        *RESULT_KEY, F.inline(F.filter(found, lambda f: f["feature_value"].isNotNull()))
-    )
+    # the outer form, or Spark would evaluate all of the above a second time in a filter
+    return parsed.select(*RESULT_KEY, F.inline_outer(found)).where("feature_value IS NOT NULL")
 
 
 def build_knowledge_base(

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,6 +22,15 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+@dataclass(frozen=True)
+class Stored:
+    """A stored table with its number of rows and its size as JSON text, measured as it was written."""
+
+    df: DataFrame
+    rows: int
+    size: int
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write the rows to a table in the shared folder and read them from there.
 
@@ -30,3 +41,18 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/relspark/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def measured(df: DataFrame) -> Stored:
+    """Store a table and measure it in the same pass; the text size is above the in-memory size."""
+    seen = Observation()
+    width = F.octet_length(F.to_json(F.struct(*df.columns)))
+    table = stored(
+        df.observe(
+            seen,
+            F.count(F.lit(1)).alias("rows"),
+            F.coalesce(F.sum(width), F.lit(0)).alias("size"),
+        )
+    )
+    found = seen.get
+    return Stored(table, found.get("rows", 0), found.get("size", 0))
