@@ -19,6 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal the rows of a small table out to all cores; a table with enough splits is left as is.
+
+    For text that is costly to process but lies in fewer files than there are cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def documents_of(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", *columns), "doc_id")
+
+
+def pages_of(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages").select("page_id", *columns), "page_id")
+
+
 def doc_id() -> Column:
     return F.concat(F.lit("doc-"), F.col("doc_id"))
 
@@ -128,18 +145,24 @@ def disassembly_results(documents: DataFrame) -> DataFrame:
 
 def knowledge_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(objects, result metadata, gzip result data) of all documents and pages."""
-    pages = table(spark, sf_dir, "pages")
-    documents = table(spark, sf_dir, "documents")
+    pages = pages_of(spark, sf_dir, "html")
+    documents = documents_of(spark, sf_dir, "text", "lang", "source", "n_chars")
     data = peinfo_results(documents).unionByName(yara_results(pages))
     data = data.unionByName(sandbox_results(pages))
-    objects = documents.select(doc_id().alias("object_id")).unionByName(
-        pages.select(page_id().alias("object_id"))
-    )
-    meta = data.select("object_id", "service_name")
-    return objects, meta, data.withColumn("results", gzip_text("results"))
-
-
-def document_inputs(spark: SparkSession, sf_dir: str, make) -> tuple[DataFrame, DataFrame]:
+    ids = table(spark, sf_dir, "documents").select(doc_id().alias("object_id"))
+    page_ids = table(spark, sf_dir, "pages").select(page_id().alias("object_id"))
+    services = ((ids, "peinfo"), (page_ids, "yara"), (page_ids, "CUCKOO"))
+    meta = None
+    for objects, service in services:
+        rows = objects.withColumn("service_name", F.lit(service))
+        meta = rows if meta is None else meta.unionByName(rows)
+    return ids.unionByName(page_ids), meta, data.withColumn("results", gzip_text("results"))
+
+
+def document_inputs(
+    spark: SparkSession, sf_dir: str, service: str, make
+) -> tuple[DataFrame, DataFrame]:
     """(result metadata, result data as text) of one service over all documents."""
-    data = make(table(spark, sf_dir, "documents"))
-    return data.select("object_id", "service_name"), data
+    data = make(documents_of(spark, sf_dir, "text", "lang", "source", "n_chars"))
+    ids = table(spark, sf_dir, "documents").select(doc_id().alias("object_id"))
+    return ids.withColumn("service_name", F.lit(service)), data

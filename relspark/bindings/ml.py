@@ -9,6 +9,7 @@ from relspark.bindings.derived import (
     disassembly_results,
     doc_id,
     document_inputs,
+    documents_of,
     peinfo_results,
     scan_results,
     table,
@@ -42,15 +43,15 @@ def stop_words(spark, sf_dir) -> DataFrame:
 
 
 def scans(spark, sf_dir):
-    return document_inputs(spark, sf_dir, scan_results)
+    return document_inputs(spark, sf_dir, "virustotal", scan_results)
 
 
 def pe_inputs(spark, sf_dir):
-    return document_inputs(spark, sf_dir, peinfo_results)
+    return document_inputs(spark, sf_dir, "peinfo", peinfo_results)
 
 
 def disassemblies(spark, sf_dir):
-    return document_inputs(spark, sf_dir, disassembly_results)
+    return document_inputs(spark, sf_dir, "objdump", disassembly_results)
 
 
 def ints(array: str):
@@ -59,19 +60,19 @@ def ints(array: str):
 
 def long_form(df: DataFrame, *keys: str) -> DataFrame:
     """(keys, pos, value) of the non-zero entries of `features`."""
-    entries = F.transform("features", lambda x, i: F.struct(i.alias("pos"), F.round(x, 6).alias("value")))
-    entries = F.filter(entries, lambda e: e["value"] != 0.0)
-    return df.select(*keys, F.inline_outer(entries)).where("pos IS NOT NULL")
+    entries = df.select(*keys, F.posexplode_outer("features").alias("pos", "value"))
+    value = F.round("value", 6)
+    return entries.where("value <> 0").withColumn("value", value).where("value <> 0")
 
 
 def tokens(spark, sf_dir):
-    terms = words_of(table(spark, sf_dir, "documents"), "doc_id").where("term IS NOT NULL")
+    terms = words_of(documents_of(spark, sf_dir, "text"), "doc_id").where("term IS NOT NULL")
     return terms.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
 def stop_list(spark, sf_dir):
     """Tokens that are on no benchmark item; repeated tokens stay and are counted."""
-    kept = without(words_of(table(spark, sf_dir, "documents")), stop_words(spark, sf_dir))
+    kept = without(words_of(documents_of(spark, sf_dir, "text")), stop_words(spark, sf_dir))
     return term_counts(kept)
 
 
@@ -128,7 +129,7 @@ def opcode_codes(spark, sf_dir):
 
 def sequence_codes(spark, sf_dir):
     """Word sequences of documents encoded against a vocabulary kept in a table."""
-    documents = table(spark, sf_dir, "documents")
+    documents = documents_of(spark, sf_dir, "text")
     vocab = stored(vocabulary(words_of(documents), WORDS_OVER))
     rows = documents.select("doc_id", detection_tokens(F.col("text")).alias("terms"))
     coded = encode_sequences(stored(rows), ["doc_id"], "terms", vocab)
@@ -149,8 +150,8 @@ def quality_labels(spark, sf_dir):
 
 def document_training_set(spark, sf_dir):
     pe = P.pe_features(*pe_inputs(spark, sf_dir), IMPORTS_OVER)
-    opcodes = P.opcode_features(*disassemblies(spark, sf_dir))
-    return P.training_set(quality_labels(spark, sf_dir), pe, opcodes)
+    opcodes = P.opcode_features(*disassemblies(spark, sf_dir), length=None)
+    return P.training_set(quality_labels(spark, sf_dir), pe, opcodes, last_length=V.SEQUENCE_LENGTH)
 
 
 def feature_join(spark, sf_dir):

@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from relspark.bindings.basics import EVENT_KB, SQL_TIME, event_knowledge, sql_tokens, time_text
-from relspark.bindings.derived import LINK, knowledge_inputs, links, page_id, table
+from relspark.bindings.derived import (
+    LINK,
+    documents_of,
+    knowledge_inputs,
+    links,
+    page_id,
+    pages_of,
+    table,
+)
 from relspark.operators import relationships as R
 from relspark.plans import app
 from relspark.plans.knowledge import build_knowledge_base
@@ -37,7 +45,7 @@ def knowledge(spark, sf_dir):
 
 def top_pages(spark, sf_dir):
     """The pages with the most links, ties by id."""
-    pages = table(spark, sf_dir, "pages").select(page_id().alias("object_id"), F.size(links()).alias("n"))
+    pages = pages_of(spark, sf_dir, "html").select(page_id().alias("object_id"), F.size(links()).alias("n"))
     return pages.orderBy(F.desc("n"), "object_id").limit(TOP)
 
 
@@ -45,15 +53,18 @@ def word_knowledge(spark, sf_dir):
     """The words of documents and benchmark items as comma lists."""
     value = F.regexp_replace("text", "[ \n\t]+", ",").alias("feature_value")
 
-    def rows(name: str, prefix: str, key: str):
-        return table(spark, sf_dir, name).select(
+    def rows(df, prefix: str, key: str):
+        return df.select(
             F.concat(F.lit(prefix), key).alias("object_id"),
             F.lit("words").alias("feature_type"),
             value,
             stamp().alias("ts"),
         )
 
-    return rows("documents", "doc-", "doc_id").unionByName(rows("benchmark", "item-", "item_id"))
+    documents = documents_of(spark, sf_dir, "text")
+    return rows(documents, "doc-", "doc_id").unionByName(
+        rows(table(spark, sf_dir, "benchmark"), "item-", "item_id")
+    )
 
 
 def edge_columns(edges):

@@ -58,12 +58,19 @@ def section_numbers(sections: Column, timestamp: Column) -> Column:
 
 
 def multi_hot(indices: Column, size: int | Column) -> Column:
-    """0/1 array of the given length with ones at the indices."""
+    """0/1 array of the given length with ones at the indices, which are sorted and distinct.
+
+    Built from runs of zeros that each end in a one, so the work grows with the length only.
+    """
     size = F.lit(size) if isinstance(size, int) else size
-    flags = F.transform(
-        F.sequence(F.lit(0), size - 1), lambda i: F.array_contains(indices, i).cast("double")
+    last = F.coalesce(F.try_element_at(indices, F.lit(-1)), F.lit(-1))
+    runs = F.transform(
+        indices,
+        lambda x, i: F.concat(
+            zeros(x - F.coalesce(F.get(indices, i - 1), F.lit(-1)) - 1), F.array(F.lit(1.0))
+        ),
     )
-    return F.when(size > 0, flags).otherwise(F.array().cast("array<double>"))
+    return F.concat(F.flatten(runs), zeros(size - last - 1))
 
 
 def one_hot(number: Column, size: int) -> Column:
