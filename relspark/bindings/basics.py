@@ -61,7 +61,7 @@ def scan_filter_project(spark, sf_dir):
 def meta_data_join(spark, sf_dir):
     results = event_results(spark, sf_dir)
     meta = results.where(F.col("value") > 100).select("object_id", "service_name")
-    return listed(results, meta).select("object_id", "service_name", "event_id").distinct()
+    return listed(results, meta, results, ["event_id"]).select("object_id", "service_name", "event_id").distinct()
 
 
 def json_member(spark, sf_dir):

@@ -89,8 +89,9 @@ def codes(terms: Column, vocabulary: list[str] | tuple[str, ...]) -> Column:
     return F.transform(terms, lambda t: F.array_position(listed, t).cast("double"))
 
 
-def fixed_length(array: Column, length: int) -> Column:
+def fixed_length(array: Column, length: int | Column) -> Column:
     """Pad with 0 or cut to the width that feature vectors must share."""
+    length = F.lit(length) if isinstance(length, int) else length
     return F.slice(F.concat(array, zeros(F.greatest(F.lit(0), length - F.size(array)))), 1, length)
 
 

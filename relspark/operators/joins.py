@@ -44,14 +44,16 @@ def salted_join(
     on: list[str],
     spread: list[str],
     how: str = "inner",
+    counted: DataFrame | None = None,
     rows_per_piece: int = ROWS_PER_PIECE,
 ) -> DataFrame:
     """Join where each hot key of `big` is cut into pieces by a hash of the `spread` columns.
 
     Rows of `small` with a hot key are repeated once per piece, all others once, so the result is
-    that of the plain join. `how` is inner, left or left_semi.
+    that of the plain join. `how` is inner, left or left_semi. Keys are counted in `counted` if
+    given: a table with about the same keys as `big` that is cheaper to read.
     """
-    hot = hot_keys(big, on, rows_per_piece)
+    hot = hot_keys(big if counted is None else counted, on, rows_per_piece)
     pieces = F.coalesce("_pieces", F.lit(1))
     left = big.join(F.broadcast(hot), on, "left").withColumn(
         "_piece", F.pmod(F.xxhash64(*spread), pieces).cast("int")
@@ -69,20 +71,25 @@ def sized_join(
     on: list[str],
     spread: list[str],
     how: str = "inner",
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Broadcast `small` if it was measured to fit, so `big` is joined in place; else salt."""
     table = small if isinstance(small, Stored) else measured(small)
     if fits_broadcast(table):
         return big.join(F.broadcast(table.df), on, how)
-    return salted_join(big, table.df, on, spread, how)
+    return salted_join(big, table.df, on, spread, how, counted)
 
 
 def semi_join(
-    big: DataFrame, small: DataFrame | Stored, on: list[str], spread: list[str]
+    big: DataFrame,
+    small: DataFrame | Stored,
+    on: list[str],
+    spread: list[str],
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Rows of `big` whose key is in `small`, by the same two ways."""
     if isinstance(small, Stored):
         keys = Stored(small.df.select(*on), small.rows, small.size)
     else:
         keys = measured(small.select(*on).distinct())
-    return sized_join(big, keys, on, spread, "left_semi")
+    return sized_join(big, keys, on, spread, "left_semi", counted)

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from relspark.functions import json_fields as J
 from relspark.functions.gzip_text import decode_results
 from relspark.functions.text import clean_rules
-from relspark.sources.tables import only_batch
+from relspark.operators.joins import fits_broadcast, semi_join
+from relspark.sources.schemas import OBJECTS
+from relspark.sources.stored import measured
+from relspark.sources.tables import ISIN_LIMIT, local_rows, only_batch
 
 # Service names as stored in the result tables.
 PEINFO, YARA, CUCKOO = "peinfo", "yara", "CUCKOO"
@@ -16,23 +19,40 @@ PEINFO, YARA, CUCKOO = "peinfo", "yara", "CUCKOO"
 RESULT_KEY = ["object_id", "service_name"]
 
 
-def service_results(
-    data: DataFrame, services: list[str], batch: DataFrame | list[str] | None = None
-) -> DataFrame:
-    """Decoded results of some services, of all objects or of a batch of ids."""
-    rows = data.where(F.col("service_name").isin(services))
-    if batch is not None:
-        rows = only_batch(rows, batch, "object_id", ["service_name"])
-    return decode_results(rows)
+def service_results(data: DataFrame, services: list[str]) -> DataFrame:
+    """Decoded results of some services."""
+    return decode_results(data.where(F.col("service_name").isin(services)))
 
 
-def listed(features: DataFrame, meta: DataFrame) -> DataFrame:
+def listed(features: DataFrame, meta: DataFrame, data: DataFrame, spread: list[str]) -> DataFrame:
     """Rows whose (object_id, service_name) is in the result metadata.
 
-    Called on extracted features, not on the result blobs: the join then shuffles short rows, and
-    being a semi join it does not multiply rows where the metadata has repeats.
+    Called on features extracted from `data`, not on the result blobs: the join then shuffles short
+    rows, and being a semi join it does not multiply rows where the metadata has repeats. Hot keys
+    are counted in the key columns of `data`, so that nothing is extracted twice.
     """
-    return features.join(meta.select(*RESULT_KEY), RESULT_KEY, "left_semi")
+    keys = data.select(*RESULT_KEY)
+    return semi_join(features, meta, RESULT_KEY, spread, counted=keys)
+
+
+def in_batch(
+    meta: DataFrame, data: DataFrame, batch: DataFrame | list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Cut metadata and data down to a batch of ids.
+
+    A short list becomes an IN filter, a batch that fits a broadcast is joined in place. A larger
+    one cuts only the metadata, which `listed` then applies to the extracted features: the result
+    is the same and the result blobs are never shuffled.
+    """
+    if not isinstance(batch, DataFrame) and len(batch) <= ISIN_LIMIT:
+        return only_batch(meta, batch, "object_id", []), only_batch(data, batch, "object_id", [])
+    if not isinstance(batch, DataFrame):
+        batch = local_rows(meta.sparkSession, [(b,) for b in batch], OBJECTS)
+    ids = measured(batch.select("object_id").distinct())
+    meta = semi_join(meta, ids, ["object_id"], ["service_name"])
+    if fits_broadcast(ids):
+        data = data.join(F.broadcast(ids.df), "object_id", "left_semi")
+    return meta, data
 
 
 def result_features(results: DataFrame, drop_empty: bool = False) -> DataFrame:
@@ -76,7 +96,10 @@ def build_knowledge_base(
     drop_empty: bool = False,
 ) -> DataFrame:
     """Knowledge-base rows of all listed results, or of the objects in `batch`."""
-    results = service_results(data, [PEINFO, YARA, CUCKOO], batch)
-    found = listed(result_features(results, drop_empty), meta)
+    if batch is not None:
+        meta, data = in_batch(meta, data, batch)
+    results = service_results(data, [PEINFO, YARA, CUCKOO])
+    spread = ["feature_type", "feature_value"]
+    found = listed(result_features(results, drop_empty), meta, data, spread)
     stamp = F.current_timestamp() if ts is None else ts
     return found.select("object_id", "feature_type", "feature_value", stamp.alias("ts"))
