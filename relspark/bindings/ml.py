@@ -72,8 +72,8 @@ def tokens(spark, sf_dir):
 
 def stop_list(spark, sf_dir):
     """Tokens that are on no benchmark item; repeated tokens stay and are counted."""
-    kept = without(words_of(documents_of(spark, sf_dir, "text")), stop_words(spark, sf_dir))
-    return term_counts(kept)
+    words = words_of(documents_of(spark, sf_dir, "text"), "doc_id")
+    return term_counts(without(words, stop_words(spark, sf_dir), ["doc_id"]))
 
 
 def keyword_vocab(spark, sf_dir):

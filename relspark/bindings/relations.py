@@ -84,6 +84,11 @@ def rel_groups(spark, sf_dir):
     return groups.select("feature_type", "feature_value", "object_id", time_text())
 
 
+def rel_tokens(spark, sf_dir):
+    index = R.token_index(word_knowledge(spark, sf_dir), WORDS)
+    return index.select("object_id", "token", "n", "distinct")
+
+
 def rel_exact(spark, sf_dir):
     """A report: the users with the greatest weight of related users, and who those are."""
     kb = event_knowledge(spark, sf_dir)
@@ -171,6 +176,7 @@ QUERIES = {
     "q_kb_build": kb_build,
     "q_related_counts": related_counts,
     "q_rel_groups": rel_groups,
+    "q_rel_tokens": rel_tokens,
     "q_rel_exact": rel_exact,
     "q_rel_overlap": rel_overlap,
     "q_rel_links": rel_links,
@@ -199,11 +205,21 @@ KB = f"""
 WEIGHTS = """CASE feature_type WHEN 'pehash' THEN 0.5 WHEN 'imphash' THEN 0.5
              WHEN 'binary_signature' THEN 1.0 END"""
 
-OVERLAP = f"""
+WORD_KB = """
+    kb AS (
+      SELECT 'doc-' || doc_id AS object_id, 'words' AS feature_type,
+             regexp_replace(text, '[ \\n\\t]+', ',', 'g') AS feature_value FROM documents
+      UNION ALL SELECT 'item-' || item_id, 'words', regexp_replace(text, '[ \\n\\t]+', ',', 'g')
+      FROM benchmark)"""
+
+TOKENS = f"""
     tok AS (SELECT object_id, feature_type, unnest({sql_tokens('feature_value')}) AS token
             FROM kb WHERE feature_type IN ('yara_rules', 'called_domains', 'words')),
     cnt AS (SELECT object_id, feature_type, token, count(*) AS n FROM tok GROUP BY ALL),
-    siz AS (SELECT object_id, feature_type, count(*) AS d FROM cnt GROUP BY ALL),
+    siz AS (SELECT object_id, feature_type, count(*) AS d FROM cnt GROUP BY ALL)"""
+
+OVERLAP = f"""
+    {TOKENS},
     overlap AS (
       SELECT a.object_id, b.object_id AS other_id, a.feature_type,
              CAST(sum(least(a.n, b.n)) AS DOUBLE) / (sa.d + sb.d - count(*)) AS weight
@@ -273,12 +289,12 @@ ORACLE = {
         FROM latest l JOIN best ON l.object_id = best.object_id
         JOIN held h USING (feature_type, feature_value)
         WHERE l.object_id <> h.object_id""",
+    "q_rel_tokens": f"""
+        WITH {WORD_KB}, {TOKENS}
+        SELECT object_id, token, CAST(n AS INTEGER) AS n, CAST(d AS INTEGER) AS "distinct"
+        FROM cnt JOIN siz USING (object_id, feature_type)""",
     "q_rel_overlap": f"""
-        WITH kb AS (
-          SELECT 'doc-' || doc_id AS object_id, 'words' AS feature_type,
-                 regexp_replace(text, '[ \\n\\t]+', ',', 'g') AS feature_value FROM documents
-          UNION ALL SELECT 'item-' || item_id, 'words', regexp_replace(text, '[ \\n\\t]+', ',', 'g')
-          FROM benchmark),
+        WITH {WORD_KB},
         targets AS (SELECT 'item-' || item_id AS object_id FROM benchmark), {OVERLAP}
         SELECT object_id, other_id, feature_type, round(weight, 6) AS weight FROM overlap""",
     "q_rel_links": f"""

@@ -16,17 +16,21 @@ SIGNATURE_KEY = "Signature"
 URL_RECORD, URL_PATH = "Data", ("arguments", "url")
 OPCODES = "opcodes"
 
-PEINFO = (
-    "pehash variant, imphash variant, version_info array<struct<key:string,value:string>>, "
-    "timestamp struct<timestamp:double>, "
-    "pe_sections array<struct<section_name:string,entropy:double,virt_address:string,"
-    "virt_size:double,size:double>>, imports array<struct<dll:string,function:string>>"
-)
+PEINFO = {
+    "pehash": "variant",
+    "imphash": "variant",
+    "version_info": "array<struct<key:string,value:string>>",
+    "timestamp": "struct<timestamp:double>",
+    "pe_sections": "array<struct<section_name:string,entropy:double,virt_address:string,"
+    "virt_size:double,size:double>>",
+    "imports": "array<struct<dll:string,function:string>>",
+}
 DETECTIONS = "scans map<string,struct<result:string>>"
 
 
-def parse_peinfo(text: Column) -> Column:
-    return F.from_json(text, PEINFO)
+def parse_peinfo(text: Column, *fields: str) -> Column:
+    """The named members of a PE result; the others are skipped by the parser."""
+    return F.from_json(text, ", ".join(f"{name} {PEINFO[name]}" for name in fields))
 
 
 def string_only(member: Column) -> Column:

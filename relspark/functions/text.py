@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from relspark.functions.vectors import bind
+
 # The clean-up patterns of rule lists and detection names.
 RULE_DROPPED = r"[^a-zA-Z0-9.,_]"
 RULE_WORD = "yara"
@@ -53,12 +55,15 @@ def split_tokens(value: Column) -> Column:
 
     The empty string is one empty token, a string of commas only has none.
     """
-    cut = F.regexp_replace(value, ",+$", "")
-    return (
-        F.when(value == "", F.array(F.lit("")))
-        .when(cut == "", F.array().cast("array<string>"))
-        .otherwise(F.split(cut, ","))
-    )
+
+    def split(cut: Column) -> Column:
+        return (
+            F.when(value == "", F.array(F.lit("")))
+            .when(cut == "", F.array().cast("array<string>"))
+            .otherwise(F.split(cut, ","))
+        )
+
+    return bind(F.regexp_replace(value, ",+$", ""), split)
 
 
 def token_counts(tokens: Column) -> Column:
@@ -66,29 +71,32 @@ def token_counts(tokens: Column) -> Column:
     the number of distinct tokens.
 
     The array is sorted and its runs are measured, so the work stays in the row and grows with
-    n log n. The one-element outer arrays bind a value once instead of copying its expression.
+    n log n.
     """
 
-    def runs(s: Column) -> Column:
-        starts = F.filter(
+    def run_starts(s: Column) -> Column:
+        return F.filter(
             F.sequence(F.lit(0), F.size(s) - 1),
             lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)),
         )
-        return F.transform(F.array(starts), lambda b: measure(s, b))[0]
 
-    def measure(s: Column, b: Column) -> Column:
+    def measure(s: Column, starts: Column) -> Column:
         return F.transform(
-            b,
+            starts,
             lambda start, k: F.struct(
                 F.get(s, start).alias("token"),
-                (F.coalesce(F.get(b, k + 1), F.size(s)) - start).alias("n"),
-                F.size(b).alias("distinct"),
+                (F.coalesce(F.get(starts, k + 1), F.size(s)) - start).alias("n"),
+                F.size(starts).alias("distinct"),
             ),
         )
 
     empty = F.array().cast("array<struct<token:string,n:int,distinct:int>>")
-    counted = F.transform(F.array(F.sort_array(tokens)), runs)[0]
-    return F.when(F.size(tokens) > 0, counted).otherwise(empty)
+
+    def count(s: Column) -> Column:
+        counted = bind(run_starts(s), lambda starts: measure(s, starts))
+        return F.when(F.size(s) > 0, counted).otherwise(empty)
+
+    return bind(F.sort_array(tokens), count)
 
 
 def overlap_score(left: Column, right: Column, as_sets: bool = False) -> Column:
@@ -97,17 +105,20 @@ def overlap_score(left: Column, right: Column, as_sets: bool = False) -> Column:
     Shared tokens, counted with repeats (or once each, `as_sets`), over distinct tokens of both.
     A text without tokens scores 0.
     """
-    a, b = split_tokens(left), split_tokens(right)
-    union = F.size(F.array_union(a, b))
-    if as_sets:
-        shared = F.size(F.array_intersect(a, b))
-    else:
-        common = F.transform(
-            token_counts(a),
-            lambda t: F.least(t["n"], F.size(F.filter(b, lambda x: x == t["token"]))),
-        )
-        shared = F.aggregate(common, F.lit(0), lambda acc, n: acc + n)
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), shared / union).otherwise(F.lit(0.0))
+
+    def score(a: Column, b: Column) -> Column:
+        union = F.size(F.array_union(a, b))
+        if as_sets:
+            shared = F.size(F.array_intersect(a, b))
+        else:
+            common = F.transform(
+                token_counts(a),
+                lambda t: F.least(t["n"], F.size(F.filter(b, lambda x: x == t["token"]))),
+            )
+            shared = F.aggregate(common, F.lit(0), lambda acc, n: acc + n)
+        return F.when((F.size(a) > 0) & (F.size(b) > 0), shared / union).otherwise(F.lit(0.0))
+
+    return bind(split_tokens(left), lambda a: bind(split_tokens(right), lambda b: score(a, b)))
 
 
 def qualified_name(library: Column, function: Column) -> Column:

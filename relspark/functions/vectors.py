@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ def zeros(n: int | Column) -> Column:
     return F.array_repeat(F.lit(0.0), n)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, however often `use` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def hex_to_double(text: Column) -> Column:
     """`0x...` as a number; no 31-bit limit."""
     return F.conv(F.substring(text, 3, 64), 16, 10).cast("double")
@@ -44,17 +51,19 @@ def section_numbers(sections: Column, timestamp: Column) -> Column:
 
     def number(section: Column, field: str) -> Column:
         value = section[field]
-        return hex_to_double(value) if field == "virt_address" else value
+        value = hex_to_double(value) if field == "virt_address" else value
+        return F.coalesce(value, F.lit(0.0))
 
-    named = F.transform(
+    def last_of(named: Column, name: str) -> Column:
+        last = F.try_element_at(F.filter(named, lambda s: s["section_name"] == name), F.lit(-1))
+        return bind(last, lambda s: F.array(*[number(s, field) for field in SECTION_FIELDS]))
+
+    plain = F.transform(
         sections,
         lambda s: s.withField("section_name", F.replace(s["section_name"], F.lit("\0"), F.lit(""))),
     )
-    values = []
-    for name in SECTIONS:
-        last = F.try_element_at(F.filter(named, lambda s: s["section_name"] == name), F.lit(-1))
-        values += [F.coalesce(number(last, field), F.lit(0.0)) for field in SECTION_FIELDS]
-    return F.array(*values, F.coalesce(timestamp, F.lit(0.0)))
+    fields = bind(plain, lambda named: F.concat(*[last_of(named, name) for name in SECTIONS]))
+    return F.concat(fields, F.array(F.coalesce(timestamp, F.lit(0.0))))
 
 
 def multi_hot(indices: Column, size: int | Column) -> Column:

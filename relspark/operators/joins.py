@@ -50,7 +50,7 @@ def salted_join(
     """Join where each hot key of `big` is cut into pieces by a hash of the `spread` columns.
 
     Rows of `small` with a hot key are repeated once per piece, all others once, so the result is
-    that of the plain join. `how` is inner, left or left_semi. Keys are counted in `counted` if
+    that of the plain join. `how` is inner, left, left_semi or left_anti. Keys are counted in `counted` if
     given: a table with about the same keys as `big` that is cheaper to read.
     """
     hot = hot_keys(big if counted is None else counted, on, rows_per_piece)

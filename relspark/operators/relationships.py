@@ -2,7 +2,7 @@
 
 An edge (object_id, other_id, feature_type, weight, ts) says that some value in the history of
 `other_id` matches the latest value of `object_id`. Edges are made for the targets asked for. What
-holds for all objects at once is kept in linear form: `exact_groups` and `related_counts`.
+holds for all objects at once is kept in linear form: `exact_groups`, `token_index`, `related_counts`.
 """
 
 from __future__ import annotations
@@ -162,6 +162,19 @@ def exact_groups(kb: DataFrame, features: Sequence[Feature] = FEATURES) -> DataF
     return newest_time(held, ["feature_type", "feature_value", "object_id"])
 
 
+def token_index(kb: DataFrame, features: Sequence[Feature] = FEATURES) -> DataFrame:
+    """(feature_type, object_id, ts, token, n, distinct): the inverted index of the comma lists.
+
+    The overlap relationships of every object in linear form: two lists overlap where they meet
+    under a token, and their score follows from the counts here. `ts` is the newest time of the list.
+    """
+    listed = [f for f in features if not f.exact]
+    history = kb.where(F.col("feature_type").isin(_names(listed)))
+    history = newest_time(history, ["feature_type", "object_id", "feature_value"])
+    tokens = _token_rows(history, ["feature_type", "object_id", "feature_value", "ts"])
+    return tokens.where(F.col("token").isNotNull()).drop("feature_value")
+
+
 def related_counts(kb: DataFrame, features: Sequence[Feature] = FEATURES) -> DataFrame:
     """Per object and exact feature: its latest value, the number of related objects, their weight.
 

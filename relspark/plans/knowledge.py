@@ -73,7 +73,7 @@ def result_features(results: DataFrame, drop_empty: bool = False) -> DataFrame:
         rules = F.nullif(rules, F.lit(""))
     parsed = results.select(
         *RESULT_KEY,
-        J.parse_peinfo(of(PEINFO)).alias("pe"),
+        J.parse_peinfo(of(PEINFO), "pehash", "imphash", "version_info").alias("pe"),
         rules.alias("rules"),
         F.array_join(J.called_urls(of(CUCKOO)), ",").alias("urls"),
     )
