@@ -9,6 +9,7 @@ from relspark.functions import json_fields as J
 from relspark.functions import vectors as V
 from relspark.functions.gzip_text import gunzip_text, gzip_text
 from relspark.functions.text import clean_rules, overlap_score
+from relspark.functions.time_ids import time_uuid, uuid_timestamp
 from relspark.operators.latest import latest_rows, latest_values
 from relspark.plans.features import min_max
 from relspark.plans.app import object_batch
@@ -134,6 +135,17 @@ def signature(spark, sf_dir):
     return text.select("conv_id", "turn", value.alias("signature"))
 
 
+def uuid_time(spark, sf_dir):
+    """Event times turned into time-based ids and read back."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    ids = events.select("event_id", time_uuid(F.col("ts"), "event_id").alias("uuid"))
+    return ids.select(
+        "event_id",
+        F.substring("uuid", 15, 1).alias("version"),
+        F.date_format(uuid_timestamp(F.col("uuid")), TIME).alias("ts"),
+    )
+
+
 def minmax(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     arrays = part.select("p_partkey", F.array(F.col("p_size").cast("double"), "p_retailprice", F.lit(3.0)).alias("features"))
@@ -164,6 +176,7 @@ QUERIES = {
     "q_gzip_roundtrip": gzip_roundtrip,
     "q_json_find_all": json_find_all,
     "q_signature": signature,
+    "q_uuid_time": uuid_time,
     "q_minmax": minmax,
     "q_onehot_label": onehot_label,
 }
@@ -232,6 +245,8 @@ ORACLE = {
     "q_signature": """
         SELECT conv_id, turn, replace(CASE WHEN role = 'user' THEN text ELSE role END, '"', '') AS signature
         FROM conversations""",
+    "q_uuid_time": f"""
+        SELECT event_id, '1' AS version, strftime(ts, {SQL_TIME}) AS ts FROM events""",
     "q_minmax": """
         SELECT p_partkey,
           round(CASE WHEN max(p_size) OVER () = min(p_size) OVER () THEN 0.5

@@ -12,11 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relspark.functions.gzip_text import gzip_text
 from relspark.functions.text import split_tokens, token_counts
 from relspark.operators.joins import semi_join, sized_join
 from relspark.operators.latest import latest_values, newest_time
 from relspark.sources.schemas import FEATURES, Feature
-from relspark.sources.stored import Stored, measured, stored
+from relspark.sources.stored import Stored, measured
 
 EDGE_COLUMNS = ["object_id", "other_id", "feature_type", "weight", "ts"]
 MATCHES_PER_PART = 10_000
@@ -210,12 +211,14 @@ def relationship_records(
 ) -> DataFrame:
     """The wide record: one array of {sha256, weight} per feature, sorted by id and weight.
 
+    `edges` are those of the targets; they are read twice and should be stored.
+
     NULL where the object lacks the feature, an empty array where nothing matched. An object whose
     matches exceed `matches_per_part` for a feature continues in further rows (`part` 1, 2, ...), so
     no row and no task has to hold an unbounded list. A match goes to a part by hash of its id.
     """
     group = ["object_id", "feature_type"]
-    targets, edges = measured(targets.select("object_id").distinct()), stored(edges)
+    targets = measured(targets.select("object_id").distinct())
     asked = kb.where(F.col("feature_type").isin(_names(features)))
     mine = semi_join(asked, targets, ["object_id"], ["feature_type", "ts"])
     owned = mine.select(*group).distinct()
@@ -245,6 +248,12 @@ def records_as_json(records: DataFrame, features: Sequence[Feature] = FEATURES)
     return records.select("object_id", "part", *lists, "ts")
 
 
+def records_as_blobs(records: DataFrame, features: Sequence[Feature] = FEATURES) -> DataFrame:
+    """The record with its lists as gzip JSON blobs, as they are exchanged with other stores."""
+    text = records_as_json(records, features)
+    return text.withColumns({f.column: gzip_text(f.column) for f in features})
+
+
 def above(edges: DataFrame, threshold: float) -> DataFrame:
     """Edges with a weight above the threshold."""
     return edges.where(F.col("weight") > threshold)

@@ -1,4 +1,5 @@
 import datetime as dt
+import gzip
 import random
 
 import pytest
@@ -63,6 +64,8 @@ def test_sample_record(spark):
     text = {r.object_id: r for r in R.records_as_json(records).collect()}
     assert text["x"].pehash == '[{"sha256":"z","weight":0.5}]'
     assert text["w"].imphash == "[]"
+    blobs = {r.object_id: r for r in R.records_as_blobs(records).collect()}
+    assert gzip.decompress(blobs["w"].imphash) == b"[]" and blobs["w"].pehash is None
 
 
 def random_kb(seed, objects=12):

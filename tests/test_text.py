@@ -1,10 +1,13 @@
+import datetime as dt
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from brute import overlap, split_list
 from relspark.functions import text as X
+from relspark.functions.time_ids import time_uuid, uuid_timestamp
 
 
 def one(spark, value, column):
@@ -89,3 +92,19 @@ def test_overlap_score_as_sets_and_random(spark):
     for r in rows:
         assert r.w == pytest.approx(overlap(r.l, r.r)), (r.l, r.r)
         assert r.s == pytest.approx(overlap(r.l, r.r, as_sets=True)), (r.l, r.r)
+
+
+def test_uuid_timestamp(spark):
+    for steps in range(12):
+        check_uuid(spark, uuid.UUID(fields=(0x5DB98D00 + steps, 0xC99B, 0x11EE, 0x80, 1, 2)))
+
+
+def check_uuid(spark, made):
+    when = dt.datetime(1582, 10, 15) + dt.timedelta(microseconds=made.time // 10)
+    df = spark.createDataFrame([(str(made),)], "u string")
+    row = df.select(uuid_timestamp(F.col("u")).alias("ts")).select(
+        "ts", time_uuid(F.col("ts"), "ts").alias("again")
+    )
+    got = row.select("ts", uuid_timestamp(F.col("again")).alias("back"), "again").first()
+    assert got.ts == when and got.back == when
+    assert uuid.UUID(got.again).version == 1
