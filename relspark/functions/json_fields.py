@@ -86,15 +86,15 @@ def _as_text(value: object) -> str | None:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
-def json_find_all(text: Column, name: str, path: tuple[str, ...] = ()) -> Column:
-    """Every member called `name` at any depth in document order, as array<string>.
+def _as_list(value: object) -> list | None:
+    return [_as_text(v) for v in value] if isinstance(value, list) else None
 
-    With a path, what lies under it in each hit. Strings are given bare, other values as JSON text,
-    null and missing as NULL. JSON paths in Spark cannot search at unknown depth, so this runs in
-    Python on Arrow batches.
-    """
 
-    @F.arrow_udf(T.ArrayType(T.StringType()))
+def _find_all(text: Column, name: str, path: tuple[str, ...], make, item: pa.DataType) -> Column:
+    """Arrow UDF: `make` of what lies under the path in each hit."""
+    kept = T.ArrayType(T.StringType()) if item == pa.list_(pa.string()) else T.StringType()
+
+    @F.arrow_udf(T.ArrayType(kept))
     def find_all(texts: pa.Array) -> pa.Array:
         rows = []
         for one in texts.to_pylist():
@@ -103,12 +103,27 @@ def json_find_all(text: Column, name: str, path: tuple[str, ...] = ()) -> Column
                 continue
             found: list = []
             _find(json.loads(one), name, found)
-            rows.append([_as_text(_follow(hit, path)) for hit in found])
-        return pa.array(rows, pa.list_(pa.string()))
+            rows.append([make(_follow(hit, path)) for hit in found])
+        return pa.array(rows, pa.list_(item))
 
     return find_all(text)
 
 
+def json_find_all(text: Column, name: str, path: tuple[str, ...] = ()) -> Column:
+    """Every member called `name` at any depth in document order, as array<string>.
+
+    With a path, what lies under it in each hit. Strings are given bare, other values as JSON text,
+    null and missing as NULL. JSON paths in Spark cannot search at unknown depth, so this runs in
+    Python on Arrow batches.
+    """
+    return _find_all(text, name, path, _as_text, pa.string())
+
+
+def json_find_lists(text: Column, name: str) -> Column:
+    """Every list called `name` at any depth, as array<array<string>>; what is no list is NULL."""
+    return _find_all(text, name, (), _as_list, pa.list_(pa.string()))
+
+
 def called_urls(text: Column) -> Column:
     """The URLs requested in a sandbox report, as array<string>."""
     return F.filter(json_find_all(text, URL_RECORD, URL_PATH), lambda u: u.isNotNull())
@@ -116,5 +131,4 @@ def called_urls(text: Column) -> Column:
 
 def opcode_lists(text: Column) -> Column:
     """The opcode lists of a disassembly as array<array<string>>; a null list stays NULL."""
-    lists = json_find_all(text, OPCODES)
-    return F.transform(lists, lambda one: F.from_json(one, "array<string>"))
+    return json_find_lists(text, OPCODES)
