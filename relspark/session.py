@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 CLUSTER_CONF = {
@@ -28,3 +30,10 @@ def local_session(name: str, cores: int | str = "*", memory: str = "8g") -> Spar
         .config("spark.driver.memory", memory)
         .getOrCreate()
     )
+
+
+def ensure_shared_folder(spark: SparkSession) -> None:
+    """On one machine, where driver and executors are one process, name a folder if none is set."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and spark.sparkContext.master.startswith("local["):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="relspark-"))
