@@ -3,14 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from relspark.llm import exact_dedup, simhash
+from relspark.llm import decontaminate, exact_dedup, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -19,12 +34,55 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
+    "op4_decontamination": op4_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_simhash": op8_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE = {
+    "op4_decontamination": r"""
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ), item_words AS (
+            SELECT item_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark
+        ), item_grams AS (
+            SELECT DISTINCT item_id, least(10, len(w)) AS n,
+                array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') AS gram
+            FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i
+                  FROM item_words WHERE len(w) > 0)
+        ), sizes AS (
+            SELECT DISTINCT n FROM item_grams
+        ), grams AS (
+            SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS gram
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                  FROM words, sizes WHERE len(w) >= n)
+        ), hits AS (
+            SELECT doc_id, i, n, item_id FROM grams JOIN item_grams USING (n, gram)
+        ), hit_words AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit
+            FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id
+        ), hit_items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+            coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AS contaminated
+        FROM words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+    """,
     "op6_exact_dedup": r"""
         WITH digests AS (
             SELECT doc_id,
