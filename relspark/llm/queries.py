@@ -5,13 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relspark.llm import decontaminate, exact_dedup, simhash, toxicity
+from relspark.llm import (
+    decontaminate,
+    exact_dedup,
+    packed_ids,
+    sentence_pieces,
+    simhash,
+    token_counts,
+    toxicity,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = packed_ids.new_folder(spark)
+    docs = table(spark, sf_dir, "documents")
+    return packed_ids.read_ids(packed_ids.write_ids(docs, folder, tokenizer("byte_bpe_50k.json")))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return sentence_pieces.encoded_documents(docs, tokenizer("piece_bpe_32k.model"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.token_counts(docs, tokenizer("piece_bpe_32k.model"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -40,6 +71,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_binary": op1_token_binary,
+    "op2_sentencepiece": op2_sentencepiece,
+    "op3_token_counts": op3_token_counts,
     "op4_decontamination": op4_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_simhash": op8_simhash,

@@ -93,3 +93,16 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
         h[live] = _mixed(h[live], at[starts[live] + 8 * k] & keep)
         live, k = live[left > 8], k + 1
     return h ^ (h >> np.uint64(32))
+
+
+def runs(texts: pa.Array, most_bytes: int = 1 << 22):
+    """Slices of a string array of about most_bytes each; one longer text is a slice of its own.
+
+    Numpy work on a batch takes a multiple of its bytes, so batches are worked off in such slices.
+    """
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    place = np.cumsum(sizes) // most_bytes
+    cuts = np.flatnonzero(np.diff(place)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True):
+        if b > a:
+            yield a, texts.slice(a, b - a)
