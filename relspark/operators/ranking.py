@@ -9,10 +9,12 @@ from pyspark.sql import Window as W
 from relspark.sources.stored import stored
 
 
-def with_index(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame:
+def with_index(
+    df: DataFrame, order: list[Column], name: str = "idx", kind: str = "int"
+) -> DataFrame:
     """Add 0, 1, 2, ... in the given order, which must leave no ties.
 
-    Rows are split into ranges of the order, numbered inside each range, and shifted by the sizes
+    `kind` is long for tables of two billion rows or more. Rows are split into ranges of the order, numbered inside each range, and shifted by the sizes
     of the ranges before. The ranged rows are stored first: range bounds come from a sample, and
     both uses below must see the same ones. Only the range sizes (one row per partition) meet in
     one task.
@@ -28,6 +30,6 @@ def with_index(df: DataFrame, order: list[Column], name: str = "idx") -> DataFra
     return (
         ranged.withColumn("_inside", inside)
         .join(F.broadcast(shifts), "_range")
-        .withColumn(name, (F.col("_shift") + F.col("_inside") - 1).cast("int"))
+        .withColumn(name, (F.col("_shift") + F.col("_inside") - 1).cast(kind))
         .drop("_range", "_inside", "_shift")
     )
