@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from relspark.llm import (
     decontaminate,
     exact_dedup,
+    hilbert,
     packed_ids,
+    quality,
     sentence_pieces,
     simhash,
     token_counts,
@@ -57,10 +59,19 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.curve_shards(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -75,7 +86,9 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_token_counts": op3_token_counts,
     "op4_decontamination": op4_decontamination,
+    "op5_quality": op5_quality,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_sharding": op7_sharding,
     "op8_simhash": op8_simhash,
     "op10_toxicity": op10_toxicity,
 }
