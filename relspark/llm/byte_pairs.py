@@ -15,8 +15,8 @@ import pyarrow as pa
 
 from relspark.llm.words import byte_table, utf8_of
 
-#: Words remembered per process.
-MOST_WORDS = 600_000
+#: Words remembered per process, and words encoded at once.
+MOST_WORDS, AT_ONCE = 300_000, 2_000
 
 _BLANK = byte_table(lambda b: b in (32, *range(9, 14), *range(28, 32)))
 #: First bytes of characters that may be white space beyond ASCII.
@@ -56,11 +56,15 @@ class Encoder:
         words = found.dictionary.to_pylist()
         ids = list(map(self.words.get, words))
         new = [i for i, known in enumerate(ids) if known is None]
-        texts_of_new = [words[i].decode() for i in new]
-        for i, got in zip(new, self.tokenizer.encode_batch_fast(texts_of_new, add_special_tokens=False), strict=True):
-            ids[i] = np.array(got.ids, "<u4").tobytes()
-            if len(self.words) < MOST_WORDS:
-                self.words[words[i]] = ids[i]
+        for at in range(0, len(new), AT_ONCE):  # what the library returns takes much memory
+            some = new[at : at + AT_ONCE]
+            encoded = self.tokenizer.encode_batch_fast(
+                [words[i].decode() for i in some], add_special_tokens=False
+            )
+            for i, got in zip(some, encoded, strict=True):
+                ids[i] = np.array(got.ids, "<u4").tobytes()
+                if len(self.words) < MOST_WORDS:
+                    self.words[words[i]] = ids[i]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
         which = found.indices.to_numpy(zero_copy_only=False)

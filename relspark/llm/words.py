@@ -95,7 +95,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     return h ^ (h >> np.uint64(32))
 
 
-def runs(texts: pa.Array, most_bytes: int = 1 << 22):
+def runs(texts: pa.Array, most_bytes: int = 1 << 21):
     """Slices of a string array of about most_bytes each; one longer text is a slice of its own.
 
     Numpy work on a batch takes a multiple of its bytes, so batches are worked off in such slices.
