@@ -1,14 +1,17 @@
 """Token ids of whole batches of texts by the tokenizers library, each distinct word encoded once.
 
 Byte-level BPE first cuts a text into words that it then encodes on their own. A single space between
-two characters that are no white space always starts such a word. Texts are cut there, in the
-buffer; only distinct cuts that the process has not met before go to the library.
+two characters that are no white space always starts such a word, and so does an ASCII sign behind an
+ASCII letter. Texts are cut there, in the buffer; only distinct cuts that the process has not met before
+go to the library: to its BPE model where a cut is one run of letters, else to the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,8 @@ from relspark.llm.words import byte_table, utf8_of
 MOST_WORDS, AT_ONCE = 300_000, 2_000
 
 _BLANK = byte_table(lambda b: b in (32, *range(9, 14), *range(28, 32)))
+_LETTER = byte_table(lambda b: b < 0x80 and chr(b).isalpha())
+_SIGN = byte_table(lambda b: 0x20 < b < 0x7F and not chr(b).isalnum())
 #: First bytes of characters that may be white space beyond ASCII.
 _LEAD = byte_table(lambda b: b in (0xC2, 0xE1, 0xE2, 0xE3))
 
@@ -32,9 +37,16 @@ def word_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     one, two, three, after = (data[space + k] for k in (-1, -2, -3, 1))
     wide = (one >= 0x80) & (_LEAD[two] | (two >= 0x80) & _LEAD[three])
     starts[space[~_BLANK[one] & ~wide & ~_BLANK[after] & ~_LEAD[after]]] = True
+    starts[1:-1] |= _LETTER[data[:-1]] & _SIGN[data[1:]]
     return np.flatnonzero(starts)
 
 
+#: The characters that byte-level BPE writes for the 256 bytes: visible ones stand for themselves.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_WRITTEN = {b: chr(b) for b in _PLAIN}
+_WRITTEN |= {b: chr(0x100 + n) for n, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+
 class Encoder:
     def __init__(self, definition: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,6 +55,15 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(definition.decode())
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.size = self.tokenizer.get_vocab_size()
+        kind = json.loads(definition)
+        before = kind.get("pre_tokenizer") or {}
+        #: Whether a run of letters, also behind one space, goes to the model as it is.
+        self.direct = (
+            not kind.get("normalizer")
+            and before.get("type") == "ByteLevel"
+            and before.get("use_regex", True)
+            and not before.get("add_prefix_space")
+        )
         self.words: dict[bytes, bytes] = {}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -56,15 +77,23 @@ class Encoder:
         words = found.dictionary.to_pylist()
         ids = list(map(self.words.get, words))
         new = [i for i, known in enumerate(ids) if known is None]
-        for at in range(0, len(new), AT_ONCE):  # what the library returns takes much memory
-            some = new[at : at + AT_ONCE]
+        rest, tokenize = [], self.tokenizer.model.tokenize
+        for i in new:
+            text = words[i].decode()
+            if self.direct and text.removeprefix(" ").isalpha():
+                written = words[i].decode("latin-1").translate(_WRITTEN)
+                ids[i] = array("I", [token.id for token in tokenize(written)]).tobytes()
+            else:
+                rest.append(i)
+        for at in range(0, len(rest), AT_ONCE):  # what the library returns takes much memory
+            some = rest[at : at + AT_ONCE]
             encoded = self.tokenizer.encode_batch_fast(
                 [words[i].decode() for i in some], add_special_tokens=False
             )
             for i, got in zip(some, encoded, strict=True):
-                ids[i] = np.array(got.ids, "<u4").tobytes()
-                if len(self.words) < MOST_WORDS:
-                    self.words[words[i]] = ids[i]
+                ids[i] = array("I", got.ids).tobytes()
+        for i in new[: MOST_WORDS - len(self.words)]:
+            self.words[words[i]] = ids[i]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
         which = found.indices.to_numpy(zero_copy_only=False)

@@ -47,12 +47,19 @@ def bits_for(vocabulary_size: int) -> int:
     return max(1, (vocabulary_size - 1).bit_length())
 
 
+_WHOLE = {8: "u1", 16: "<u2", 32: "<u4"}
+
+
 def pack(ids: np.ndarray, bits: int) -> bytes:
+    if bits in _WHOLE:  # the same bits, without taking them apart
+        return ids.astype(_WHOLE[bits]).tobytes()
     each = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
     return np.packbits(each[:, :bits].ravel(), bitorder="little").tobytes()
 
 
 def unpack(packed: bytes, bits: int, count: int) -> np.ndarray:
+    if bits in _WHOLE:
+        return np.frombuffer(packed, _WHOLE[bits], count).astype(np.uint32)
     each = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little", count=bits * count)
     wide = np.zeros((count, 32), np.uint8)
     wide[:, :bits] = each.reshape(count, bits)
