@@ -117,9 +117,9 @@ def pe_features(spark, sf_dir):
 
 
 def opcode_codes(spark, sf_dir):
-    """Whole code sequences, and their fixed-length form as a hash."""
+    """Whole code sequences, and their padded form as a hash."""
     coded = P.opcode_features(*disassemblies(spark, sf_dir), length=None)
-    fixed = F.transform(V.fixed_length(F.col("features"), V.SEQUENCE_LENGTH), lambda x: x.cast("int"))
+    fixed = F.transform(V.padded(F.col("features"), V.SEQUENCE_LENGTH), lambda x: x.cast("int"))
     return coded.select(
         "object_id",
         F.array_join(ints("features"), " ").alias("codes"),
@@ -192,7 +192,7 @@ def classify_vectors(spark, sf_dir):
 def classify_documents(spark, sf_dir):
     """Train on PE and opcode features of labelled documents, then predict all documents."""
     pe = stored(P.pe_features(*pe_inputs(spark, sf_dir), IMPORTS_OVER))
-    opcodes = P.opcode_features(*disassemblies(spark, sf_dir), length=V.CLASSIFIER_STEPS)
+    opcodes = P.opcode_features(*disassemblies(spark, sf_dir), length=None)
     joined = P.join_features(pe, opcodes)
     pe_width = pe.select(F.size("features")).first()[0]
     inputs = stored(
@@ -275,15 +275,15 @@ IMPORTS = f"""
 
 PE = f"""
     {LINES}, {SLOTS}, {IMPORTS},
-    raw AS (
+    raw AS MATERIALIZED (
       SELECT doc_id, pos, value FROM num
       UNION ALL
       SELECT d.doc_id, 17 + iv.idx, CASE WHEN u.doc_id IS NULL THEN 0.0 ELSE 1.0 END
       FROM documents d CROSS JOIN iv
       LEFT JOIN (SELECT DISTINCT doc_id, term FROM imp) u ON u.doc_id = d.doc_id AND u.term = iv.term
       WHERE d.lang <> 'es'),
-    lim AS (SELECT pos, min(value) AS lo, max(value) AS hi FROM raw GROUP BY pos),
-    pe AS (SELECT doc_id, pos, CASE WHEN hi = lo THEN 0.5 ELSE (value - lo) / (hi - lo) END AS value
+    lim AS MATERIALIZED (SELECT pos, min(value) AS lo, max(value) AS hi FROM raw GROUP BY pos),
+    pe AS MATERIALIZED (SELECT doc_id, pos, CASE WHEN hi = lo THEN 0.5 ELSE (value - lo) / (hi - lo) END AS value
            FROM raw JOIN lim USING (pos))"""
 
 OPCODE_LIST = "[" + ", ".join(f"'{o}'" for o in V.X86_OPCODES) + "]"
@@ -334,7 +334,7 @@ ORACLE = {
     "q_opcode_codes": f"""
         WITH {OPCODES}
         SELECT 'doc-' || doc_id AS object_id, array_to_string(codes, ' ') AS codes,
-               md5(array_to_string(list_resize(codes, {V.SEQUENCE_LENGTH}, 0), ' ')) AS fixed_md5
+               md5(array_to_string(list_resize(codes, greatest(len(codes), {V.SEQUENCE_LENGTH}), 0), ' ')) AS fixed_md5
         FROM code WHERE len(codes) > 0""",
     "q_sequence_codes": f"""
         WITH use AS ({sql_keywords('documents', 'text', 'doc_id,')}),
@@ -349,14 +349,14 @@ ORACLE = {
         FROM (SELECT doc_id, unnest(codes) AS c, generate_subscripts(codes, 1) AS i FROM code)""",
     "q_feature_join": f"""
         WITH {PE}, {OPCODES},
-        wide AS (SELECT count(*) AS w FROM lim),
-        op AS (SELECT doc_id, unnest(codes) AS c, generate_subscripts(codes, 1) AS i FROM code),
-        has AS (SELECT l.doc_id, l.quality FROM labels l
-                WHERE l.doc_id IN (SELECT doc_id FROM pe) AND l.doc_id IN (SELECT doc_id FROM op))
+        wide AS MATERIALIZED (SELECT count(*) AS w FROM lim),
+        op AS MATERIALIZED (SELECT doc_id, unnest(codes) AS c, generate_subscripts(codes, 1) AS i FROM code),
+        has AS MATERIALIZED (SELECT l.doc_id, l.quality FROM labels l JOIN documents d USING (doc_id)
+                JOIN code USING (doc_id) WHERE d.lang <> 'es' AND len(codes) > 0)
         SELECT 'doc-' || doc_id AS object_id, CAST(quality AS BIGINT) AS label,
                CAST(pos AS INTEGER) AS pos, round(value, 6) AS value
         FROM has JOIN pe USING (doc_id) WHERE round(value, 6) <> 0
         UNION ALL
         SELECT 'doc-' || doc_id, quality, CAST((SELECT w FROM wide) + i - 1 AS INTEGER), c
-        FROM has JOIN op USING (doc_id) WHERE c <> 0 AND i <= {V.SEQUENCE_LENGTH}""",
+        FROM has JOIN op USING (doc_id) WHERE c <> 0""",
 }

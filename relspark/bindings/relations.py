@@ -9,11 +9,11 @@ from relspark.bindings.derived import (
     LINK,
     documents_of,
     knowledge_inputs,
-    links,
     page_id,
     pages_of,
     table,
 )
+from relspark.functions.vectors import bind
 from relspark.operators import relationships as R
 from relspark.plans import app
 from relspark.plans.knowledge import build_knowledge_base
@@ -21,7 +21,6 @@ from relspark.sources.schemas import FEATURES, Feature
 from relspark.sources.stored import stored
 
 STAMP = "2024-01-01 00:00:00.000000"
-TOP = 100
 
 # every event type relates users with an equal value
 EVENT_FEATURES = [
@@ -32,6 +31,7 @@ EVENT_FEATURES = [
     Feature("view", 0.5, "view"),
 ]
 WORDS = [Feature("words", None, "words")]
+SHINGLE = 5
 
 
 def stamp():
@@ -43,15 +43,25 @@ def knowledge(spark, sf_dir):
     return build_knowledge_base(meta, data, ts=stamp())
 
 
-def top_pages(spark, sf_dir):
-    """The pages with the most links, ties by id."""
-    pages = pages_of(spark, sf_dir, "html").select(page_id().alias("object_id"), F.size(links()).alias("n"))
-    return pages.orderBy(F.desc("n"), "object_id").limit(TOP)
+def asked_for(spark, sf_dir, *prefixes: str):
+    """Object ids numbered like the nations, a table of one size at every scale."""
+    nation = table(spark, sf_dir, "nation")
+    found = [F.concat(F.lit(p), F.col("n_nationkey").cast("string")) for p in prefixes]
+    return nation.select(F.explode(F.array(*found)).alias("object_id"))
 
 
 def word_knowledge(spark, sf_dir):
-    """The words of documents and benchmark items as comma lists."""
-    value = F.regexp_replace("text", "[ \n\t]+", ",").alias("feature_value")
+    """Every run of SHINGLE words of documents and benchmark items, as comma lists.
+
+    A text of fewer words is one run.
+    """
+    words = F.split(F.trim(F.regexp_replace("text", "[ \n\t,]+", " ")), " ")
+
+    def runs(w):
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - SHINGLE + 1))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, SHINGLE), " "))
+
+    value = F.array_join(bind(words, runs), ",").alias("feature_value")
 
     def rows(df, prefix: str, key: str):
         return df.select(
@@ -90,15 +100,15 @@ def rel_tokens(spark, sf_dir):
 
 
 def rel_exact(spark, sf_dir):
-    """A report: the users with the greatest weight of related users, and who those are."""
+    """Users numbered like the nations, and all their related users."""
     kb = event_knowledge(spark, sf_dir)
-    targets = stored(R.most_related(R.related_counts(kb, EVENT_FEATURES), TOP))
+    targets = asked_for(spark, sf_dir, "")
     edges = R.exact_edges(kb, targets, EVENT_FEATURES)
     return edges.select("object_id", "other_id", "feature_type", "weight", time_text())
 
 
 def rel_overlap(spark, sf_dir):
-    """Which documents share words with each benchmark item, over all items and documents."""
+    """Which documents share runs of words with each benchmark item, over all items and documents."""
     kb = word_knowledge(spark, sf_dir)
     items = table(spark, sf_dir, "benchmark")
     targets = items.select(F.concat(F.lit("item-"), "item_id").alias("object_id"))
@@ -106,21 +116,20 @@ def rel_overlap(spark, sf_dir):
 
 
 def rel_links(spark, sf_dir):
-    """A report: the pages with the most links, and the pages that share links with them."""
+    """Pages numbered like the nations, and all pages that share links with them."""
     kb = stored(knowledge(spark, sf_dir))
-    return edge_columns(R.overlap_edges(kb, top_pages(spark, sf_dir)))
+    return edge_columns(R.overlap_edges(kb, asked_for(spark, sf_dir, "page-")))
 
 
-def top_edges(spark, sf_dir):
-    """Edges of the best-related objects and the best-linked pages over all features."""
+def all_edges(spark, sf_dir):
+    """All edges of some documents and pages over all features."""
     kb = stored(knowledge(spark, sf_dir))
-    best = R.most_related(R.related_counts(kb), TOP).select("object_id")
-    targets = stored(best.unionByName(top_pages(spark, sf_dir).select("object_id")))
+    targets = stored(asked_for(spark, sf_dir, "doc-", "page-"))
     return kb, targets, stored(R.primary_relationships(kb, targets))
 
 
 def rel_record(spark, sf_dir):
-    kb, targets, edges = top_edges(spark, sf_dir)
+    kb, targets, edges = all_edges(spark, sf_dir)
     records = R.relationship_records(kb, targets, edges, stamp())
     match = "transform({c}, m -> concat(m.sha256, '=', cast(round(m.weight, 6) as decimal(12, 6))))"
     texts = [
@@ -131,7 +140,7 @@ def rel_record(spark, sf_dir):
 
 def edge_views(spark, sf_dir):
     """Threshold, feature filter, histogram and totals of one edge table."""
-    _, _, edges = top_edges(spark, sf_dir)
+    _, _, edges = all_edges(spark, sf_dir)
     shaped = [
         ("threshold", R.above(edges, 0.5).groupBy("object_id").agg(F.count("*").alias("n"))),
         (
@@ -142,7 +151,8 @@ def edge_views(spark, sf_dir):
             "histogram",
             R.weight_histogram(edges, 0.0, 1.0, 10).select(
                 F.concat(F.lit("segment-"), "segment").alias("object_id"),
-                (F.col("n_edges") * 1_000_000 + F.col("n_objects")).alias("n"),
+                F.col("n_edges").alias("n"),
+                F.col("n_objects"),
             ),
         ),
         (
@@ -154,21 +164,22 @@ def edge_views(spark, sf_dir):
     ]
     out = None
     for name, df in shaped:
-        df = df.select(F.lit(name).alias("view"), "object_id", "n")
+        objects = F.col("n_objects") if "n_objects" in df.columns else F.lit(None).cast("bigint")
+        df = df.select(F.lit(name).alias("view"), "object_id", "n", objects.alias("n_objects"))
         out = df if out is None else out.unionByName(df)
     return out
 
 
 def app_run(spark, sf_dir):
-    """The whole job over all objects; like the original it reports on the first object."""
+    """The whole job over all objects, reporting on some documents and pages."""
     objects, meta, data = knowledge_inputs(spark, sf_dir)
-    _, edges, _ = app.run(objects, meta, data, ts=stamp())
+    _, edges, _ = app.run(objects, meta, data, asked_for(spark, sf_dir, "doc-", "page-"), ts=stamp())
     return edge_columns(edges)
 
 
 def flagship(spark, sf_dir):
-    """The whole job, reporting on the best-related objects and the best-linked pages."""
-    _, _, edges = top_edges(spark, sf_dir)
+    """All edges of some documents and pages, over the knowledge base of all."""
+    _, _, edges = all_edges(spark, sf_dir)
     return edge_columns(edges)
 
 
@@ -199,18 +210,19 @@ KB = f"""
         ['rule' || regexp_replace(l, '[^a-zA-Z0-9.,_]', '', 'g') FOR l IN links], ','), 'yara', ''), '')
       FROM pg
       UNION ALL SELECT object_id, 'called_domains', array_to_string(links, ',') FROM pg
-      WHERE array_to_string(links, ',') <> ''),
-    top_pages AS (SELECT object_id FROM pg ORDER BY len(links) DESC, object_id LIMIT {TOP})"""
+      WHERE array_to_string(links, ',') <> '')"""
 
 WEIGHTS = """CASE feature_type WHEN 'pehash' THEN 0.5 WHEN 'imphash' THEN 0.5
              WHEN 'binary_signature' THEN 1.0 END"""
 
-WORD_KB = """
+WORD_KB = f"""
     kb AS (
-      SELECT 'doc-' || doc_id AS object_id, 'words' AS feature_type,
-             regexp_replace(text, '[ \\n\\t]+', ',', 'g') AS feature_value FROM documents
-      UNION ALL SELECT 'item-' || item_id, 'words', regexp_replace(text, '[ \\n\\t]+', ',', 'g')
-      FROM benchmark)"""
+      SELECT object_id, 'words' AS feature_type, array_to_string(
+               [array_to_string(w[i:i + {SHINGLE} - 1], ' ')
+                FOR i IN range(1, greatest(1, len(w) - {SHINGLE} + 1) + 1)], ',') AS feature_value
+      FROM (SELECT object_id, string_split(trim(regexp_replace(text, '[ \\n\\t,]+', ' ', 'g'), ' '), ' ') AS w
+            FROM (SELECT 'doc-' || doc_id AS object_id, text FROM documents
+                  UNION ALL SELECT 'item-' || item_id, text FROM benchmark)))"""
 
 TOKENS = f"""
     tok AS (SELECT object_id, feature_type, unnest({sql_tokens('feature_value')}) AS token
@@ -230,15 +242,12 @@ OVERLAP = f"""
       JOIN siz sb ON sb.object_id = b.object_id AND sb.feature_type = b.feature_type
       GROUP BY a.object_id, b.object_id, a.feature_type, sa.d, sb.d)"""
 
-EXACT = f"""
-    grp AS (SELECT feature_type, feature_value, count(*) AS c FROM kb
-            WHERE feature_type IN ('pehash', 'imphash', 'binary_signature') GROUP BY ALL),
-    best AS (SELECT object_id FROM kb JOIN grp USING (feature_type, feature_value)
-             GROUP BY object_id ORDER BY sum((c - 1) * {WEIGHTS}) DESC, object_id LIMIT {TOP})"""
+ASKED = """
+    targets AS (SELECT 'doc-' || n_nationkey AS object_id FROM nation
+                UNION ALL SELECT 'page-' || n_nationkey FROM nation)"""
 
-TOP_EDGES = f"""
-    {KB}, {EXACT},
-    targets AS (SELECT object_id FROM best UNION ALL SELECT object_id FROM top_pages), {OVERLAP},
+ALL_EDGES = f"""
+    {KB}, {ASKED}, {OVERLAP},
     edges AS (
       SELECT a.object_id, b.object_id AS other_id, feature_type, CAST({WEIGHTS} AS DOUBLE) AS weight
       FROM kb a JOIN targets t ON a.object_id = t.object_id
@@ -267,8 +276,8 @@ def _record_column(feature: Feature) -> str:
         "string_agg(other_id || '=' || CAST(CAST(round(weight, 6) AS DECIMAL(12, 6)) AS VARCHAR), ' ' "
         f"ORDER BY other_id, weight) FILTER (WHERE {mine})"
     )
-    owned = f"EXISTS (SELECT 1 FROM kb WHERE kb.object_id = t.object_id AND kb.{mine})"
-    return f"CASE WHEN {owned} THEN coalesce({texts}, '') END AS {feature.column}"
+    owned = f"EXISTS (SELECT 1 FROM kb WHERE kb.object_id = p.object_id AND kb.{mine})"
+    return f"coalesce({texts}, CASE WHEN p.part = 0 AND {owned} THEN '' END) AS {feature.column}"
 
 
 ORACLE = {
@@ -282,8 +291,7 @@ ORACLE = {
         strftime(ts, {SQL_TIME}) AS ts FROM held""",
     "q_rel_exact": f"""
         WITH {EVENT_COUNTS},
-        best AS (SELECT object_id FROM counts GROUP BY object_id
-                 ORDER BY sum(total_weight) DESC, object_id LIMIT {TOP})
+        best AS (SELECT CAST(n_nationkey AS VARCHAR) AS object_id FROM nation)
         SELECT l.object_id, h.object_id AS other_id, feature_type,
                CAST({EVENT_WEIGHT} AS DOUBLE) AS weight, strftime(h.ts, {SQL_TIME}) AS ts
         FROM latest l JOIN best ON l.object_id = best.object_id
@@ -298,35 +306,36 @@ ORACLE = {
         targets AS (SELECT 'item-' || item_id AS object_id FROM benchmark), {OVERLAP}
         SELECT object_id, other_id, feature_type, round(weight, 6) AS weight FROM overlap""",
     "q_rel_links": f"""
-        WITH {KB}, targets AS (SELECT object_id FROM top_pages), {OVERLAP}
+        WITH {KB}, targets AS (SELECT 'page-' || n_nationkey AS object_id FROM nation), {OVERLAP}
         SELECT object_id, other_id, feature_type, round(weight, 6) AS weight FROM overlap""",
     "q_rel_all_features": f"""
-        WITH {TOP_EDGES}
+        WITH {ALL_EDGES}
         SELECT object_id, other_id, feature_type, round(weight, 6) AS weight FROM edges""",
     "q_rel_record": f"""
-        WITH {TOP_EDGES}
-        SELECT t.object_id, CAST(0 AS INTEGER) AS part, {", ".join(map(_record_column, FEATURES))}
-        FROM targets t LEFT JOIN edges e ON e.object_id = t.object_id GROUP BY t.object_id""",
+        WITH {ALL_EDGES}
+        , dealt AS (
+          SELECT *, CAST(CAST('0x' || substr(md5(other_id), 1, 8) AS BIGINT) % {R.RECORD_PARTS} AS INTEGER) AS part
+          FROM edges),
+        p AS (SELECT object_id, part FROM dealt UNION SELECT object_id, 0 FROM targets)
+        SELECT p.object_id, p.part, {", ".join(map(_record_column, FEATURES))}
+        FROM p LEFT JOIN dealt e ON e.object_id = p.object_id AND e.part = p.part
+        GROUP BY p.object_id, p.part""",
     "q_edge_views": f"""
-        WITH {TOP_EDGES}
-        SELECT 'threshold' AS view, object_id, count(*) AS n FROM edges WHERE weight > 0.5
+        WITH {ALL_EDGES}
+        SELECT 'threshold' AS view, object_id, count(*) AS n, CAST(NULL AS BIGINT) AS n_objects
+        FROM edges WHERE weight > 0.5
         GROUP BY object_id
-        UNION ALL SELECT 'features', object_id, count(*) FROM edges
+        UNION ALL SELECT 'features', object_id, count(*), NULL FROM edges
         WHERE feature_type IN ('pehash', 'yara_rules') GROUP BY object_id
         UNION ALL SELECT 'histogram', 'segment-' || segment,
-                  count(*) * 1000000 + count(DISTINCT other_id)
+                  count(*), count(DISTINCT other_id)
         FROM (SELECT *, CASE WHEN weight < 0 THEN 0 WHEN weight >= 1 THEN 11
                         ELSE CAST(floor(weight * 10) AS INTEGER) + 1 END AS segment FROM edges)
         GROUP BY segment
-        UNION ALL SELECT 'total', object_id, CAST(round(sum(weight) * 1000) AS BIGINT) FROM (
+        UNION ALL SELECT 'total', object_id, CAST(round(sum(weight) * 1000) AS BIGINT), NULL FROM (
           SELECT object_id, other_id, sum(weight) AS weight FROM edges GROUP BY object_id, other_id)
         GROUP BY object_id""",
     "q_app_run": f"""
-        WITH {KB}, targets AS (SELECT min(object_id) AS object_id FROM kb), {OVERLAP}
-        SELECT a.object_id, b.object_id AS other_id, feature_type, CAST({WEIGHTS} AS DOUBLE) AS weight
-        FROM kb a JOIN targets t ON a.object_id = t.object_id
-        JOIN kb b USING (feature_type, feature_value)
-        WHERE a.object_id <> b.object_id
-          AND feature_type IN ('pehash', 'imphash', 'binary_signature')
-        UNION ALL SELECT object_id, other_id, feature_type, round(weight, 6) FROM overlap""",
+        WITH {ALL_EDGES}
+        SELECT object_id, other_id, feature_type, round(weight, 6) AS weight FROM edges""",
 }

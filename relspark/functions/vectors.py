@@ -11,10 +11,8 @@ from pyspark.sql import functions as F
 SECTIONS = (".text", ".data", ".rsrc", ".rdata")
 SECTION_FIELDS = ("entropy", "virt_address", "virt_size", "size")
 
-# Sequence length of the opcode features, and the first codes the classifier looks at
-# with the width of their one-hot form.
+# Least sequence length of the opcode features, and the width of their one-hot form.
 SEQUENCE_LENGTH = 10_000
-CLASSIFIER_STEPS = 200
 CLASSIFIER_CODES = 120
 
 # The opcode list; a code is the position in it, from 1.
@@ -98,10 +96,10 @@ def codes(terms: Column, vocabulary: list[str] | tuple[str, ...]) -> Column:
     return F.transform(terms, lambda t: F.array_position(listed, t).cast("double"))
 
 
-def fixed_length(array: Column, length: int | Column) -> Column:
-    """Pad with 0 or cut to the width that feature vectors must share."""
+def padded(array: Column, length: int | Column) -> Column:
+    """Pad with 0 up to a length; longer arrays stay whole."""
     length = F.lit(length) if isinstance(length, int) else length
-    return F.slice(F.concat(array, zeros(F.greatest(F.lit(0), length - F.size(array)))), 1, length)
+    return F.concat(array, zeros(F.greatest(F.lit(0), length - F.size(array))))
 
 
 def flatten_lists(lists: Column) -> Column:
@@ -118,5 +116,5 @@ def code_counts(array: Column, width: int = CLASSIFIER_CODES) -> Column:
     """How often each code occurs in a code sequence."""
     return F.transform(
         F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda c: F.size(F.filter(array, lambda x: x == c)).cast("double"),
+        lambda c: (F.size(array) - F.size(F.array_remove(array, c.cast("double")))).cast("double"),
     )

@@ -2,7 +2,7 @@
 
 `small` below means the side without repeated hot keys (targets, vocabularies, group sizes). It is
 broadcast only after its size was measured; beyond the bound the join shuffles and hot keys of the
-big side are salted.
+big side are salted. Measuring starts a job while the plan is built.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from relspark.sources.stored import Stored, measured
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 BROADCAST_ROWS = 1_000_000
-HOT_KEYS = 1000
 ROWS_PER_PIECE = 2_000_000
 
 
@@ -23,21 +22,31 @@ def fits_broadcast(table: Stored) -> bool:
 
 
 def hot_keys(big: DataFrame, on: list[str], rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:
-    """The most frequent keys and the number of pieces to cut each into.
+    """Every key of more than rows_per_piece rows, and the number of pieces to cut it into.
 
-    At most HOT_KEYS rows, so it is always safe to broadcast; a key beyond them holds less than
-    one in HOT_KEYS of all rows and needs no salt.
+    There are at most rows / rows_per_piece of them.
     """
     return (
         big.groupBy(*on)
         .agg(F.count("*").alias("_n"))
         .where(F.col("_n") > rows_per_piece)
-        .orderBy(F.desc("_n"), *on)
-        .limit(HOT_KEYS)
         .select(*on, F.ceil(F.col("_n") / rows_per_piece).cast("int").alias("_pieces"))
     )
 
 
+def measured_hot_keys(big: DataFrame, on: list[str], rows_per_piece: int) -> DataFrame:
+    """All hot keys, as a table measured to fit a broadcast.
+
+    Should there be too many, which takes more than BROADCAST_ROWS * rows_per_piece rows, pieces are made
+    larger until they fit; every key above the piece size is still cut. Starts a job.
+    """
+    while True:
+        hot = measured(hot_keys(big, on, rows_per_piece))
+        if fits_broadcast(hot):
+            return hot.df
+        rows_per_piece *= 4
+
+
 def salted_join(
     big: DataFrame,
     small: DataFrame,
@@ -53,7 +62,7 @@ def salted_join(
     that of the plain join. `how` is inner, left, left_semi or left_anti. Keys are counted in `counted` if
     given: a table with about the same keys as `big` that is cheaper to read.
     """
-    hot = hot_keys(big if counted is None else counted, on, rows_per_piece)
+    hot = measured_hot_keys(big if counted is None else counted, on, rows_per_piece)
     pieces = F.coalesce("_pieces", F.lit(1))
     left = big.join(F.broadcast(hot), on, "left").withColumn(
         "_piece", F.pmod(F.xxhash64(*spread), pieces).cast("int")

@@ -20,7 +20,7 @@ from relspark.sources.schemas import FEATURES, Feature
 from relspark.sources.stored import Stored, measured
 
 EDGE_COLUMNS = ["object_id", "other_id", "feature_type", "weight", "ts"]
-MATCHES_PER_PART = 10_000
+RECORD_PARTS = 8
 
 
 def _names(features: Sequence[Feature]) -> list[str]:
@@ -111,7 +111,6 @@ def overlap_edges(
     index = index.withColumnsRenamed({"n": "list_n", "distinct": "list_distinct"})
 
     history = kb.where(F.col("feature_type").isin(_names(listed)))
-    history = newest_time(history, ["feature_type", "object_id", "feature_value"])
     value_key = ["value_0", "value_1"]
     history = history.select("*", *_short_key("value", "feature_value"))
     row = ["object_id", *value_key]
@@ -119,6 +118,9 @@ def overlap_edges(
     hits = sized_join(
         tokens, index.where(F.col("token").isNotNull()), ["feature_type", "token"], row
     )
+    # repeated values are settled here, among the tokens that met, so that no value is shuffled
+    numbers = ("n", "list_n", "distinct", "list_distinct", "ts")
+    hits = hits.groupBy(*list_key, *row, "token").agg(*[F.max(c).alias(c) for c in numbers])
     union = F.max("distinct") + F.max("list_distinct") - F.count("*")
     shared = F.count("*") if as_sets else F.sum(F.least("n", "list_n"))
     scored = hits.groupBy(*list_key, *row).agg(
@@ -207,25 +209,24 @@ def relationship_records(
     edges: DataFrame,
     ts: Column,
     features: Sequence[Feature] = FEATURES,
-    matches_per_part: int = MATCHES_PER_PART,
+    parts: int = RECORD_PARTS,
 ) -> DataFrame:
     """The wide record: one array of {sha256, weight} per feature, sorted by id and weight.
 
     `edges` are those of the targets; they are read twice and should be stored.
 
-    NULL where the object lacks the feature, an empty array where nothing matched. An object whose
-    matches exceed `matches_per_part` for a feature continues in further rows (`part` 1, 2, ...), so
-    no row and no task has to hold an unbounded list. A match goes to a part by hash of its id.
+    An object's matches are dealt to `parts` rows by a hash of their id, at every size alike; rows
+    without a match are left out but for part 0. So no row has to hold all matches of a frequent value:
+    choose `parts` by the largest group. In part 0 NULL says that the object lacks the feature, an empty
+    array that none of its matches is there; in the others NULL says either.
     """
     group = ["object_id", "feature_type"]
     targets = measured(targets.select("object_id").distinct())
     asked = kb.where(F.col("feature_type").isin(_names(features)))
     mine = semi_join(asked, targets, ["object_id"], ["feature_type", "ts"])
     owned = mine.select(*group).distinct()
-    sizes = edges.groupBy(*group).agg(F.ceil(F.count("*") / matches_per_part).alias("_parts"))
-    placed = sized_join(edges, sizes, group, ["other_id"]).withColumn(
-        "part", F.pmod(F.xxhash64("other_id"), F.col("_parts")).cast("int")
-    )
+    number = F.conv(F.substring(F.md5("other_id"), 1, 8), 16, 10).cast("long")
+    placed = edges.withColumn("part", (number % parts).cast("int"))
     match = F.struct(F.col("other_id").alias("sha256"), "weight")
     lists = placed.groupBy(*group, "part").agg(F.array_sort(F.collect_list(match)).alias("matches"))
     none = F.array().cast(lists.schema["matches"].dataType)

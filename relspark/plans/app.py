@@ -17,17 +17,12 @@ def object_batch(objects: DataFrame, n: int | None = None) -> DataFrame:
     return ids if n is None else ids.orderBy("object_id").limit(n)
 
 
-def first_object(kb: DataFrame) -> DataFrame:
-    """The one object the job reports on if no targets are named: the smallest id."""
-    return kb.agg(F.min("object_id").alias("object_id"))
-
-
 def run(
     objects: DataFrame,
     meta: DataFrame,
     data: DataFrame,
+    targets: DataFrame,
     batch_size: int | None = None,
-    targets: DataFrame | None = None,
     ts: Column | None = None,
     kb_path: str | None = None,
     records_path: str | None = None,
@@ -39,7 +34,7 @@ def run(
     stamp = F.current_timestamp() if ts is None else ts
     batch = object_batch(objects, batch_size)
     kb = stored(build_knowledge_base(meta, data, batch, stamp))
-    targets = stored(first_object(kb) if targets is None else targets)
+    targets = stored(targets)
     edges = stored(primary_relationships(kb, targets))
     records = relationship_records(kb, targets, edges, stamp)
     if kb_path is not None:

@@ -13,9 +13,10 @@ from relspark.functions import vectors as V
 from relspark.sources.stored import stored
 
 
-def classifier_input(features: Column, pe_width: int) -> Column:
-    """PE features, then how often each opcode occurs among the first codes."""
-    opcodes = F.slice(features, pe_width + 1, V.CLASSIFIER_STEPS)
+def classifier_input(features: Column, pe_width: int, steps: int | None = None) -> Column:
+    """PE features, then how often each opcode occurs, in the whole sequence or its first `steps` codes."""
+    count = F.greatest(F.size(features) - pe_width, F.lit(0)) if steps is None else F.lit(steps)
+    opcodes = F.slice(features, pe_width + 1, count)
     return F.concat(F.slice(features, 1, pe_width), V.code_counts(opcodes))
 
 

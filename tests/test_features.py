@@ -219,9 +219,26 @@ def test_training_set(spark):
     second = make([("a", [5.0, 6.0, 7.0])], "features")
     rows = P.training_set(labels, first, second).collect()
     assert [(r.object_id, r.label, r.features) for r in rows] == [("a", [1, 0], [1, 5, 6, 7])]
-    cut = P.training_set(labels, first, second, last_length=2).first().features
+    whole = P.training_set(labels, first, second, last_length=2).first().features
     padded = P.training_set(labels, first, second, last_length=4).first().features
-    assert cut == [1, 5, 6] and padded == [1, 5, 6, 7, 0]
+    assert whole == [1, 5, 6, 7] and padded == [1, 5, 6, 7, 0]
+
+
+def test_long_sequences_stay_whole(spark):
+    text = json.dumps({"sections": [{"opcodes": ["mov", "push"] * 6000}]})
+    rows = [("o", "objdump", text), ("p", "objdump", '{"opcodes": ["ret"]}')]
+    data = spark.createDataFrame(rows, "object_id string, service_name string, results string")
+    coded = P.opcode_features(data.select("object_id", "service_name"), data)
+    sizes = {r.object_id: len(r.features) for r in coded.collect()}
+    assert sizes == {"o": 12_000, "p": V.SEQUENCE_LENGTH}
+    labels = spark.createDataFrame([("o", [1.0]), ("p", [0.0])], "object_id string, label array<double>")
+    first = spark.createDataFrame([("o", [9.0]), ("p", [8.0])], "object_id string, features array<double>")
+    raw = P.opcode_features(data.select("object_id", "service_name"), data, length=None)
+    rows = P.training_set(labels, first, raw, last_length=10).collect()
+    assert {len(r.features) for r in rows} == {12_001}
+    mov, push = (V.X86_OPCODES.index(x) + 1 for x in ("mov", "push"))
+    counts = next(r for r in raw.select("object_id", V.code_counts(F.col("features")).alias("c")).collect() if r.object_id == "o").c
+    assert counts[mov] == counts[push] == 6000 and sum(counts) == 12_000
 
 
 def test_cluster_labels(spark):

@@ -124,7 +124,7 @@ def test_app_writes_and_reads_back(spark, inputs, tmp_path):
     targets = objects.distinct()
     for day in (1, 2):
         stamp = F.lit(dt.datetime(2024, 6, day))
-        _, edges, _ = app.run(objects, meta, data, None, targets, stamp, kb_path, records_path)
+        _, edges, _ = app.run(objects, meta, data, targets, None, stamp, kb_path, records_path)
     assert sorted((r.object_id, r.other_id, r.feature_type) for r in edges.collect()) == [
         ("o1", "o2", "binary_signature"),
         ("o2", "o1", "binary_signature"),
@@ -142,10 +142,11 @@ def test_app_writes_and_reads_back(spark, inputs, tmp_path):
     assert text["o2"].pehash is None and text["o2"].yara_rules == "[]"
 
 
-def test_app_reports_on_the_first_object(spark, inputs):
+def test_app_takes_a_batch(spark, inputs):
     meta, data = inputs
     objects = spark.createDataFrame([("o2",), ("o1",), ("o4",)], OBJECTS)
-    kb, edges, records = app.run(objects, meta, data, batch_size=2)
+    targets = spark.createDataFrame([("o1",)], OBJECTS)
+    kb, edges, records = app.run(objects, meta, data, targets, batch_size=2)
     assert {r.object_id for r in kb.collect()} == {"o1", "o2"}
     assert [r.object_id for r in records.collect()] == ["o1"]
 

@@ -133,9 +133,9 @@ def test_hot_value_is_split_over_parts(spark):
     kb = spark.createDataFrame(rows, KNOWLEDGE_BASE)
     targets = ids(spark, "o0", "solo")
     edges = R.primary_relationships(kb, targets, [Feature("pehash", 0.5, "pehash")])
-    records = R.relationship_records(kb, targets, edges, F.lit(day(2)), matches_per_part=10).collect()
+    records = R.relationship_records(kb, targets, edges, F.lit(day(2)), parts=4).collect()
     mine = [r for r in records if r.object_id == "o0"]
-    assert len(mine) > 1
+    assert sorted(r.part for r in mine) == [0, 1, 2, 3]
     matches = [m.sha256 for r in mine for m in (r.pehash or [])]
     assert sorted(matches) == sorted(f"o{i}" for i in range(1, 60))
     assert [r.pehash for r in records if r.object_id == "solo"] == [[]]
@@ -157,6 +157,12 @@ def test_salted_join_equals_plain_join(spark):
         assert sorted(map(tuple, salted.collect()), key=key) == sorted(map(tuple, plain.collect()), key=key)
 
 
+def test_every_hot_key_is_cut(spark):
+    big = spark.range(13_000).selectExpr("id % 1300 AS k", "id")
+    hot = joins.measured_hot_keys(big, ["k"], 4).collect()
+    assert len(hot) == 1300 and {r._pieces for r in hot} == {3}
+
+
 def test_latest(spark):
     kb = spark.createDataFrame(SAMPLE + [("x", "pehash", "p9", day(2))], KNOWLEDGE_BASE)
     got = {(r.object_id, r.feature_type): r.feature_value for r in latest_values(kb).collect()}
