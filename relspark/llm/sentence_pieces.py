@@ -12,8 +12,9 @@ A piece has at most `longest` characters, so only the last `longest` boundaries
 When the backpointers of all of these run together in one boundary, the ids before it are final:
 they are given out and forgotten. The window kept does not grow with the text.
 
-Where no piece of the vocabulary can reach over a word start, all paths meet there, and the words
-are searched one by one; ids of short words are remembered per process, up to a bound.
+Where two characters stand next to each other in no piece of the vocabulary, all paths meet between
+them. Texts are cut there (as a rule before each word start), and each distinct cut is searched once;
+ids of short ones are remembered per process, up to a bound.
 
 Null text counts as empty; the empty text has no ids. Null ids decode to the empty text, null
 members of a list are skipped. Decoding gives back every text but for what the model's normaliser
@@ -28,17 +29,23 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relspark.llm.rows import column, text_of
+from relspark.llm.words import runs, utf8_of
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
-#: Remembered words and agreeing pairs per process; words beyond this many characters are searched anew.
-MOST_WORDS, MOST_HEADS, MOST_PAIRS = 1_000_000, 100_000, 400_000
+#: Remembered words and agreeing pairs per process; words beyond this many bytes are searched anew.
+MOST_WORDS, MOST_HEADS, MOST_PAIRS = 300_000, 20_000, 1_000_000
 LONG_WORD, HEAD = 48, 6
+#: Words searched side by side; from how many on that pays.
+LANES, FEW = 4096, 64
+#: Texts decoded at once.
+TEXTS = 500
 #: In place of the id of the piece before: none, at the start; of a piece: a character that has none.
 START, UNKNOWN = -2, -1
 #: How far below the least score a character without a piece lies.
@@ -96,11 +103,24 @@ class Vocabulary:
         self.unknown_score = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.bytes = {int(p.id_to_piece(i)[3:5], 16): i for i in range(len(p)) if p.is_byte(i)}
         self.unknown = p.unk_id()
-        self.by_word = not any(SPACE in piece.lstrip(SPACE) for piece in self.ids)
+        written = {t.replace(SPACE, " ").encode(): i for t, i in self.ids.items()}
+        self.trie = Endings(written)
+        #: Whether two bytes, as 256 * first + second, are a boundary of every segmentation.
+        self.apart = np.ones(1 << 16, bool)
+        for piece in written:
+            self.apart[[a << 8 | b for a, b in zip(piece, piece[1:], strict=False)]] = False
+        second = np.arange(1 << 16) & 0xFF
+        self.apart[(second & 0xC0) == 0x80] = False  # inside a character
+        self.id_scores = np.zeros(len(p))
+        self.id_scores[list(self.ids.values())] = list(self.scores.values())
+        self.pair_keys, self.pair_fits = np.array([-1]), np.array([False])
         raw = {i: bytes([b]) for b, i in self.bytes.items()}
         raw |= {i: piece.replace(SPACE, " ").encode() for piece, i in self.ids.items()}
         raw[self.unknown] = p.decode([self.unknown]).encode()
-        self.raw = [raw.get(i, b"") for i in range(len(p))]
+        parts = [raw.get(i, b"") for i in range(len(p))]
+        self.raw_bytes = np.frombuffer(b"".join(parts), np.uint8)
+        self.raw_sizes = np.array(list(map(len, parts)))
+        self.raw_at = np.cumsum(self.raw_sizes) - self.raw_sizes
         #: Every ending of a piece: the piece's id if it is one itself, else -1.
         self.tails = {piece[i:]: -1 for piece in self.ids for i in range(len(piece))}
         self.tails |= self.ids
@@ -112,14 +132,17 @@ class Vocabulary:
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging neighbours of the best score, the first on ties."""
+        known, none = self.scores.get, -np.inf
         parts = list(text)
-        while len(parts) > 1:
-            joined = [self.scores.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-            best = max((s for s in joined if s is not None), default=None)
-            if best is None:
-                break
+        joined = [known(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while joined and (best := max(joined)) > none:
             i = joined.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del joined[i]
+            if i:
+                joined[i - 1] = known(parts[i - 1] + parts[i], none)
+            if i < len(joined):
+                joined[i] = known(parts[i] + parts[i + 1], none)
         return parts
 
     def agrees(self, before: int, piece: int) -> bool:
@@ -254,33 +277,190 @@ class Vocabulary:
     def searched(self, text: Iterable[str]) -> bytes:
         return self.packed(self.stream(text))
 
-    def word(self, word: str) -> bytes:
-        if len(word) > LONG_WORD:
-            return self.searched(word)
-        ids = self.packed(self.short(word))
-        if len(self.words) < MOST_WORDS:
-            self.words[word] = ids
+    def side_by_side(self, words: list[bytes]) -> list[bytes]:
+        """Ids of many short words, searched together: each boundary of all of them is one numpy step."""
+        out: list[bytes] = [b""] * len(words)
+        order = sorted(range(len(words)), key=lambda i: -len(words[i]))
+        for at in range(0, len(order), LANES):
+            part = order[at : at + LANES]
+            for i, ids in zip(part, self._lanes([words[i] for i in part]), strict=True):
+                out[i] = ids
+        return out
+
+    def _lanes(self, raw: list[bytes]) -> list[bytes]:
+        """`raw` is sorted by length, longest first; spaces stand for word starts."""
+        trie, n, size = self.trie, len(raw), len(raw[0])
+        data = np.zeros((n, size + 1), np.uint8)
+        for i, word in enumerate(raw):
+            data[i, : len(word)] = np.frombuffer(word, np.uint8)
+        lengths = np.array([len(w) for w in raw])
+        back, last = np.zeros((n, size + 1), np.int32), np.full((n, size + 1), START, np.int32)
+        score = np.zeros((n, size + 1))
+        inner = (data & 0xC0) == 0x80  # bytes that go on in a character
+        for end in range(1, size + 1):
+            rows = np.flatnonzero((lengths >= end) & ((lengths == end) | ~inner[:, end]))
+            if not len(rows):
+                continue
+            found = trie.endings(data, rows, end)
+            start = np.full(len(rows), end - 1)
+            while (within := inner[rows, start]).any():
+                start[within] -= 1
+            own, total = np.full(len(rows), UNKNOWN, np.int32), np.zeros(len(rows))
+            if self.kind == BPE:
+                left = np.arange(len(rows))
+                for k in range(found.shape[1], 0, -1):
+                    ids = found[left, k - 1]
+                    has = np.flatnonzero(ids >= 0)
+                    if len(has):
+                        fits = has[self.agreeing(last[rows[left[has]], end - k], ids[has])]
+                        own[left[fits]], start[left[fits]] = ids[fits], end - k
+                        left = np.delete(left, fits)
+            else:
+                total = score[rows, start] + self.unknown_score
+                for k in range(1, found.shape[1] + 1):
+                    has = np.flatnonzero(found[:, k - 1] >= 0)
+                    sums = score[rows[has], end - k] + self.id_scores[found[has, k - 1]]
+                    better = (sums > total[has]) | (own[has] == UNKNOWN) & (start[has] == end - k)
+                    has, sums = has[better], sums[better]
+                    own[has], start[has], total[has] = found[has, k - 1], end - k, sums
+            back[rows, end], last[rows, end], score[rows, end] = start, own, total
+        # all paths back at once, a piece a step; row i's pieces end up in columns 0, 1, ...
+        to, lane, steps = lengths.copy(), np.arange(n), []
+        while len(live := np.flatnonzero(to)):
+            ids = np.full(n, UNKNOWN - 1, np.int32)
+            ids[live] = last[live, to[live]]
+            to[live] = back[live, to[live]]
+            steps.append(ids)
+        table = np.array(steps[::-1], np.int32).reshape(-1, n).T
+        plain = ~(table == UNKNOWN).any(1)
+        used = table >= 0
+        flat, ends = table[used].tobytes(), np.cumsum(used.sum(1)) * 4
+        out = [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        for i in lane[~plain].tolist():
+            pieces, end = [], len(raw[i])
+            while end:
+                text = raw[i][back[i, end] : end].decode().replace(" ", SPACE)
+                pieces.append((int(last[i, end]), text))
+                end = back[i, end]
+            out[i] = self.packed(pieces[::-1])
+        return out
+
+    def agreeing(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """agrees() of many pairs. Answers are kept as sorted numbers, the latest ones as a dictionary."""
+        keys = (before.astype(np.int64) + 2) << 32 | piece
+        at = np.searchsorted(self.pair_keys, keys).clip(max=len(self.pair_keys) - 1)
+        fits = self.pair_fits[at]
+        unknown = np.flatnonzero(self.pair_keys[at] != keys)
+        if len(unknown):
+            new, which = np.unique(keys[unknown], return_inverse=True)
+            known = [self.agrees((k >> 32) - 2, k & 0xFFFFFFFF) for k in new.tolist()]
+            fits[unknown] = np.array(known, bool)[which]
+            if len(self.pairs) > 10_000 + len(self.pair_keys) // 4:
+                self._keep_pairs()
+        return fits
+
+    def _keep_pairs(self) -> None:
+        keys = [(a + 2) << 32 | b for a, b in self.pairs]
+        merged = np.concatenate([self.pair_keys, np.array(keys, np.int64)])
+        fits = np.concatenate([self.pair_fits, np.array(list(self.pairs.values()), bool)])
+        if len(merged) > MOST_PAIRS:
+            merged, fits = merged[:1], fits[:1]
+        order = np.argsort(merged)
+        self.pair_keys, self.pair_fits = merged[order], fits[order]
+        self.pairs.clear()
+
+    def ids_of_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, in which spaces stand for word starts."""
+        ids = list(map(self.words.get, words))
+        new = [i for i, known in enumerate(ids) if known is None]
+        short = [i for i in new if len(words[i]) <= LONG_WORD]
+        if len(short) < FEW:
+            found = [self.packed(self.short(words[i].decode().replace(" ", SPACE))) for i in short]
+        else:
+            found = self.side_by_side([words[i] for i in short])
+        for i, got in zip(short, found, strict=True):
+            ids[i] = got
+        for i in short[: MOST_WORDS - len(self.words)]:
+            self.words[words[i]] = ids[i]
+        for i in new:
+            if ids[i] is None:
+                ids[i] = self.searched(words[i].decode().replace(" ", SPACE))
         return ids
 
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids before each text and in all)."""
+        normal = [self.processor.normalize(t) for t in texts]
+        data, offsets = utf8_of(pc.replace_substring(pa.array(normal, pa.string()), SPACE, " "))
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        starts = np.zeros(len(data) + 1, bool)
+        starts[1:-1] = self.apart[data[:-1].astype(np.int32) << 8 | data[1:]]
+        starts[offsets] = True
+        cuts = np.flatnonzero(starts)
+        buffers = [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)]
+        found = pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, buffers).dictionary_encode()
+        ids = self.ids_of_words(found.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), np.int32), np.cumsum(sizes) - sizes
+        which = found.indices.to_numpy(zero_copy_only=False)
+        count = sizes[which]
+        ends = np.cumsum(count)
+        at = np.repeat(first[which] - (ends - count), count) + np.arange(ends[-1])
+        return flat[at], np.concatenate([[0], ends])[np.searchsorted(cuts, offsets)]
+
     def encode(self, text: str) -> np.ndarray:
-        text = self.processor.normalize(text)
-        if not self.by_word or not text:
-            return np.frombuffer(self.searched(text), np.int32)
-        head, *tails = text.split(SPACE)
-        parts, run = [head] if head else [], ""
-        for tail in tails:
-            run += SPACE
-            if tail:
-                parts.append(run + tail)
-                run = ""
-        if run:
-            parts.append(run)
-        known, missing = self.words.get, self.word
-        return np.frombuffer(b"".join([known(p) or missing(p) for p in parts]), np.int32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: Iterable[int]) -> str:
-        raw = b"".join([self.raw[i] for i in ids])
-        return raw.removeprefix(b" ").decode("utf-8", "replace")
+        return self.decode_all(np.fromiter(ids, np.int64), np.array([0]))[0]
+
+    def decode_all(self, ids: np.ndarray, starts: np.ndarray) -> list[str]:
+        """Texts of concatenated ids, given where each text starts."""
+        sizes = self.raw_sizes[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.repeat(self.raw_at[ids] - (ends - sizes), sizes) + np.arange(total)
+        data = self.raw_bytes[at].tobytes()
+        edges = np.append(np.concatenate([[0], ends])[starts], total).tolist()
+        parts = (data[a:b].removeprefix(b" ") for a, b in zip(edges, edges[1:], strict=False))
+        return [part.decode("utf-8", "replace") for part in parts]
+
+
+class Endings:
+    """A trie of all pieces read from their ends, as sorted arrays: steps of many words at once."""
+
+    def __init__(self, pieces: dict[bytes, int]):
+        nodes = {b"": 0}
+        for piece in pieces:
+            for i in range(len(piece) - 1, -1, -1):
+                nodes.setdefault(piece[i:], len(nodes))
+        keys = [(nodes[tail[1:]] << 8 | tail[0], node) for tail, node in nodes.items() if tail]
+        pairs = np.array(sorted(keys), np.int64).reshape(-1, 2)
+        self.keys, self.nodes = pairs[:, 0], pairs[:, 1]
+        self.ids = np.array([pieces.get(tail, -1) for tail in nodes], np.int32)
+        self.longest = max(map(len, pieces), default=1)
+        self.root = np.full(256, -1, np.int64)
+        near = self.keys < 256
+        self.root[self.keys[near]] = self.nodes[near]
+
+    def endings(self, data: np.ndarray, rows: np.ndarray, end: int) -> np.ndarray:
+        """For each row and k = 1, 2, ...: id of the piece that is the last k bytes before `end`, or -1."""
+        most = min(end, self.longest)
+        out = np.full((len(rows), most), -1, np.int32)
+        node = self.root[data[rows, end - 1]]
+        live = np.flatnonzero(node >= 0)
+        node, deepest = node[live], 0
+        for k in range(1, most + 1):
+            if k > 1:
+                key = node << 8 | data[rows[live], end - k]
+                at = np.searchsorted(self.keys, key).clip(max=len(self.keys) - 1)
+                same = self.keys[at] == key
+                live, node = live[same], self.nodes[at[same]]
+            if not len(live):
+                break
+            out[live, k - 1] = self.ids[node]
+            deepest = k
+        return out[:, :deepest]
 
 
 _LOADED: dict[str, Vocabulary] = {}
@@ -294,12 +474,6 @@ def vocabulary(model: bytes) -> Vocabulary:
     return _LOADED[key]
 
 
-def lists_of(values: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
-    flat = np.concatenate(values) if values else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))
-
-
 def shared_model(spark, path: str):
     """The model file, read once by the driver and broadcast: a fixed file of some MB at most."""
     with open(path, "rb") as file:
@@ -311,8 +485,13 @@ def ids_of(text: Column, model) -> Column:
 
     @F.arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
-        pieces = vocabulary(model.value)
-        return lists_of([pieces.encode(t) for t in texts.to_pylist()])
+        pieces, sizes, flat = vocabulary(model.value), [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
+        for _, part in runs(texts):
+            ids, before = pieces.encode_all(part.to_pylist())
+            flat.append(ids)
+            sizes.append(np.diff(before))
+        ends = np.cumsum(np.concatenate(sizes)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat).astype(np.int32)))
 
     return encoded(F.coalesce(text, F.lit("")))
 
@@ -320,8 +499,15 @@ def ids_of(text: Column, model) -> Column:
 def text_of_ids(ids: Column, model) -> Column:
     @F.arrow_udf("string")
     def decoded(lists: pa.Array) -> pa.Array:
-        pieces = vocabulary(model.value)
-        texts = [pieces.decode(i for i in ids or () if i is not None) for ids in lists.to_pylist()]
+        pieces, texts = vocabulary(model.value), []
+        for at in range(0, len(lists), TEXTS):
+            part = lists.slice(at, TEXTS)
+            members = part.flatten().drop_null()
+            counts = pc.list_value_length(part).fill_null(0).to_numpy(zero_copy_only=False)
+            if len(members) != counts.sum():  # null members
+                parent = pc.list_parent_indices(part).filter(part.flatten().is_valid())
+                counts = np.bincount(parent.to_numpy(zero_copy_only=False), minlength=len(part))
+            texts += pieces.decode_all(members.to_numpy(zero_copy_only=False), np.cumsum(counts) - counts)
         return pa.array(texts, pa.string())
 
     return decoded(ids)

@@ -113,7 +113,7 @@ def split(ids, before):
 def test_bpe_ids_are_the_library_s(model):
     library = sentencepiece.SentencePieceProcessor(model_proto=model)
     pieces = sentence_pieces.Vocabulary(model)
-    assert pieces.kind == sentence_pieces.BPE and pieces.by_word
+    assert pieces.kind == sentence_pieces.BPE
     texts = odd_texts(3000, 1) + [r[1] or "" for r in awkward()]
     expected = library.encode(texts)
     assert split(*pieces.encode_all(texts)) == expected  # words side by side
