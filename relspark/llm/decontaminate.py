@@ -14,7 +14,7 @@ sides while words are equal. Extended spans of WINDOW words or more are the hits
 Items shorter than a window are looked up by the gram of all their words, for each such length.
 
 Null text has no words: no hits, and as an item no window. Rows with the same id, or none, are told
-apart. Repeated items with different ids count each. Empty tables give an empty result, or no hits.
+apart. Repeated items with different ids count each; items without id hit words but are not counted. Empty tables give an empty result, or no hits.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relspark.llm.rows import column, numbered, text_of, without_rows
-from relspark.llm.words import Words, span_hashes, words_of
+from relspark.llm.words import Words, runs, span_hashes, words_of
 from relspark.operators.joins import sized_join
 from relspark.sources.stored import measured, stored
 
@@ -109,24 +109,27 @@ def with_grams(
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if bit_map is None else np.frombuffer(bit_map.value, np.uint8)
         for batch in batches:
-            words = words_of(batch["text"])
-            counts = words.counts()
-            found: list[list[dict]] = [[] for _ in counts]
-            lengths = range(1, window) if whole_items else short
-            for span, size, at, fps in selected_grams(words, window, k, list(lengths)):
-                if known is not None:
-                    bit = fps >> np.uint64(64 - MAP_BITS)
-                    seen = known[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1
-                    at, fps = at[seen > 0], fps[seen > 0]
-                texts = np.searchsorted(words.first, at, "right") - 1
-                if whole_items and span < window:
-                    fits = counts[texts] == span
-                    at, fps, texts = at[fits], fps[fits], texts[fits]
-                reach = window - size if span == window else 0
-                for t, a, fp in zip(texts.tolist(), at.tolist(), fps.view(np.int64).tolist(), strict=True):
-                    found[t].append(_row(words, t, span, size, a, fp, reach))
-            columns = [batch["row"], batch["id"], pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, _GRAMS)], names)
+            for first, texts in runs(batch["text"]):
+                words = words_of(texts)
+                counts = words.counts()
+                found: list[list[dict]] = [[] for _ in counts]
+                lengths = range(1, window) if whole_items else short
+                for span, size, at, fps in selected_grams(words, window, k, list(lengths)):
+                    if known is not None:
+                        bit = fps >> np.uint64(64 - MAP_BITS)
+                        seen = known[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1
+                        at, fps = at[seen > 0], fps[seen > 0]
+                    owner = np.searchsorted(words.first, at, "right") - 1
+                    if whole_items and span < window:
+                        fits = counts[owner] == span
+                        at, fps, owner = at[fits], fps[fits], owner[fits]
+                    reach = window - size if span == window else 0
+                    signed = fps.view(np.int64).tolist()
+                    for t, a, fp in zip(owner.tolist(), at.tolist(), signed, strict=True):
+                        found[t].append(_row(words, t, span, size, a, fp, reach))
+                keys = [batch[c].slice(first, len(texts)) for c in ("row", "id")]
+                columns = [*keys, pa.array(counts, pa.int64()), pa.array(found, _GRAMS)]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["row", "id", "n_words", "grams"]
     return rows.mapInArrow(read, f"row long, id {kind}, n_words long, grams {GRAMS}")
