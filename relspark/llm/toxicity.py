@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 
 from relspark.llm.labelled import fold_of, labelled_sample
 from relspark.llm.rows import column, text_of
-from relspark.llm.words import Words, span_hashes, words_of
+from relspark.llm.words import Words, runs, span_hashes, words_of
 
 WINDOW = 48
 FACTORS = 4
 PREFIXES = (4, 5, 6)
-PER_CLASS = 4000
-MAX_BYTES = 20_000
+PER_CLASS = 2000
+MAX_BYTES = 12_000
 MAX_TERMS = 1 << 15
 CHI2 = 30.0
 EPOCHS = 8
@@ -161,7 +161,7 @@ def train(texts: pa.Array, labels: list[int], epochs: int = EPOCHS, seed: int =
     words = words_of(texts)
     places, terms = word_terms(words)
     known = associated_terms(words, places, terms, y)
-    numbers = term_numbers(known, terms)[places]  # terms of the word at each place
+    numbers = term_numbers(known, terms).astype(np.int32)[places]  # terms of the word at each place
     text, starts = windows(words)
     ends = np.append(starts[1:], len(places))
     size, random = len(known) + 1, np.random.default_rng(seed)
@@ -238,7 +238,9 @@ def score_of(text: Column, model: Model, spark) -> Column:
 
     @F.arrow_udf("double")
     def scores(texts: pa.Array) -> pa.Array:
-        return pa.array(score_texts(Model(*shared.value), texts), pa.float64())
+        model = Model(*shared.value)
+        found = [score_texts(model, part) for _, part in runs(texts)]
+        return pa.array(np.concatenate([np.zeros(0), *found]), pa.float64())
 
     return scores(text)
 
