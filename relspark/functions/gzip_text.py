@@ -1,8 +1,12 @@
-"""Gzip blobs to text and back, Arrow batches at a time. Spark has no such function."""
+"""Gzip blobs to text and back, Arrow batches at a time. Spark has no such function.
+
+A blob that cannot be unpacked, or is not UTF-8, gives NULL; `unreadable` counts such rows.
+"""
 
 from __future__ import annotations
 
 import gzip
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,10 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _unpacked(blob: bytes | None) -> str | None:
+    try:
+        return None if blob is None else gzip.decompress(blob).decode("utf-8")
+    except (OSError, EOFError, zlib.error, UnicodeDecodeError):
+        return None
+
+
 @F.arrow_udf(T.StringType())
 def gunzip_text(blobs: pa.Array) -> pa.Array:
-    texts = [None if b is None else gzip.decompress(b).decode("utf-8") for b in blobs.to_pylist()]
-    return pa.array(texts, pa.string())
+    return pa.array([_unpacked(b) for b in blobs.to_pylist()], pa.string())
 
 
 @F.arrow_udf(T.BinaryType())
@@ -29,3 +39,18 @@ def decode_results(data: DataFrame) -> DataFrame:
     if isinstance(data.schema["results"].dataType, T.BinaryType):
         return data.withColumn("results", gunzip_text("results"))
     return data
+
+
+def unreadable(data: DataFrame) -> DataFrame:
+    """(service_name, n_results, n_undecodable, n_unparsable) of the results of each service.
+
+    Undecodable blobs are no gzip or no UTF-8 text, unparsable ones decode to something that is no JSON.
+    """
+    given = data.withColumn("_given", F.col("results").isNotNull())
+    text = decode_results(given).select("service_name", "_given", "results")
+    parsed = F.try_parse_json("results")
+    return text.groupBy("service_name").agg(
+        F.count_if("_given").alias("n_results"),
+        F.count_if(F.col("_given") & F.col("results").isNull()).alias("n_undecodable"),
+        F.count_if(F.col("results").isNotNull() & parsed.isNull()).alias("n_unparsable"),
+    )

@@ -42,7 +42,7 @@ def string_only(member: Column) -> Column:
 
 def string_member(text: Column, name: str) -> Column:
     """A top-level member of a JSON text if it is a JSON string other than the sentinel."""
-    return string_only(F.variant_get(F.parse_json(text), f"$.{name}", "variant"))
+    return string_only(F.variant_get(F.try_parse_json(text), f"$.{name}", "variant"))
 
 
 def member_or(text: Column, path: str, default: float) -> Column:
@@ -63,15 +63,26 @@ def detection_names(text: Column) -> Column:
     return F.filter(F.transform(scans, lambda s: s["result"]), lambda r: r.isNotNull())
 
 
-def _find(node: object, name: str, found: list) -> None:
-    if isinstance(node, dict):
-        for key, value in node.items():
-            if key == name:
-                found.append(value)
-            _find(value, name, found)
-    elif isinstance(node, list):
-        for value in node:
-            _find(value, name, found)
+def _find(root: object, name: str) -> list:
+    """Members called `name` at any depth, in document order, without recursion."""
+    found, waiting = [], [(None, root)]
+    while waiting:
+        key, node = waiting.pop()
+        if key == name:
+            found.append(node)
+        if isinstance(node, dict):
+            waiting.extend(reversed(node.items()))
+        elif isinstance(node, list):
+            waiting.extend((None, value) for value in reversed(node))
+    return found
+
+
+def _parsed(text: str | None) -> tuple[bool, object]:
+    """(whether it is JSON of a depth that can be read, the value)."""
+    try:
+        return (False, None) if text is None else (True, json.loads(text))
+    except (ValueError, RecursionError):
+        return False, None
 
 
 def _follow(node: object, path: tuple[str, ...]) -> object:
@@ -98,12 +109,8 @@ def _find_all(text: Column, name: str, path: tuple[str, ...], make, item: pa.Dat
     def find_all(texts: pa.Array) -> pa.Array:
         rows = []
         for one in texts.to_pylist():
-            if one is None:
-                rows.append(None)
-                continue
-            found: list = []
-            _find(json.loads(one), name, found)
-            rows.append([make(_follow(hit, path)) for hit in found])
+            known, value = _parsed(one)
+            rows.append([make(_follow(hit, path)) for hit in _find(value, name)] if known else None)
         return pa.array(rows, pa.list_(item))
 
     return find_all(text)
@@ -113,7 +120,7 @@ def json_find_all(text: Column, name: str, path: tuple[str, ...] = ()) -> Column
     """Every member called `name` at any depth in document order, as array<string>.
 
     With a path, what lies under it in each hit. Strings are given bare, other values as JSON text,
-    null and missing as NULL. JSON paths in Spark cannot search at unknown depth, so this runs in
+    null and missing as NULL; text that is no JSON, or nested too deep to read, gives NULL. JSON paths in Spark cannot search at unknown depth, so this runs in
     Python on Arrow batches.
     """
     return _find_all(text, name, path, _as_text, pa.string())

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relspark.operators.relationships import primary_relationships, relationship_records
+from relspark.operators.relationships import (
+    RECORD_PARTS,
+    primary_relationships,
+    relationship_records,
+)
 from relspark.plans.knowledge import build_knowledge_base
 from relspark.sources.stored import stored
 from relspark.sources.tables import append_knowledge_base, append_relationships
@@ -26,6 +30,7 @@ def run(
     ts: Column | None = None,
     kb_path: str | None = None,
     records_path: str | None = None,
+    parts: int = RECORD_PARTS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Build the knowledge base of a batch and the relationships of the targets.
 
@@ -36,7 +41,7 @@ def run(
     kb = stored(build_knowledge_base(meta, data, batch, stamp))
     targets = stored(targets)
     edges = stored(primary_relationships(kb, targets))
-    records = relationship_records(kb, targets, edges, stamp)
+    records = relationship_records(kb, targets, edges, stamp, parts=parts)
     if kb_path is not None:
         append_knowledge_base(kb, kb_path)
     if records_path is not None:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,7 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 @dataclass(frozen=True)
 class Stored:
-    """A stored table with its number of rows and its size as JSON text, measured as it was written."""
+    """A stored table with its number of rows and its bytes in memory, measured as it was written."""
 
     df: DataFrame
     rows: int
@@ -33,15 +34,44 @@ def stored(df: DataFrame) -> DataFrame:
     executors, cuts the lineage, and gives Spark its true size for later join planning.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/relspark/{uuid.uuid4().hex}"
+    path = f"{folder_of_application(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folder_of_application(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables."""
+    return f"{shared_folder(spark)}/relspark/{spark.sparkContext.applicationId}"
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application. Results not yet written need them."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder_of_application(spark))
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(folder, True)
+
+
+def _width(column: Column, kind: T.DataType) -> Column:
+    """Bytes of a value in memory, about: 8 for numbers, the length of texts, all members of lists."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.NumericType, T.BooleanType)):
+            return F.greatest(F.size(column), F.lit(0)) * 8 + 8
+        each = F.transform(column, lambda x: _width(x, kind.elementType).cast("long"))
+        return F.coalesce(F.aggregate(each, F.lit(0).cast("long"), lambda a, b: a + b), F.lit(0)) + 8
+    if isinstance(kind, T.StructType):
+        return sum((_width(column[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    if isinstance(kind, (T.NumericType, T.BooleanType, T.DatetimeType)):
+        return F.lit(8)
+    return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) * 8
+
+
 def measured(df: DataFrame) -> Stored:
-    """Store a table and measure it in the same pass; the text size is above the in-memory size."""
+    """Store a table, and sum up its rows and the bytes they take in memory in the same pass."""
     seen = Observation()
-    width = F.octet_length(F.to_json(F.struct(*df.columns)))
+    widths = (_width(df[f"`{f.name}`"], f.dataType) for f in df.schema.fields)
+    width = sum(widths, F.lit(0)).cast("long")
     table = stored(
         df.observe(
             seen,

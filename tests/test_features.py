@@ -185,7 +185,7 @@ def test_opcodes(spark, as_table):
         "a": [1, 2, 0, 3, 0, 0],
         "b": [3, 0, 0, 0, 0, 0],
         "c": [0] * 6,
-        "e": [1] * 6,
+        "e": [1] * 9,
     }
     whole = by_id(P.opcode_features(meta, data, vocab, length=None))
     assert len(whole["e"]) == 9 and whole["c"] == []

@@ -1,17 +1,19 @@
 import datetime as dt
 import gzip
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from relspark.functions import json_fields as J
-from relspark.functions.gzip_text import decode_results, gunzip_text, gzip_text
+from relspark.functions.gzip_text import decode_results, gunzip_text, gzip_text, unreadable
 from relspark.operators.relationships import records_as_json
 from relspark.plans import app
 from relspark.plans.knowledge import build_knowledge_base
 from relspark.sources import tables as TB
 from relspark.sources.schemas import KNOWLEDGE_BASE, OBJECTS, RESULTS_DATA, RESULTS_META
+from relspark.sources.stored import drop_stored, folder_of_application, measured
 
 NOW = dt.datetime(2024, 5, 1)
 
@@ -124,7 +126,7 @@ def test_app_writes_and_reads_back(spark, inputs, tmp_path):
     targets = objects.distinct()
     for day in (1, 2):
         stamp = F.lit(dt.datetime(2024, 6, day))
-        _, edges, _ = app.run(objects, meta, data, targets, None, stamp, kb_path, records_path)
+        _, edges, _ = app.run(objects, meta, data, targets, None, stamp, kb_path, records_path, 1)
     assert sorted((r.object_id, r.other_id, r.feature_type) for r in edges.collect()) == [
         ("o1", "o2", "binary_signature"),
         ("o2", "o1", "binary_signature"),
@@ -148,7 +150,7 @@ def test_app_takes_a_batch(spark, inputs):
     targets = spark.createDataFrame([("o1",)], OBJECTS)
     kb, edges, records = app.run(objects, meta, data, targets, batch_size=2)
     assert {r.object_id for r in kb.collect()} == {"o1", "o2"}
-    assert [r.object_id for r in records.collect()] == ["o1"]
+    assert {r.object_id for r in records.collect()} == {"o1"}
 
 
 def test_sources(spark, tmp_path):
@@ -177,3 +179,41 @@ def test_feature_type_is_pruned_at_the_scan(spark, inputs, tmp_path, capsys):
     TB.kb_by_feature(TB.read_table(spark, path, KNOWLEDGE_BASE), "pehash").explain("formatted")
     plan = capsys.readouterr().out
     assert "PartitionFilters" in plan and "feature_type" in plan.split("PartitionFilters")[1][:120]
+
+
+def test_bad_results_give_null_and_are_counted(spark):
+    good, deep = '{"opcodes": ["mov"]}', "[" * 5000 + "]" * 5000
+    packed = gzip.compress(good.encode())
+    rows = [
+        ("a", "objdump", packed),
+        ("b", "objdump", packed[:-9]),
+        ("c", "objdump", b"no gzip"),
+        ("d", "objdump", gzip.compress(b"\xff\xfe")),
+        ("e", "objdump", gzip.compress(good[:-4].encode())),
+        ("f", "objdump", gzip.compress(deep.encode())),
+        ("g", "objdump", None),
+    ]
+    data = spark.createDataFrame(rows, "object_id string, service_name string, results binary")
+    text = decode_results(data)
+    found = {r.object_id: r.o for r in text.select("object_id", J.opcode_lists(F.col("results")).alias("o")).collect()}
+    assert found.pop("a") == [["mov"]]
+    assert found.pop("f") in (None, [])  # as deep as the parser goes
+    assert set(found.values()) == {None}
+    counts = unreadable(data).first()
+    assert (counts.n_results, counts.n_undecodable) == (6, 3) and counts.n_unparsable in (1, 2)
+
+
+def test_search_keeps_document_order(spark):
+    text = '{"a": {"x": 1, "b": [{"x": 2}, {"c": {"x": 3}}]}, "x": {"x": 4}, "d": [[{"x": 5}]]}'
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(J.json_find_all(F.col("t"), "x")).first()[0] == ["1", "2", "3", '{"x":4}', "4", "5"]
+
+
+def test_stored_tables_can_be_dropped(spark, tmp_path):
+    folder = folder_of_application(spark)
+    table = measured(spark.range(5).selectExpr("id", "array(1.0, 2.0) AS a", "'xyz' AS t", "named_struct('s', 'q') AS s"))
+    assert table.rows == 5 and table.size >= 5 * (8 + 16 + 3)
+    path = folder.removeprefix("file:")
+    assert os.listdir(path)
+    drop_stored(spark)
+    assert not os.path.exists(path)
