@@ -30,7 +30,7 @@ from relspark.sources.stored import stored
 IMPORTS_OVER = 20
 TYPES_OVER = 5
 WORDS_OVER = 50
-VECTOR_CLASSES = 10
+VECTOR_CLASSES, VECTOR_WIDTH = 10, 64
 
 
 def words_of(df: DataFrame, *keys: str) -> DataFrame:
@@ -165,28 +165,49 @@ def embedding_arrays(spark, sf_dir):
         F.concat(F.lit("vec-"), "vec_id").alias("object_id"),
         F.transform("embedding", lambda x: x.cast("double")).alias("features"),
         V.one_hot(F.col("label"), VECTOR_CLASSES).alias("label"),
+        (F.col("vec_id") % 5 == 0).alias("held_out"),
     )
 
 
+def vector_model(rows: DataFrame):
+    """A classifier of the vectors, trained on those that are not held out."""
+    train = rows.where("NOT held_out")
+    return classify.train(train, VECTOR_WIDTH, VECTOR_CLASSES, hidden=(32,), max_iter=50)
+
+
 def kmeans(spark, sf_dir):
+    """The cluster of each vector must be that of the nearest centre."""
     rows = stored(embedding_arrays(spark, sf_dir))
-    return P.cluster_numbers(rows, P.fit_clusters(rows))
+    model = P.fit_clusters(rows)
+    found = rows.join(P.cluster_numbers(rows, model), "object_id")
+    away = P.centre_distances(F.col("features"), model)
+    return found.select(
+        "object_id",
+        F.col("cluster").between(0, P.CLUSTERS - 1).alias("in_range"),
+        (F.get(away, F.col("cluster")) <= F.array_min(away) + 1e-6).alias("nearest"),
+    )
 
 
 def cluster_labels(spark, sf_dir):
     """Keyword flags of the documents clustered into labels."""
     _, matrix = P.keyword_features(*scans(spark, sf_dir), stop_words(spark, sf_dir))
     labels = P.cluster_labels(matrix)
-    return labels.select("object_id", V.arg_max(F.col("label")).alias("cluster"))
+    ones = F.aggregate("label", F.lit(0.0), lambda a, b: a + b)
+    one_hot = (F.size("label") == P.CLUSTERS) & (ones == 1.0) & (F.array_max("label") == 1.0)
+    return labels.select("object_id", one_hot.alias("one_hot"))
 
 
 def classify_vectors(spark, sf_dir):
-    """Train on all vectors, then label, prediction and output line of each."""
+    """Label of each vector, and whether its class and printed line are well formed."""
     rows = stored(embedding_arrays(spark, sf_dir))
-    width = len(rows.select("features").first()[0])
-    model = classify.train(rows, width, VECTOR_CLASSES, hidden=(32,), max_iter=50)
-    evaluated = classify.evaluate(model, rows)
-    return evaluated.select("*", classify.evaluation_line().alias("line"))
+    evaluated = classify.evaluate(vector_model(rows), rows)
+    line = F.concat(F.lit("Label: "), "label", F.lit(", Prediction: "), "prediction")
+    return evaluated.select(
+        "object_id",
+        "label",
+        F.col("prediction").between(0, VECTOR_CLASSES - 1).alias("in_range"),
+        (classify.evaluation_line() == line).alias("line_holds"),
+    )
 
 
 def classify_documents(spark, sf_dir):
@@ -194,14 +215,19 @@ def classify_documents(spark, sf_dir):
     pe = stored(P.pe_features(*pe_inputs(spark, sf_dir), IMPORTS_OVER))
     opcodes = P.opcode_features(*disassemblies(spark, sf_dir), length=None)
     joined = P.join_features(pe, opcodes)
-    pe_width = pe.select(F.size("features")).first()[0]
+    pe_width = pe.agg(F.coalesce(F.max(F.size("features")), F.lit(0))).first()[0]
     inputs = stored(
         joined.select("object_id", classify.classifier_input(F.col("features"), pe_width).alias("features"))
     )
     labelled = P.training_set(quality_labels(spark, sf_dir), inputs)
     model = classify.train(labelled, pe_width + V.CLASSIFIER_CODES, 2, hidden=(32,), max_iter=30)
     predicted = classify.predict(model, inputs)
-    return predicted.select("*", classify.prediction_line().alias("line"))
+    line = F.concat(F.lit("Sha256: "), "object_id", F.lit(", Prediction: "), "prediction")
+    return predicted.select(
+        "object_id",
+        F.col("prediction").between(0, 1).alias("in_range"),
+        (classify.prediction_line() == line).alias("line_holds"),
+    )
 
 
 QUERIES = {
@@ -295,6 +321,16 @@ OPCODES = f"""
                     AS codes FROM ops)"""
 
 ORACLE = {
+    # what must hold of any fitted model
+    "q_kmeans": "SELECT 'vec-' || vec_id AS object_id, true AS in_range, true AS nearest FROM embeddings",
+    "q_cluster_labels": "SELECT 'doc-' || doc_id AS object_id, true AS one_hot FROM documents",
+    "q_classify": """
+        SELECT 'vec-' || vec_id AS object_id, CAST(label AS INTEGER) AS label, true AS in_range,
+               true AS line_holds FROM embeddings""",
+    "q_classify_documents": f"""
+        WITH {OPCODES}
+        SELECT 'doc-' || doc_id AS object_id, true AS in_range, true AS line_holds
+        FROM code JOIN documents USING (doc_id) WHERE lang <> 'es' AND len(codes) > 0""",
     "q_tokens": f"""
         WITH use AS ({sql_keywords('documents', 'text', 'doc_id,')})
         SELECT doc_id, term, count(*) AS n FROM use GROUP BY doc_id, term""",
