@@ -386,11 +386,16 @@ def main_texts(model: Model, pages: list[str]) -> list[str]:
 def fit(
     pages: DataFrame, id_column: str = "page_id", html_column: str = "html", most: int = PAGES, max_bytes: int = MAX_BYTES
 ) -> Model:
-    """A model of at most `most` pages of at most max_bytes each."""
+    """A model of at most `most` pages of at most max_bytes each.
+
+    The pages are chosen by place first, so that only theirs travel; of one place one page is taken.
+    """
     page = text_of(pages, html_column).alias("page")
     place = F.xxhash64(column(pages, id_column)).alias("place")
     sizes = pages.select(place, page).where(F.octet_length("page") <= max_bytes)
-    rows = sizes.orderBy("place", "page").limit(most).collect()
+    chosen = sizes.groupBy("place").agg(F.lit(1).alias("one")).orderBy("place").limit(most).drop("one")
+    found = sizes.join(F.broadcast(chosen), "place").groupBy("place").agg(F.min("page").alias("page"))
+    rows = sorted(found.collect())  # at most `most` rows
     return train([r["page"] for r in rows])
 
 

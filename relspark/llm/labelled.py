@@ -28,7 +28,8 @@ def labelled_sample(
     """(texts, labels): at most per_class texts of each label, none longer than max_bytes.
 
     The rows with the least hash of their id are taken, none of the held-out fold. The order is that
-    of the hash. Rows without label or id are left out; an id labelled twice has its greater label.
+    of the hash. Rows without label or id are left out; an id labelled twice has its greater label, an id
+    with several texts the least of them.
     """
     key, label = column(labels, id_column).alias("id"), column(labels, label_column).alias("label")
     known = (
@@ -46,7 +47,8 @@ def labelled_sample(
     found = (
         texts.where(F.octet_length("text") <= max_bytes)
         .join(F.broadcast(chosen), "id")  # at most 2 * per_class rows
-        .select("place", "id", "label", "text")
+        .groupBy("place", "id", "label")
+        .agg(F.min("text").alias("text"))  # an id may have many rows
         .toArrow()
         .sort_by([("place", "ascending"), ("id", "ascending"), ("text", "ascending")])
     )
