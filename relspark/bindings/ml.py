@@ -15,7 +15,7 @@ from relspark.bindings.derived import (
     table,
 )
 from relspark.functions import vectors as V
-from relspark.functions.text import detection_tokens, qualified_name
+from relspark.functions.text import detection_tokens, detection_words, is_keyword, qualified_name
 from relspark.operators.vocabulary import (
     encode_flags,
     encode_sequences,
@@ -34,12 +34,14 @@ VECTOR_CLASSES, VECTOR_WIDTH = 10, 64
 
 
 def words_of(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(*keys, F.explode_outer(detection_tokens(F.col("text"))).alias("term"))
+    """One row per keyword of a text; exploded first, so that each word's tests are compiled code."""
+    words = df.select(*keys, F.explode_outer(detection_words(F.col("text"))).alias("word"))
+    return words.where(is_keyword(F.col("word"))).select(*keys, F.lower("word").alias("term"))
 
 
 def stop_words(spark, sf_dir) -> DataFrame:
     """Every keyword of the benchmark items."""
-    return words_of(table(spark, sf_dir, "benchmark")).where("term IS NOT NULL").distinct()
+    return words_of(table(spark, sf_dir, "benchmark")).distinct()
 
 
 def scans(spark, sf_dir):
@@ -66,7 +68,7 @@ def long_form(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def tokens(spark, sf_dir):
-    terms = words_of(documents_of(spark, sf_dir, "text"), "doc_id").where("term IS NOT NULL")
+    terms = words_of(documents_of(spark, sf_dir, "text"), "doc_id")
     return terms.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 

@@ -44,10 +44,14 @@ def is_keyword(token: Column) -> Column:
     return (F.length(token) >= MIN_TOKEN_LENGTH) & ~token.rlike("[0-9]")
 
 
+def detection_words(name: Column) -> Column:
+    """The words of one detection name, keywords or not."""
+    return F.split(clean_detection(name), " ")
+
+
 def detection_tokens(name: Column) -> Column:
     """The lower-case keyword tokens of one detection name."""
-    words = F.split(clean_detection(name), " ")
-    return F.transform(F.filter(words, is_keyword), F.lower)
+    return F.transform(F.filter(detection_words(name), is_keyword), F.lower)
 
 
 def split_tokens(value: Column) -> Column:
