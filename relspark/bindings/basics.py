@@ -131,7 +131,7 @@ def signature(spark, sf_dir):
         F.struct(F.lit("Signature").alias("key"), F.col("role").alias("value")),
     )
     text = turns.select("conv_id", "turn", F.to_json(F.struct(info.alias("version_info"))).alias("j"))
-    value = J.first_signature(J.parse_peinfo(F.col("j"), "version_info")["version_info"])
+    value = J.first_signature(F.col("j"), J.parse_peinfo(F.col("j"), "version_info")["version_info"])
     return text.select("conv_id", "turn", value.alias("signature"))
 
 

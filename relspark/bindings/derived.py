@@ -61,8 +61,8 @@ def _rows(df: DataFrame, object_id: Column, service: str, results: Column) -> Da
 def peinfo_results(documents: DataFrame) -> DataFrame:
     """Hashes, signature, timestamp, sections and imports of a document's text.
 
-    French documents have an undefined pehash and no timestamp, German ones a numeric imphash,
-    Spanish ones no signature and no sections.
+    French documents have an undefined pehash and no timestamp, German ones a numeric imphash and
+    version records one level deeper, Spanish ones no signature and no sections.
     """
     lang = F.col("lang")
     names = F.array(*[F.lit(n) for n in SECTION_NAMES])
@@ -89,7 +89,7 @@ def peinfo_results(documents: DataFrame) -> DataFrame:
     sections = F.when(lang != "es", F.transform(lines(), section))
     pehash = F.when(lang == "fr", F.lit("Undefined")).otherwise(F.md5("text"))
 
-    def result(imphash: str) -> Column:
+    def result(imphash: str, info: Column) -> Column:
         return F.to_json(
             F.struct(
                 pehash.alias("pehash"),
@@ -101,7 +101,8 @@ def peinfo_results(documents: DataFrame) -> DataFrame:
             )
         )
 
-    text = F.when(lang == "de", result("n_chars")).otherwise(result("source"))
+    deeper = F.struct(F.array(F.struct(info.alias("StringFileInfo"))).alias("children"))
+    text = F.when(lang == "de", result("n_chars", deeper)).otherwise(result("source", info))
     return _rows(documents, doc_id(), "peinfo", text)
 
 
@@ -126,11 +127,19 @@ def sandbox_results(pages: DataFrame) -> DataFrame:
 
 
 def scan_results(documents: DataFrame) -> DataFrame:
-    """Each line of a document is one vendor's detection name; empty lines are null."""
+    """Each line of a document is one vendor's detection name; empty lines are null.
+
+    In French documents the names lie one level deeper.
+    """
     vendors = F.transform(lines(), lambda l, i: F.concat(F.lit("Vendor"), i))
     names = F.transform(lines(), lambda l: F.struct(F.nullif(l, F.lit("")).alias("result")))
-    scans = F.map_from_arrays(vendors, names)
-    return _rows(documents, doc_id(), "virustotal", F.to_json(F.struct(scans.alias("scans"))))
+    deeper = F.transform(names, lambda n: F.struct(n.alias("detail")))
+
+    def report(scans: Column) -> Column:
+        return F.to_json(F.struct(F.map_from_arrays(vendors, scans).alias("scans")))
+
+    text = F.when(F.col("lang") == "fr", report(deeper)).otherwise(report(names))
+    return _rows(documents, doc_id(), "virustotal", text)
 
 
 def disassembly_results(documents: DataFrame) -> DataFrame:

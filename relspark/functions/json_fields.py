@@ -50,17 +50,43 @@ def member_or(text: Column, path: str, default: float) -> Column:
     return F.coalesce(F.get_json_object(text, path).cast("double"), F.lit(default))
 
 
-def first_signature(version_info: Column) -> Column:
-    """The value of the first {key, value} record whose key names a signature, without quotes."""
-    hit = F.filter(version_info, lambda r: F.contains(r["key"], F.lit(SIGNATURE_KEY)))
+def _members(text: Column, name: str) -> Column:
+    """How often a member name stands in a JSON text, at any depth."""
+    return F.regexp_count(text, F.lit(f'"{name}"\\s*:'))
+
+
+def _known(values: Column) -> Column:
+    """How many members the parser has found: if as many as the text has, none lies elsewhere."""
+    return F.coalesce(F.size(F.filter(values, lambda v: v.isNotNull())), F.lit(-1))
+
+
+def first_signature(text: Column, version_info: Column) -> Column:
+    """The value of the first {key, value} record whose key names a signature, without quotes.
+
+    `version_info` is the parsed member of `text`. Records that lie deeper than one list are searched
+    for in the text: keys and values at any depth below the member, paired in document order.
+    """
+    def seen(name: str) -> Column:
+        return _known(F.transform(version_info, lambda r: r[name]))
+
+    flat = (_members(text, "key") == seen("key")) & (_members(text, "value") == seen("value"))
+    nested = F.when(~flat & text.contains('"version_info"'), text)
+    keys = json_find_all(nested, "key", within="version_info")
+    values = json_find_all(nested, "value", within="version_info")
+    pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    records = F.when(nested.isNull(), version_info).otherwise(pairs)
+    hit = F.filter(records, lambda r: F.contains(r["key"], F.lit(SIGNATURE_KEY)))
     value = F.replace(F.get(hit, F.lit(0))["value"], F.lit('"'), F.lit(""))
     return F.when(value != NO_SIGNATURE, value)
 
 
 def detection_names(text: Column) -> Column:
-    """The non-null vendor results of a scan report."""
-    scans = F.map_values(F.from_json(text, DETECTIONS)["scans"])
-    return F.filter(F.transform(scans, lambda s: s["result"]), lambda r: r.isNotNull())
+    """The non-null vendor results of a scan report, at any depth below `scans`."""
+    results = F.transform(F.map_values(F.from_json(text, DETECTIONS)["scans"]), lambda s: s["result"])
+    flat = _members(text, "result") == _known(results)
+    nested = F.when(~flat & text.contains('"scans"'), text)
+    found = F.when(nested.isNull(), results).otherwise(json_find_all(nested, "result", within="scans"))
+    return F.filter(found, lambda r: r.isNotNull())
 
 
 def _find(root: object, name: str) -> list:
@@ -101,8 +127,10 @@ def _as_list(value: object) -> list | None:
     return [_as_text(v) for v in value] if isinstance(value, list) else None
 
 
-def _find_all(text: Column, name: str, path: tuple[str, ...], make, item: pa.DataType) -> Column:
-    """Arrow UDF: `make` of what lies under the path in each hit."""
+def _find_all(
+    text: Column, name: str, path: tuple[str, ...], make, item: pa.DataType, within: str | None = None
+) -> Column:
+    """Arrow UDF: `make` of what lies under the path in each hit, below the top-level member `within`."""
     kept = T.ArrayType(T.StringType()) if item == pa.list_(pa.string()) else T.StringType()
 
     @F.arrow_udf(T.ArrayType(kept))
@@ -110,20 +138,24 @@ def _find_all(text: Column, name: str, path: tuple[str, ...], make, item: pa.Dat
         rows = []
         for one in texts.to_pylist():
             known, value = _parsed(one)
+            if within is not None:
+                value = _follow(value, (within,))
             rows.append([make(_follow(hit, path)) for hit in _find(value, name)] if known else None)
         return pa.array(rows, pa.list_(item))
 
     return find_all(text)
 
 
-def json_find_all(text: Column, name: str, path: tuple[str, ...] = ()) -> Column:
+def json_find_all(
+    text: Column, name: str, path: tuple[str, ...] = (), within: str | None = None
+) -> Column:
     """Every member called `name` at any depth in document order, as array<string>.
 
-    With a path, what lies under it in each hit. Strings are given bare, other values as JSON text,
+    With a path, what lies under it in each hit; with `within`, only below that top-level member. Strings are given bare, other values as JSON text,
     null and missing as NULL; text that is no JSON, or nested too deep to read, gives NULL. JSON paths in Spark cannot search at unknown depth, so this runs in
     Python on Arrow batches.
     """
-    return _find_all(text, name, path, _as_text, pa.string())
+    return _find_all(text, name, path, _as_text, pa.string(), within)
 
 
 def json_find_lists(text: Column, name: str) -> Column:

@@ -73,14 +73,15 @@ def result_features(results: DataFrame, drop_empty: bool = False) -> DataFrame:
         rules = F.nullif(rules, F.lit(""))
     parsed = results.select(
         *RESULT_KEY,
-        J.parse_peinfo(of(PEINFO), "pehash", "imphash", "version_info").alias("pe"),
+        J.parse_peinfo(of(PEINFO), "pehash", "imphash").alias("pe"),
+        J.first_signature(of(PEINFO), J.parse_peinfo(of(PEINFO), "version_info")["version_info"]).alias("signature"),
         rules.alias("rules"),
         F.array_join(J.called_urls(of(CUCKOO)), ",").alias("urls"),
     )
     found = F.array(
         feature("pehash", J.string_only(F.col("pe.pehash"))),
         feature("imphash", J.string_only(F.col("pe.imphash"))),
-        feature("binary_signature", J.first_signature(F.col("pe.version_info"))),
+        feature("binary_signature", F.col("signature")),
         feature("yara_rules", F.col("rules")),
         feature("called_domains", F.nullif(F.col("urls"), F.lit(""))),
     )

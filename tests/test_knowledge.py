@@ -217,3 +217,24 @@ def test_stored_tables_can_be_dropped(spark, tmp_path):
     assert os.listdir(path)
     drop_stored(spark)
     assert not os.path.exists(path)
+
+
+def test_members_are_found_at_any_depth(spark):
+    flat = {"version_info": [{"key": "A", "value": "x"}, {"key": "Signature", "value": 'my "s"'}]}
+    deep = {"version_info": {"StringFileInfo": [{"inner": flat["version_info"]}]}}
+    mixed = {"version_info": [{"key": "A", "value": "x"}, {"inner": {"key": "Signature", "value": "deep"}}], "other": {"key": "Signature", "value": "no"}}
+    elsewhere = {"other": {"key": "Signature", "value": "no"}, "version_info": [{"key": "A", "value": "x"}]}
+    rows = [(i, json.dumps(r)) for i, r in enumerate((flat, deep, mixed, elsewhere, {}))] + [(5, None), (6, "{")]
+    df = spark.createDataFrame(rows, "i int, t string")
+    info = J.parse_peinfo(F.col("t"), "version_info")["version_info"]
+    found = {r.i: r.s for r in df.select("i", J.first_signature(F.col("t"), info).alias("s")).collect()}
+    assert found == {0: "my s", 1: "my s", 2: "deep", 3: None, 4: None, 5: None, 6: None}
+    scans = [
+        {"scans": {"a": {"result": "x"}, "b": {"result": None}}},
+        {"scans": {"a": {"detail": {"result": "y"}}, "b": [{"result": "z"}]}, "result": "no"},
+        {"scans": {}, "result": "no"},
+        {"result": "no"},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(s)) for i, s in enumerate(scans)], "i int, t string")
+    found = {r.i: r.n for r in df.select("i", J.detection_names(F.col("t")).alias("n")).collect()}
+    assert [found[i] or [] for i in range(4)] == [["x"], ["y", "z"], [], []]
