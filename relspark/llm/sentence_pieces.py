@@ -474,6 +474,13 @@ def vocabulary(model: bytes) -> Vocabulary:
     return _LOADED[key]
 
 
+def _lists(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """A list array of the results of encode_all."""
+    sizes = np.concatenate([np.zeros(1, np.int64), *(np.diff(before) for _, before in parts)])
+    flat = np.concatenate([np.zeros(0, np.int32), *(ids for ids, _ in parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(flat))
+
+
 def shared_model(spark, path: str):
     """The model file, read once by the driver and broadcast: a fixed file of some MB at most."""
     with open(path, "rb") as file:
@@ -485,13 +492,8 @@ def ids_of(text: Column, model) -> Column:
 
     @F.arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
-        pieces, sizes, flat = vocabulary(model.value), [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
-        for _, part in runs(texts):
-            ids, before = pieces.encode_all(part.to_pylist())
-            flat.append(ids)
-            sizes.append(np.diff(before))
-        ends = np.cumsum(np.concatenate(sizes)).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat).astype(np.int32)))
+        pieces = vocabulary(model.value)
+        return _lists([pieces.encode_all(part.to_pylist()) for _, part in runs(texts)])
 
     return encoded(F.coalesce(text, F.lit("")))
 
@@ -519,13 +521,24 @@ def encoded_documents(
     """(<id>, n_ids, ids, decoded, round_trip): ids of each text, and the text they decode to."""
     model = shared_model(docs.sparkSession, path)
     text = text_of(docs, text_column)
-    rows = docs.select(column(docs, id_column).alias("id"), text.alias("given"))
-    rows = rows.withColumn("ids", ids_of(F.col("given"), model))
-    rows = rows.withColumn("decoded", text_of_ids(F.col("ids"), model))
+
+    # one function for both ways: of two chained ones Spark would run the first twice
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def there_and_back(texts: pa.Array) -> pa.Array:
+        pieces, found, decoded = vocabulary(model.value), [], []
+        for _, part in runs(texts):
+            ids, before = pieces.encode_all(part.to_pylist())
+            found.append((ids, before))
+            decoded += pieces.decode_all(ids, before[:-1])
+        columns = [_lists(found), pa.array(decoded, pa.string())]
+        return pa.StructArray.from_arrays(columns, ["ids", "decoded"])
+
+    key = column(docs, id_column).alias("id")
+    rows = docs.select(key, text.alias("given"), there_and_back(text).alias("both"))
     return rows.select(
         F.col("id").alias(id_column),
-        F.size("ids").alias("n_ids"),
-        "ids",
-        "decoded",
-        (F.col("decoded") == F.col("given")).alias("round_trip"),
+        F.size("both.ids").alias("n_ids"),
+        "both.ids",
+        "both.decoded",
+        (F.col("both.decoded") == F.col("given")).alias("round_trip"),
     )
