@@ -35,5 +35,6 @@ def local_session(name: str, cores: int | str = "*", memory: str = "8g") -> Spar
 def ensure_shared_folder(spark: SparkSession) -> None:
     """On one machine, where driver and executors are one process, name a folder if none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named and spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if not named and (master == "local" or master.startswith("local[")):
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="relspark-"))
