@@ -40,7 +40,7 @@ from relspark.llm.words import runs, utf8_of
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 #: Remembered words and agreeing pairs per process; words beyond this many bytes are searched anew.
-MOST_WORDS, MOST_HEADS, MOST_PAIRS = 300_000, 20_000, 1_000_000
+MOST_WORDS, MOST_HEADS, MOST_PAIRS = 200_000, 10_000, 1_000_000
 LONG_WORD, HEAD = 48, 6
 #: Words searched side by side; from how many on that pays.
 LANES, FEW = 4096, 64
@@ -518,27 +518,30 @@ def text_of_ids(ids: Column, model) -> Column:
 def encoded_documents(
     docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """(<id>, n_ids, ids, decoded, round_trip): ids of each text, and the text they decode to."""
+    """(<id>, n_ids, ids, decoded, round_trip): ids of each text, and the text they decode to.
+
+    Results are given out slice by slice, so that a task holds those of some MB of text at a time.
+    """
     model = shared_model(docs.sparkSession, path)
-    text = text_of(docs, text_column)
-
-    # one function for both ways: of two chained ones Spark would run the first twice
-    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
-    def there_and_back(texts: pa.Array) -> pa.Array:
-        pieces, found, decoded = vocabulary(model.value), [], []
-        for _, part in runs(texts):
-            ids, before = pieces.encode_all(part.to_pylist())
-            found.append((ids, before))
-            decoded += pieces.decode_all(ids, before[:-1])
-        columns = [_lists(found), pa.array(decoded, pa.string())]
-        return pa.StructArray.from_arrays(columns, ["ids", "decoded"])
-
-    key = column(docs, id_column).alias("id")
-    rows = docs.select(key, text.alias("given"), there_and_back(text).alias("both"))
-    return rows.select(
-        F.col("id").alias(id_column),
-        F.size("both.ids").alias("n_ids"),
-        "both.ids",
-        "both.decoded",
-        (F.col("both.decoded") == F.col("given")).alias("round_trip"),
-    )
+
+    def there_and_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = vocabulary(model.value)
+        for batch in batches:
+            for first, part in runs(batch["text"]):
+                texts = part.to_pylist()
+                ids, before = pieces.encode_all(texts)
+                decoded = pieces.decode_all(ids, before[:-1])
+                columns = [
+                    batch["id"].slice(first, len(part)),
+                    pa.array(np.diff(before).astype(np.int32)),
+                    _lists([(ids, before)]),
+                    pa.array(decoded, pa.string()),
+                    pa.array([a == b for a, b in zip(texts, decoded, strict=True)], pa.bool_()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["id", "n_ids", "ids", "decoded", "round_trip"]
+    rows = docs.select(column(docs, id_column).alias("id"), text_of(docs, text_column).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, n_ids int, ids array<int>, decoded string, round_trip boolean"
+    return rows.mapInArrow(there_and_back, schema).withColumnRenamed("id", id_column)
