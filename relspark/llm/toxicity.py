@@ -1,13 +1,15 @@
 """Toxicity: a factorization machine over hashed terms of short windows, the worst window counting.
 
 Terms of a word are the word and its first 4, 5 and 6 bytes, as 64-bit hashes. A window is WINDOW
-consecutive words. With weights w and vectors v of its terms, a window's logit is
+consecutive words, or the whole text if it has fewer; there is one from every word on (stride 1), so
+that terms within WINDOW words of each other always meet. With weights w and vectors v of its terms, a window's logit is
 
     w0 + sum w_i + sum_{i<j} <v_i, v_j>
 
 so a pair of terms can weigh more, or less, than its parts. A text's score comes from its worst
 window, so that a long text cannot dilute one. Windows of clean texts are all taken as clean in
-training, of toxic texts only the one that is worst so far. Last, the scores of the training texts
+training, of toxic texts only the one that is worst so far (the first of equals). Sums of windows
+are differences of cumulative sums, so their number costs no more than that of the words. Last, the scores of the training texts
 are put on a scale of probabilities (Platt).
 
 The model is fitted on a bounded sample of labelled rows: PER_CLASS texts of each label, of at most
@@ -72,44 +74,83 @@ def word_terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(words: Words, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(text of each window, place of its first word); a text without words has no window."""
+    """(text, place of the first word) of windows laid end to end; a text without words has none."""
     counts = -(-words.counts() // size)
     text = np.repeat(np.arange(len(counts)), counts)
     inside = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
     return text, words.first[text] + inside * size
 
 
+def sliding_windows(
+    counts: np.ndarray, size: int = WINDOW
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first place, end) of every window of `size` words of texts of so many words.
+
+    A shorter text is one window; a text without words has none.
+    """
+    number = np.where(counts > 0, np.maximum(counts - size, 0) + 1, 0)
+    text = np.repeat(np.arange(len(counts)), number)
+    starts = np.arange(len(text)) + np.repeat(np.cumsum(counts - number) - (counts - number), number)
+    return text, starts, starts + np.minimum(counts, size)[text]
+
+
+def span_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of the rows starts:ends of a matrix, by cumulative sums."""
+    sums = np.zeros((len(values) + 1, values.shape[1]))
+    np.cumsum(values, axis=0, out=sums[1:])
+    return sums[ends] - sums[starts]
+
+
+def cover_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """For each of n places the sum of the rows of `values` whose span starts:ends holds it."""
+    out = np.empty((n, values.shape[1]))
+    for j in range(values.shape[1]):
+        begun, over = (np.bincount(at, values[:, j], n + 1) for at in (starts, ends))
+        out[:, j] = np.cumsum(begun - over)[:n]
+    return out
+
+
 def term_numbers(known: np.ndarray, terms: np.ndarray) -> np.ndarray:
     at = np.searchsorted(known, terms).clip(max=max(0, len(known) - 1))
     same = known[at] == terms if len(known) else np.zeros(terms.shape, bool)
     return np.where(same, at, len(known))
 
 
+def word_parts(weights: np.ndarray, vectors: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """What each word adds to its windows' sums: the linear part, less its own squares, and a vector."""
+    v = vectors[numbers]
+    return np.column_stack([weights[numbers].sum(1) - 0.5 * (v**2).sum((1, 2)), v.sum(1)])
+
+
+def span_logits(model: Model, words: Words, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Logits of spans of places, summed column by column so that little is held at once."""
+    places, terms = word_terms(words)
+    parts = word_parts(model.weights, model.vectors, term_numbers(model.terms, terms))
+    logit = np.full(len(starts), float(model.bias))
+    for j, column in enumerate(parts.T):
+        sums = span_sums(column[places][:, None], starts, ends)[:, 0]
+        logit += 0.5 * sums**2 if j else sums
+    return logit
+
+
 def window_logits(model: Model, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(text, logit) of each window."""
+    """(text, logit) of each of the windows laid end to end."""
     text, starts = windows(words)
     if not len(text):
         return text, np.zeros(0)
-    places, terms = word_terms(words)
-    numbers = term_numbers(model.terms, terms)
-    vectors = model.vectors[numbers]
-    parts = np.column_stack(
-        [model.weights[numbers].sum(1) - 0.5 * (vectors**2).sum((1, 2)), vectors.sum(1)]
-    )
-    used = np.flatnonzero((parts != 0).any(1)[places])  # most words have no term of the model
-    which = np.searchsorted(starts, used, "right") - 1
-    sums = np.column_stack(
-        [np.bincount(which, parts[places[used], j], len(text)) for j in range(parts.shape[1])]
-    )
-    return text, model.bias + sums[:, 0] + 0.5 * (sums[:, 1:] ** 2).sum(1)
+    return text, span_logits(model, words, starts, np.append(starts[1:], len(words.starts)))
 
 
 def raw_scores(model: Model, texts: pa.Array) -> np.ndarray:
-    """The greatest window logit of each text."""
-    text, logit = window_logits(model, words_of(texts))
-    worst = np.full(len(texts), -np.inf)
-    np.maximum.at(worst, text, logit)
-    return np.where(np.isneginf(worst), model.bias, worst)
+    """The greatest logit of the sliding windows of each text."""
+    words = words_of(texts)
+    worst = np.full(len(texts), float(model.bias))
+    text, starts, ends = sliding_windows(words.counts())
+    if len(text):
+        logit = span_logits(model, words, starts, ends)
+        heads = np.flatnonzero(np.diff(text, prepend=-1))
+        worst[text[heads]] = np.maximum.reduceat(logit, heads)
+    return worst
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -161,9 +202,8 @@ def train(texts: pa.Array, labels: list[int], epochs: int = EPOCHS, seed: int =
     words = words_of(texts)
     places, terms = word_terms(words)
     known = associated_terms(words, places, terms, y)
-    numbers = term_numbers(known, terms).astype(np.int32)[places]  # terms of the word at each place
-    text, starts = windows(words)
-    ends = np.append(starts[1:], len(places))
+    numbers = term_numbers(known, terms).astype(np.int32)  # terms of each distinct word
+    counts = words.counts()
     size, random = len(known) + 1, np.random.default_rng(seed)
     weights, vectors = np.zeros(size), random.normal(0, 0.01, (size, FACTORS))
     vectors[-1] = 0
@@ -173,43 +213,39 @@ def train(texts: pa.Array, labels: list[int], epochs: int = EPOCHS, seed: int =
     for _ in range(epochs):
         order = random.permutation(len(y))
         for part in np.array_split(order, max(1, len(order) // 200)):
-            chosen = np.flatnonzero(np.isin(text, part))
-            if not len(chosen):
+            text, starts, ends = sliding_windows(counts[part])
+            if not len(text):
                 continue
-            spans = [np.arange(a, b) for a, b in zip(starts[chosen], ends[chosen], strict=True)]
-            lengths = np.array([len(s) for s in spans])
-            at = numbers[np.concatenate(spans)]
-            edges = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            v = vectors[at].sum(1)
-            linear = weights[at].sum(1) - 0.5 * (vectors[at] ** 2).sum((1, 2))
-            total = np.add.reduceat(v, edges)
-            logit = bias + np.add.reduceat(linear, edges) + 0.5 * (total**2).sum(1)
-            of = text[chosen]
-            label = y[of]
+            spans = [places[words.first[i] : words.first[i + 1]] for i in part]
+            local, distinct = pd.factorize(np.concatenate(spans))
+            at = numbers[distinct]
+            sums = span_sums(word_parts(weights, vectors, at)[local], starts, ends)
+            logit = bias + sums[:, 0] + 0.5 * (sums[:, 1:] ** 2).sum(1)
             # toxic texts: the worst window only; clean ones: every window, sharing the text's weight
-            worst = np.full(len(y), -np.inf)
-            np.maximum.at(worst, of, logit)
-            many = np.bincount(of, minlength=len(y))[of]
-            weight = np.where(label == 1, (logit == worst[of]) * share[1], share[0] / many) * len(y)
+            label = y[part][text]
+            heads = np.flatnonzero(np.diff(text, prepend=-1))
+            sizes = np.diff(np.append(heads, len(text)))
+            top = logit == np.repeat(np.maximum.reduceat(logit, heads), sizes)
+            top &= np.cumsum(top) - np.repeat(np.cumsum(top)[heads] - top[heads], sizes) == 1
+            weight = np.where(label == 1, top * share[1], share[0] / np.repeat(sizes, sizes)) * len(y)
             slope = (sigmoid(logit) - label) * weight / len(part)
-            each = np.repeat(slope, lengths)
-            step_w = np.bincount(at.ravel(), np.repeat(each, at.shape[1]), size)
-            spread = np.repeat(total, lengths, axis=0)
-            step_v = np.column_stack(
-                [
-                    np.bincount(at.ravel(), np.repeat(each * spread[:, f], at.shape[1]), size)
-                    for f in range(FACTORS)
-                ]
+            each = np.column_stack([slope, slope[:, None] * sums[:, 1:]])
+            each = cover_sums(each, starts, ends, len(local))
+            each = [np.bincount(local, column, len(distinct)) for column in each.T]
+            touched, number = np.unique(at, return_inverse=True)
+            number = number.ravel()
+            step_w, *step_v = (
+                np.bincount(number, np.repeat(column, at.shape[1]), len(touched)) for column in each
             )
-            step_v -= step_w[:, None] * vectors
-            touched = np.unique(at)
-            touched = touched[touched < size - 1]
-            step_w[touched] += decay * weights[touched]
-            step_v[touched] += decay * vectors[touched]
-            seen_w[touched] += step_w[touched] ** 2
-            seen_v[touched] += step_v[touched] ** 2
-            weights[touched] -= rate * step_w[touched] / np.sqrt(seen_w[touched])
-            vectors[touched] -= 0.3 * rate * step_v[touched] / np.sqrt(seen_v[touched])
+            real = touched < size - 1
+            touched, step_w, step_v = touched[real], step_w[real], np.column_stack(step_v)[real]
+            step_v -= step_w[:, None] * vectors[touched]
+            step_w += decay * weights[touched]
+            step_v += decay * vectors[touched]
+            seen_w[touched] += step_w**2
+            seen_v[touched] += step_v**2
+            weights[touched] -= rate * step_w / np.sqrt(seen_w[touched])
+            vectors[touched] -= 0.3 * rate * step_v / np.sqrt(seen_v[touched])
             seen_b += slope.sum() ** 2
             bias -= rate * slope.sum() / np.sqrt(seen_b)
     rough = Model(known, bias, weights.astype(np.float32), vectors.astype(np.float32), 1.0, 0.0)

@@ -133,3 +133,46 @@ def test_window_sums_are_the_formula():
         used = [t for p in places[a:b] for t in toxicity.term_numbers(known, terms[p])]
         pairs = sum(vectors[i] @ vectors[j] for x, i in enumerate(used) for j in used[:x])
         assert logits[k] == pytest.approx(0.5 + weights[used].sum() + pairs)
+
+
+def met_pairs(n, places):
+    """Texts of 130 words in which "zorg" and "blit" stand alone or, if toxic, at the given places."""
+    texts, labels = [], []
+    for i in range(n):
+        w, kind = prose(i, 130).split()[:130], i % 4
+        if kind in (1, 3):
+            w[places[0]] = "zorg"
+        if kind in (2, 3):
+            w[places[1]] = "blit"
+        texts.append(" ".join(w))
+        labels.append(int(kind == 3))
+    return texts, labels
+
+
+@pytest.mark.parametrize("first", [10, 46, 47, 95])
+def test_a_pair_is_caught_wherever_it_stands(first):
+    """Training and scoring alike: places 47 and 48 lie on both sides of a border of windows laid end to end."""
+    texts, labels = met_pairs(800, (47, 48))
+    model = toxicity.train(pa.array(texts), labels, epochs=20)
+    found, kinds = met_pairs(8, (first, first + 1))
+    scores = toxicity.score_texts(model, pa.array(found))
+    assert scores[[k == 1 for k in kinds]].min() > 0.5 > scores[[k == 0 for k in kinds]].max()
+
+
+def test_the_worst_of_all_windows_counts():
+    texts = pa.array([prose(1, 10), "", prose(2, 150), prose(3, 48), prose(4, 49)])
+    words = toxicity.words_of(texts)
+    places, terms = toxicity.word_terms(words)
+    known = np.unique(terms[terms != 0])
+    r = np.random.default_rng(1)
+    weights, vectors = r.normal(size=len(known) + 1), r.normal(size=(len(known) + 1, 4))
+    weights[-1], vectors[-1] = 0, 0
+    model = toxicity.Model(known, 0.5, weights, vectors, 1.0, 0.0)
+    for i, score in enumerate(toxicity.raw_scores(model, texts)):
+        a, b = words.first[i : i + 2]
+        worst = []
+        for start in range(a, max(a, b - toxicity.WINDOW) + 1):
+            used = toxicity.term_numbers(known, terms[places[start : min(b, start + toxicity.WINDOW)]])
+            v, w = vectors[used.ravel()], weights[used.ravel()]
+            worst.append(0.5 + w.sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum()))
+        assert score == pytest.approx(max(worst))
