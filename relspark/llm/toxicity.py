@@ -13,8 +13,12 @@ are differences of cumulative sums, so their number costs no more than that of t
 are put on a scale of probabilities (Platt).
 
 The model is fitted on a bounded sample of labelled rows: PER_CLASS texts of each label, of at most
-MAX_BYTES. Terms are those of three or more sampled texts whose presence goes with the label by a
-chi-square test (CHI2), at most MAX_TERMS. The model is thus of bounded size and is broadcast; scoring is one pass without shuffle over whole texts.
+MAX_BYTES. Every term of three or more sampled texts has a weight and a vector, whether it goes with
+the label alone or not: a pair may be toxic whose parts are in as many clean texts. A penalty on
+absolute values (lasso) keeps chance out. It is given in texts: in an epoch it equals the pull of
+PENALTY (VECTOR_PENALTY) wholly misjudged texts of the rarer label for a term without any link to the label, and falls
+with the square of 1 + chi-square / CHI2. It holds for every batch, also for those without the term.
+The model is bounded by the sample and is broadcast; scoring is one pass without shuffle over whole texts.
 
 Null text counts as empty. A text without words has the score of an empty window. Without labels of
 both kinds every score is the share of label 1, or 0 without any label.
@@ -39,9 +43,9 @@ FACTORS = 4
 PREFIXES = (4, 5, 6)
 PER_CLASS = 2000
 MAX_BYTES = 12_000
-MAX_TERMS = 1 << 15
-CHI2 = 30.0
-EPOCHS = 8
+PENALTY, VECTOR_PENALTY = 20, 60
+CHI2 = 10.0
+EPOCHS, STEPS = 8, 128
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 
@@ -173,27 +177,32 @@ def platt(raw: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return float(beta[0] / width), float(beta[1] - beta[0] * centre / width)
 
 
-def associated_terms(
+def common_terms(
     words: Words, places: np.ndarray, terms: np.ndarray, labels: np.ndarray
-) -> np.ndarray:
-    """Sorted terms of three or more texts whose presence goes with the label (chi-square test)."""
+) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted terms of three or more texts, chi-square of the presence of each with the label)."""
     pairs = np.unique(words.text_of_word() * np.int64(len(terms)) + places)  # (text, distinct word)
     text, word = np.divmod(pairs, max(1, len(terms)))
-    held, number = np.unique(terms[word].ravel(), return_inverse=True)
-    text = np.repeat(text, terms.shape[1])
-    uses = np.unique(text * np.int64(max(1, len(held))) + number.ravel())  # (text, term), once each
-    text, number = np.divmod(uses, max(1, len(held)))
+    held, number = np.unique(terms, return_inverse=True)
+    number = number.reshape(terms.shape).astype(np.int32)
+    uses = text[:, None] * np.int64(max(1, len(held))) + number[word]
+    text, number = np.divmod(np.unique(uses), max(1, len(held)))  # (text, term), once each
     n, ones = len(labels), labels.sum()
     having = np.bincount(number, minlength=len(held)).astype(float)
     both = np.bincount(number, labels[text], len(held))
     spread = having * (n - having) * ones * (n - ones)
     chi2 = n * (both * n - having * ones) ** 2 / np.maximum(spread, 1)
-    good = np.flatnonzero((having >= 3) & (chi2 >= CHI2) & (held != 0))
-    return held[np.sort(good[np.argsort(-chi2[good], kind="stable")[:MAX_TERMS]])]
+    kept = (having >= 3) & (held != 0)
+    return held[kept], chi2[kept]
+
+
+def shrunk(values: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Values moved towards 0, and not beyond."""
+    return np.sign(values) * np.maximum(np.abs(values) - by, 0)
 
 
 def train(texts: pa.Array, labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Fit by AdaGrad on the logistic loss, in batches of texts."""
+    """Fit by AdaGrad on the logistic loss, in batches of texts: `epochs` times, and at least STEPS batches."""
     y = np.array(labels, float)
     empty = Model(np.zeros(0, np.uint64), 0.0, np.zeros(1), np.zeros((1, FACTORS)), 0.0, -50.0)
     if not 0 < y.sum() < len(y):
@@ -201,7 +210,7 @@ def train(texts: pa.Array, labels: list[int], epochs: int = EPOCHS, seed: int =
         return empty if share == 0 else Model(*_parts(empty)[:4], 0.0, 50.0)
     words = words_of(texts)
     places, terms = word_terms(words)
-    known = associated_terms(words, places, terms, y)
+    known, chi2 = common_terms(words, places, terms, y)
     numbers = term_numbers(known, terms).astype(np.int32)  # terms of each distinct word
     counts = words.counts()
     size, random = len(known) + 1, np.random.default_rng(seed)
@@ -210,12 +219,17 @@ def train(texts: pa.Array, labels: list[int], epochs: int = EPOCHS, seed: int =
     bias, rate, decay = -2.0, 0.1, 1e-5
     seen_w, seen_v, seen_b = np.full(size, 1e-3), np.full((size, FACTORS), 1e-3), 1e-3
     share = {1: 0.5 / y.sum(), 0: 0.5 / (1 - y).sum()}
-    for _ in range(epochs):
+    batch, last = 0, np.zeros(size, np.int64)  # the penalty of batches without a term is made up for later
+    factor = np.append(max(share.values()) / (1 + chi2 / CHI2) ** 2, 0)
+    penalty_w, penalty_v = PENALTY * factor, VECTOR_PENALTY * factor[:, None]
+    parts = max(1, len(y) // 200)
+    for _ in range(max(epochs, -(-STEPS // parts))):
         order = random.permutation(len(y))
-        for part in np.array_split(order, max(1, len(order) // 200)):
+        for part in np.array_split(order, parts):
             text, starts, ends = sliding_windows(counts[part])
             if not len(text):
                 continue
+            batch += 1
             spans = [places[words.first[i] : words.first[i + 1]] for i in part]
             local, distinct = pd.factorize(np.concatenate(spans))
             at = numbers[distinct]
@@ -244,10 +258,16 @@ def train(texts: pa.Array, labels: list[int], epochs: int = EPOCHS, seed: int =
             step_v += decay * vectors[touched]
             seen_w[touched] += step_w**2
             seen_v[touched] += step_v**2
-            weights[touched] -= rate * step_w / np.sqrt(seen_w[touched])
-            vectors[touched] -= 0.3 * rate * step_v / np.sqrt(seen_v[touched])
+            pace_w, pace_v = rate / np.sqrt(seen_w[touched]), 0.3 * rate / np.sqrt(seen_v[touched])
+            gone = (batch - last[touched])[:, None]
+            last[touched] = batch
+            weights[touched] = shrunk(weights[touched] - pace_w * step_w, pace_w * penalty_w[touched] * gone[:, 0])
+            vectors[touched] = shrunk(vectors[touched] - pace_v * step_v, pace_v * penalty_v[touched] * gone)
             seen_b += slope.sum() ** 2
             bias -= rate * slope.sum() / np.sqrt(seen_b)
+    gone = (batch - last)[:, None]
+    weights = shrunk(weights, rate / np.sqrt(seen_w) * penalty_w * gone[:, 0])
+    vectors = shrunk(vectors, 0.3 * rate / np.sqrt(seen_v) * penalty_v * gone)
     rough = Model(known, bias, weights.astype(np.float32), vectors.astype(np.float32), 1.0, 0.0)
     scale, shift = platt(raw_scores(rough, texts), y)
     return Model(*_parts(rough)[:4], scale, shift)

@@ -176,3 +176,41 @@ def test_the_worst_of_all_windows_counts():
             v, w = vectors[used.ravel()], weights[used.ravel()]
             worst.append(0.5 + w.sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v**2).sum()))
         assert score == pytest.approx(max(worst))
+
+
+def test_a_pair_counts_whose_parts_have_no_link_to_the_label():
+    """Both words are in half of the texts of either label; so no test of a single term can find them."""
+
+    def made(n, seed):
+        r, texts = random.Random(seed), []
+        for i in range(n):
+            w, kind = prose(seed * 100_000 + i, r.randint(30, 120)).split(), i % 4
+            at = r.randrange(len(w) - 5)
+            for place, word in (((0, "zorg"), (3, "blit")), ((0, "grubman"),), ((0, "zorg"),), ((0, "blit"),))[kind]:
+                w[at + place] = word
+            texts.append(" ".join(w))
+        return pa.array(texts), np.arange(n) % 4
+
+    texts, kind = made(1600, 1)
+    for word in ("zorg", "blit"):
+        having = np.array([word in x.as_py().split() for x in texts])
+        assert having[kind < 2].mean() == having[kind >= 2].mean()
+    model = toxicity.train(texts, (kind < 2).astype(int).tolist())
+    texts, kind = made(800, 2)
+    found = toxicity.score_texts(model, texts) >= toxicity.THRESHOLD
+    assert found[kind < 2].mean() > 0.95 and found[kind >= 2].mean() < 0.05
+
+
+def test_a_term_of_few_toxic_texts_counts():
+    """In 20 of 400 toxic texts and no clean one; the other toxic texts have another word."""
+    texts, labels = [], []
+    for i in range(800):
+        w, toxic = prose(i, 60).split(), i % 2
+        if toxic:
+            w[20] = "snarl" if i % 40 == 1 else "grubman"
+        texts.append(" ".join(w))
+        labels.append(toxic)
+    assert sum("snarl" in x.split() for x in texts) == 20
+    model = toxicity.train(pa.array(texts), labels)
+    scores = toxicity.score_texts(model, pa.array([prose(5000, 60), prose(5000, 60) + " snarl"]))
+    assert scores[1] >= toxicity.THRESHOLD > scores[0]
