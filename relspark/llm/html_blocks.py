@@ -16,9 +16,11 @@ _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'
 _PARTS = re.compile(r"[a-z]+")
 
 #: Elements whose content is not text of the page.
-SILENT = frozenset("head title script style noscript template textarea select iframe svg math object audio video canvas".split())
+SILENT = frozenset("head title script style noscript template textarea select iframe svg".split())
 #: Of these, the ones whose content is not markup either.
 RAW = frozenset("title script style noscript template textarea iframe".split())
+#: Elements that may stand in a head; any other start tag, or text, ends an open one.
+IN_HEAD = frozenset("head base link meta title script style noscript template noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption"
@@ -86,6 +88,13 @@ def blocks_of(page: str) -> list[Block]:
             in_link -= name == "a"
         del stack[size:]
 
+    def end_head() -> None:
+        """A head may be left open: it ends at the first thing that may not stand in it."""
+        nonlocal path
+        if stack and stack[-1][0] == "head":
+            cut(len(stack) - 1)
+            path = tuple(name for _, names in stack for name in names)
+
     def find(names: set[str], holders: set[str]) -> int | None:
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
@@ -104,11 +113,15 @@ def blocks_of(page: str) -> list[Block]:
         if tag is None:
             text = token[0]
             if text[0] != "<" or text == "<":
+                if text.strip():
+                    end_head()
                 if not silent:
                     pieces.append(text)
                     links += len(text) if in_link else 0
             continue
         tag = tag.lower()
+        if not token["end"] and tag not in IN_HEAD:
+            end_head()
         if tag in BLOCKS:
             flush()
         elif tag == "br" and not silent:

@@ -130,3 +130,18 @@ def test_empty_table(spark):
     result = h.extracted_pages(empty, h.fit(empty))
     assert result.count() == 0
     assert result.schema["n_chars"].dataType == T.LongType()
+
+
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<html><head><title>T</title><meta charset=x><p>article</p><p>more", ["article", "more"]),
+        ("<head><title>T</title><link href=x>bare text", ["bare text"]),
+        ("<head><style>s</style><div>a</div></head><body><p>b</p>", ["a", "b"]),
+        ("<head>\n<title>T</title>\n</head><body><p>b</p>", ["b"]),
+        ("<p>so <math><mi>x</mi> = 2</math> holds</p>", ["so x = 2 holds"]),
+        ("<p>a <video src=v>film</video> <audio>sound</audio> <canvas>drawing</canvas> <object>thing</object></p>", ["a film sound drawing thing"]),
+    ],
+)
+def test_open_heads_and_fallbacks_keep_their_text(page, texts):
+    assert [b.text for b in blocks_of(page)] == texts
