@@ -10,8 +10,11 @@ from relspark.llm import (
     exact_dedup,
     hilbert,
     html_text,
+    merkle,
     packed_ids,
+    prefix_trie,
     quality,
+    quality_rules,
     sentence_pieces,
     simhash,
     token_counts,
@@ -87,6 +90,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judged(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_token_binary": op1_token_binary,
     "op2_sentencepiece": op2_sentencepiece,
@@ -98,8 +114,24 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_html_extraction": op9_html_extraction,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_quality_rules": op13_quality_rules,
 }
 
+#: CTEs of a function that DuckDB lacks: crc(v, crc32) of the texts v in `values_of`.
+_CRC = """
+        crc_table AS (
+            SELECT list(t ORDER BY b) AS t FROM (
+                SELECT b, list_reduce(list_prepend(b, range(8)),
+                    lambda c, i: xor(c >> 1, (c & 1) * 3988292384)) AS t
+                FROM (SELECT unnest(range(256)) AS b))
+        ), crc AS (
+            SELECT v, xor(list_reduce(list_prepend(4294967295, list_transform(str_split(v, ''), lambda x: ord(x)::BIGINT)),
+                lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc32
+            FROM (SELECT DISTINCT v FROM values_of), crc_table
+        )"""
+
 ORACLE = {
     "op4_decontamination": r"""
         WITH words AS (
@@ -147,4 +179,108 @@ ORACLE = {
             doc_id = min(doc_id) OVER same AS kept, text_sha256
         FROM digests WINDOW same AS (PARTITION BY text_sha256)
     """,
+    "op11_prefix_trie": rf"""
+        WITH turns AS (
+            SELECT c, size, tid, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, tid) - 1 AS pos
+            FROM (SELECT conv_id AS c, turn, strlen(coalesce(text, '')) AS size,
+                      sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))[:32] AS tid
+                  FROM conversations WHERE conv_id IS NOT NULL)
+        ), values_of AS (
+            SELECT DISTINCT CAST(c AS VARCHAR) AS v FROM turns
+        ), {_CRC}, convs AS (
+            SELECT DISTINCT c, c - c % 5 AS family, crc32 % 9 AS h
+            FROM turns JOIN crc ON v = CAST(c AS VARCHAR)
+        ), rebuilt AS (
+            SELECT c, 0 AS part, pos, tid, size FROM convs JOIN (SELECT c AS family, pos, tid, size FROM turns) USING (family)
+            WHERE pos < h
+            UNION ALL
+            SELECT c, 1, pos, tid, size FROM convs JOIN turns USING (c) WHERE pos >= h
+        ), paths AS (
+            SELECT c, coalesce(list(tid ORDER BY part, pos) FILTER (tid IS NOT NULL), []) AS ids,
+                coalesce(list(size ORDER BY part, pos) FILTER (tid IS NOT NULL), []) AS sizes
+            FROM convs LEFT JOIN rebuilt USING (c) GROUP BY c
+        ), beginnings AS (
+            SELECT c, d, len(ids) = d AS here, array_to_string(ids[1:d], '') AS node,
+                CASE WHEN d > 0 THEN array_to_string(ids[1:d - 1], '') END AS up, coalesce(sizes[d], 0) AS size
+            FROM (SELECT *, unnest(range(len(ids) + 1)) AS d FROM paths)
+        ), nodes AS (
+            SELECT node, any_value(up) AS up, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs,
+                (count(*) - 1) * any_value(size) AS saved,
+                sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (here), '')) AS ends_sha256
+            FROM beginnings GROUP BY node
+        ), children AS (
+            SELECT up AS node, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up
+        ), below AS (
+            SELECT node[:32 * a] AS node, sum(saved) AS saved_tokens, count(*) FILTER (n IS NULL) AS n_leaves
+            FROM (SELECT node, saved, n, unnest(range(depth + 1)) AS a FROM nodes LEFT JOIN children USING (node))
+            GROUP BY ALL
+        )
+        SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, coalesce(n, 0) AS n_children,
+            n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+        FROM nodes v JOIN below USING (node) LEFT JOIN children USING (node) LEFT JOIN nodes p ON p.node = v.up
+    """,
+    "op12_merkle_manifest": rf"""
+        WITH RECURSIVE fields AS (
+            SELECT doc_id, lang, CAST(doc_id AS VARCHAR) AS v, text,
+                concat(coalesce(concat(strlen(CAST(doc_id AS VARCHAR)), ':', CAST(doc_id AS VARCHAR)), '-'),
+                    coalesce(concat(strlen(source), ':', source), '-'), coalesce(concat(strlen(lang), ':', lang), '-'),
+                    coalesce(concat(strlen(CAST(n_chars AS VARCHAR)), ':', CAST(n_chars AS VARCHAR)), '-')) AS head
+            FROM documents
+        ), values_of AS (
+            SELECT v FROM fields WHERE v IS NOT NULL
+        ), {_CRC}, leaves AS (
+            SELECT doc_id, lang, sha256(concat(head, coalesce(concat(strlen(text), ':', text), '-'))) AS leaf,
+                CASE WHEN crc32 % 3 = 0 THEN sha256(concat(head, coalesce(concat(strlen(text), ':',
+                    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), '-'))) END AS tampered
+            FROM fields LEFT JOIN crc USING (v)
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves
+        ), tree AS (
+            SELECT lang, 0 AS level, pos, leaf AS hash, count(*) OVER (PARTITION BY lang) AS n FROM placed
+            UNION ALL
+            SELECT lang, any_value(level) + 1, pos // 8, sha256(string_agg(hash, '' ORDER BY pos)), (any_value(n) + 7) // 8
+            FROM tree WHERE n > 1 GROUP BY lang, pos // 8
+        ), subroots AS (
+            SELECT lang, level AS height, hash AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place
+            FROM tree WHERE n = 1
+        ), upper AS (
+            SELECT 0 AS level, place AS pos, subroot AS hash, count(*) OVER () AS n FROM subroots
+            UNION ALL
+            SELECT any_value(level) + 1, pos // 8, sha256(string_agg(hash, '' ORDER BY pos)), (any_value(n) + 7) // 8
+            FROM upper WHERE n > 1 GROUP BY pos // 8
+        ), sides AS (
+            SELECT p.lang, p.pos AS leaf_pos, t.level, string_agg(s.hash, '' ORDER BY s.pos) FILTER (s.pos < t.pos) AS l,
+                string_agg(s.hash, '' ORDER BY s.pos) FILTER (s.pos > t.pos) AS r
+            FROM placed p JOIN tree t ON t.lang IS NOT DISTINCT FROM p.lang AND t.n > 1
+                AND t.pos = p.pos // CAST(pow(8, t.level) AS BIGINT)
+            JOIN tree s ON s.lang IS NOT DISTINCT FROM t.lang AND s.level = t.level AND s.pos // 8 = t.pos // 8
+            GROUP BY ALL
+        ), upper_sides AS (
+            SELECT b.lang, b.height + u.level AS level, string_agg(s.hash, '' ORDER BY s.pos) FILTER (s.pos < u.pos) AS l,
+                string_agg(s.hash, '' ORDER BY s.pos) FILTER (s.pos > u.pos) AS r
+            FROM subroots b JOIN upper u ON u.n > 1 AND u.pos = b.place // CAST(pow(8, u.level) AS BIGINT)
+            JOIN upper s ON s.level = u.level AND s.pos // 8 = u.pos // 8 GROUP BY ALL
+        ), paths AS (
+            SELECT lang, leaf_pos, level, coalesce(l, '') AS l, coalesce(r, '') AS r FROM sides
+            UNION ALL
+            SELECT p.lang, p.pos, level, coalesce(l, ''), coalesce(r, '')
+            FROM placed p JOIN upper_sides u ON u.lang IS NOT DISTINCT FROM p.lang
+        ), folded AS (
+            SELECT lang, pos, 0 AS level, coalesce(tampered, leaf) AS hash FROM placed
+            UNION ALL
+            SELECT f.lang, f.pos, f.level + 1, sha256(concat(l, hash, r))
+            FROM folded f JOIN paths p ON p.lang IS NOT DISTINCT FROM f.lang AND p.leaf_pos = f.pos AND p.level = f.level
+        ), ended AS (
+            SELECT lang, pos, arg_max(hash, level) AS folded_root FROM folded GROUP BY ALL
+        ), proofs AS (
+            SELECT lang, leaf_pos AS pos, sha256(string_agg(concat(l, r), '' ORDER BY level)) AS proof_sha256
+            FROM paths GROUP BY ALL
+        )
+        SELECT doc_id, leaf, subroot, hash AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root,
+            folded_root = hash AS verified
+        FROM placed p JOIN subroots b ON b.lang IS NOT DISTINCT FROM p.lang
+        JOIN ended e ON e.lang IS NOT DISTINCT FROM p.lang AND e.pos = p.pos
+        LEFT JOIN proofs q ON q.lang IS NOT DISTINCT FROM p.lang AND q.pos = p.pos
+        CROSS JOIN (SELECT hash FROM upper WHERE n = 1)
+    """,
 }
