@@ -84,8 +84,8 @@ def blocks_of(nodes: DataFrame) -> DataFrame:
         here = F.col(f"level{k}")
         rows = rows.withColumn(f"level{k + 1}", F.when(n > FAN**k, _up(here, F.octet_length(here) / HEX)))
     levels = sum((F.when(n > FAN**k, 1).otherwise(0) for k in range(1, DEPTH)), F.when(n > 1, 1).otherwise(0))
-    root = F.coalesce("level3", "level2", "level1", "level0").cast("string")
-    return stored(rows.select("*", levels.alias("levels"), root.alias("root")).drop("level3"))
+    root = F.coalesce(*[f"level{k}" for k in range(DEPTH, -1, -1)]).cast("string")
+    return stored(rows.select("*", levels.alias("levels"), root.alias("root")).drop(f"level{DEPTH}"))
 
 
 def rounds_of(nodes: DataFrame) -> list[DataFrame]:
