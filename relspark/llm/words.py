@@ -28,7 +28,9 @@ LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.ui
 
 def utf8_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array, also one with nulls or a slice; null is empty."""
-    texts = pc.cast(pc.fill_null(texts, ""), pa.large_string())
+    if not pa.types.is_binary(texts.type):
+        texts = pc.fill_null(texts, "")
+    texts = pc.cast(texts, pa.large_binary())
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     if data is None or not len(texts):

@@ -21,9 +21,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 @pytest.fixture(scope="module")
 def library():
-    found = Tokenizer.from_file(BPE)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(BPE)
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +42,10 @@ def odd_texts(n, seed=0):
 def test_encoder_is_the_library(library):
     with open(BPE, "rb") as file:
         encoder = Encoder(file.read())
+    special = "<|endoftext|>"
     texts = odd_texts(4000) + [r[1] or "" for r in awkward()]
+    texts += [special, f"hello {special} world", f"a  {special}{special}  b", f"x{special}y", special[:-1], special[1:]]
+    texts += ["ab <|endof", "text|> cd", f"<|{special}|>", f"\n\n{special}\n", special[:-1] + " " + special]
     for _ in range(2):  # the second time words are remembered
         ids, before = encoder.encode(pa.array(texts))
         for text, a, b in zip(texts, before, before[1:], strict=False):
