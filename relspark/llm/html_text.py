@@ -13,7 +13,9 @@ adverts, forms and readers' comments put in, with texts from other pages. Names
 random, so that the network has to use words, lengths and what stands around a block too.
 
 The model has a fixed size and is broadcast; extraction is one pass without shuffle. Null html counts as
-empty: empty text. A page without main text has the empty text.
+empty: empty text. A page without main text has the empty text. Broken markup is read as far as it goes, in time
+linear in the page; a very long page is taken whole. Repeated rows and ids get a result each. An empty
+table gives an empty result. Columns other than the named ones are not looked at.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.html_blocks import Block, blocks_of
+from relspark.llm.html_blocks import Block, Trail, blocks_of
 from relspark.llm.rows import column, text_of
 from relspark.llm.words import runs, span_hashes, words_of
 
@@ -56,11 +59,30 @@ def name_slot(name: str) -> int:
     return zlib.crc32(name.encode()) % PATH_SIZE
 
 
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    vector = np.zeros(PATH_SIZE, np.float32)
-    for name in path:
-        vector[name_slot(name)] = 1
-    return vector
+def slots_of(path: Iterable[str]) -> int:
+    """The slots of the names on a path, as bits; a trail remembers its own and those above."""
+    if not isinstance(path, Trail):
+        path = Trail(tuple(path), None)
+    links = []
+    trail = path
+    while trail is not None and trail.slots is None:
+        links.append(trail)
+        trail = trail.above
+    bits = trail.slots if trail else 0
+    for trail in reversed(links):
+        for name in trail.names:
+            bits |= 1 << name_slot(name)
+        trail.slots = bits
+    return bits
+
+
+def slot_vector(slots: int) -> np.ndarray:
+    packed = np.frombuffer(slots.to_bytes(PATH_SIZE // 8, "little"), np.uint8)
+    return np.unpackbits(packed, bitorder="little").astype(np.float32)
+
+
+def path_vector(path: Iterable[str]) -> np.ndarray:
+    return slot_vector(slots_of(path))
 
 
 def figure_vectors(blocks: list[Block]) -> np.ndarray:
@@ -187,7 +209,7 @@ def both_ways(model: Model, gates: list[list[np.ndarray]]):
 def label_blocks(model: Model, pages: list[list[Block]]) -> list[np.ndarray]:
     """For each page, which of its blocks are main text."""
     flat = [b for page in pages for b in page]
-    known: dict[tuple[str, ...], list[np.ndarray]] = {}
+    known: dict[int, list[np.ndarray]] = {}
     gates = [np.empty((len(flat), 4 * HIDDEN), np.float32) for _ in range(2)]
     ends = np.cumsum([0, *map(len, pages)])
     place = np.concatenate([np.zeros(0), *(np.arange(len(p)) / max(1, len(p)) for p in pages)])
@@ -195,12 +217,13 @@ def label_blocks(model: Model, pages: list[list[Block]]) -> list[np.ndarray]:
         some = flat[a : a + STRETCH]
         figures = figure_vectors(some)
         figures[:, WORD_SIZE + 3] = place[a : a + STRETCH]
-        for b in some:
-            if b.path not in known:
-                vector = path_vector(b.path)
-                known[b.path] = [vector @ w for w in model.path]
+        slots = [slots_of(b.path) for b in some]
+        for bits in slots:
+            if bits not in known:
+                vector = slot_vector(bits)
+                known[bits] = [vector @ w for w in model.path]
         for d in range(2):
-            paths = np.stack([known[b.path][d] for b in some])
+            paths = np.stack([known[bits][d] for bits in slots])
             gates[d][a : a + STRETCH] = paths + figures @ model.figure[d] + model.bias[d]
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
     full = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
@@ -310,7 +333,7 @@ def forgetful(block: Block, r: random.Random) -> Block:
 def train(pages: list[str], seed: int = 5, epochs: int = EPOCHS) -> Model:
     """Fit by Adam on the mean logistic loss of the blocks."""
     model, r = new_model(seed), random.Random(seed)
-    given = [blocks_of(p) for p in pages]
+    given = [[Block(tuple(b.path), b.text, b.links) for b in blocks_of(p)] for p in pages]
     known = [(b, [named_label(x) for x in b]) for b in given if b]
     texts = [x.text for b, y in known for x, k in zip(b, y, strict=True) if k and " " in x.text]
     if not texts:
