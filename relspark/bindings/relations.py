@@ -14,6 +14,7 @@ from relspark.bindings.derived import (
     table,
 )
 from relspark.functions.vectors import bind
+from relspark.operators import classes as C
 from relspark.operators import relationships as R
 from relspark.plans import app
 from relspark.plans.knowledge import build_knowledge_base
@@ -32,6 +33,10 @@ EVENT_FEATURES = [
 ]
 WORDS = [Feature("words", None, "words")]
 SHINGLE = 5
+#: Values of more objects, and tokens of more lists, are linked as classes; matches in a cell of a record.
+MOST, CELL = 10, 64
+#: Objects asked about: those whose number it divides.
+EVERY = 50
 
 
 def stamp():
@@ -43,11 +48,16 @@ def knowledge(spark, sf_dir):
     return build_knowledge_base(meta, data, ts=stamp())
 
 
-def asked_for(spark, sf_dir, *prefixes: str):
-    """Object ids numbered like the nations, a table of one size at every scale."""
-    nation = table(spark, sf_dir, "nation")
-    found = [F.concat(F.lit(p), F.col("n_nationkey").cast("string")) for p in prefixes]
-    return nation.select(F.explode(F.array(*found)).alias("object_id"))
+def asked_for(spark, sf_dir, *names: str):
+    """Ids of every document or page whose number EVERY divides."""
+    tables = {"doc": ("documents", "doc_id"), "page": ("pages", "page_id")}
+    found = None
+    for name in names:
+        source, key = tables[name]
+        numbers = table(spark, sf_dir, source).select(key).where(F.col(key) % EVERY == 0)
+        ids = numbers.select(F.concat(F.lit(name + "-"), key).alias("object_id"))
+        found = ids if found is None else found.unionByName(ids)
+    return found
 
 
 def word_knowledge(spark, sf_dir):
@@ -99,12 +109,19 @@ def rel_tokens(spark, sf_dir):
     return index.select("object_id", "token", "n", "distinct")
 
 
+def link_columns(links):
+    return links.select(
+        "object_id", "other_id", "class_id", "feature_type", F.round("weight", 6).alias("weight"), "n_links"
+    )
+
+
 def rel_exact(spark, sf_dir):
-    """Users numbered like the nations, and all their related users."""
-    kb = event_knowledge(spark, sf_dir)
-    targets = asked_for(spark, sf_dir, "")
-    edges = R.exact_edges(kb, targets, EVENT_FEATURES)
-    return edges.select("object_id", "other_id", "feature_type", "weight", time_text())
+    """Every 50th user, and all users with an equal value: as pairs, or as the class of a frequent value."""
+    kb = stored(event_knowledge(spark, sf_dir))
+    targets = kb.select("object_id").where(F.col("object_id").cast("long") % EVERY == 0).distinct()
+    wanted = R.target_values(kb, targets, EVENT_FEATURES)
+    links = C.exact_links(kb, wanted, EVENT_FEATURES, MOST).links
+    return links.select("object_id", "other_id", "class_id", "feature_type", "weight", "n_links", time_text())
 
 
 def rel_overlap(spark, sf_dir):
@@ -116,21 +133,34 @@ def rel_overlap(spark, sf_dir):
 
 
 def rel_links(spark, sf_dir):
-    """Pages numbered like the nations, and all pages that share links with them."""
+    """Every 50th page, and all lists of links or rules that share some with its own."""
     kb = stored(knowledge(spark, sf_dir))
-    return edge_columns(R.overlap_edges(kb, asked_for(spark, sf_dir, "page-")))
+    wanted = R.target_values(kb, asked_for(spark, sf_dir, "page"))
+    return link_columns(C.overlap_links(kb, wanted, FEATURES, MOST).links)
 
 
-def all_edges(spark, sf_dir):
-    """All edges of some documents and pages over all features."""
+def all_links(spark, sf_dir):
+    """All links of every 50th document and page over all features."""
     kb = stored(knowledge(spark, sf_dir))
-    targets = stored(asked_for(spark, sf_dir, "doc-", "page-"))
-    return kb, targets, stored(R.primary_relationships(kb, targets))
+    targets = stored(asked_for(spark, sf_dir, "doc", "page"))
+    linked = C.primary_links(kb, targets, most=MOST)
+    return kb, targets, linked
+
+
+def all_edges(spark, sf_dir):
+    """The same as edges to objects and classes."""
+    kb, targets, linked = all_links(spark, sf_dir)
+    return kb, targets, stored(C.as_edges(linked.links))
+
+
+def rel_members(spark, sf_dir):
+    """Who is in the classes that the links of documents and pages lead to."""
+    return all_links(spark, sf_dir)[2].members
 
 
 def rel_record(spark, sf_dir):
     kb, targets, edges = all_edges(spark, sf_dir)
-    records = R.relationship_records(kb, targets, edges, stamp())
+    records = R.relationship_records(kb, targets, edges, stamp(), most=CELL)
     match = "transform({c}, m -> concat(m.sha256, '=', cast(round(m.weight, 6) as decimal(12, 6))))"
     texts = [
         F.expr(f"array_join({match.format(c=f.column)}, ' ')").alias(f.column) for f in FEATURES
@@ -158,7 +188,7 @@ def edge_views(spark, sf_dir):
         (
             "total",
             R.total_weights(edges).groupBy("object_id").agg(
-                F.round(F.sum("weight") * 1000).cast("bigint").alias("n")
+                F.round(F.sum("weight") * 100).cast("bigint").alias("n")
             ),
         ),
     ]
@@ -171,16 +201,15 @@ def edge_views(spark, sf_dir):
 
 
 def app_run(spark, sf_dir):
-    """The whole job over all objects, reporting on some documents and pages."""
+    """The whole job over all objects, reporting on every 50th document and page."""
     objects, meta, data = knowledge_inputs(spark, sf_dir)
-    _, edges, _ = app.run(objects, meta, data, asked_for(spark, sf_dir, "doc-", "page-"), ts=stamp())
+    _, edges, _ = app.run(objects, meta, data, asked_for(spark, sf_dir, "doc", "page"), ts=stamp(), most=MOST)
     return edge_columns(edges)
 
 
 def flagship(spark, sf_dir):
-    """All edges of some documents and pages, over the knowledge base of all."""
-    _, _, edges = all_edges(spark, sf_dir)
-    return edge_columns(edges)
+    """All links of every 50th document and page, over the knowledge base of all."""
+    return link_columns(all_links(spark, sf_dir)[2].links)
 
 
 QUERIES = {
@@ -192,6 +221,7 @@ QUERIES = {
     "q_rel_overlap": rel_overlap,
     "q_rel_links": rel_links,
     "q_rel_all_features": flagship,
+    "q_rel_members": rel_members,
     "q_rel_record": rel_record,
     "q_edge_views": edge_views,
     "q_app_run": app_run,
@@ -242,19 +272,60 @@ OVERLAP = f"""
       JOIN siz sb ON sb.object_id = b.object_id AND sb.feature_type = b.feature_type
       GROUP BY a.object_id, b.object_id, a.feature_type, sa.d, sb.d)"""
 
-ASKED = """
-    targets AS (SELECT 'doc-' || n_nationkey AS object_id FROM nation
-                UNION ALL SELECT 'page-' || n_nationkey FROM nation)"""
+ASKED = f"""
+    targets AS (SELECT 'doc-' || doc_id AS object_id FROM documents WHERE doc_id % {EVERY} = 0
+                UNION ALL SELECT 'page-' || page_id FROM pages WHERE page_id % {EVERY} = 0)"""
+
+
+def _class(kind: str, value: str) -> str:
+    return f"substr(sha256('{kind}:' || feature_type || ':' || {value}), 1, 32)"
+
+
+#: Links of the targets, frequent values and tokens as classes; `edges` is their form for records and views.
+LINKS = f"""
+    {KB}, {ASKED},
+    held AS (SELECT DISTINCT feature_type, feature_value, object_id FROM kb
+             WHERE feature_type IN ('pehash', 'imphash', 'binary_signature')),
+    sizes AS (SELECT feature_type, feature_value, count(*) AS size FROM held GROUP BY ALL),
+    mine AS (SELECT h.*, size, CAST({WEIGHTS} AS DOUBLE) AS weight FROM held h JOIN targets USING (object_id)
+             JOIN sizes USING (feature_type, feature_value)),
+    holders AS (SELECT DISTINCT feature_type, {_class("list", "feature_value")} AS list, feature_value, object_id
+                FROM kb WHERE feature_type IN ('yara_rules', 'called_domains')),
+    lists AS (SELECT feature_type, list, feature_value, count(*) AS size FROM holders GROUP BY ALL),
+    words AS (SELECT feature_type, list, token, count(*) AS n FROM (
+                SELECT feature_type, list, unnest({sql_tokens('feature_value')}) AS token FROM lists) GROUP BY ALL),
+    spread AS (SELECT feature_type, token, count(*) AS lists FROM words GROUP BY ALL HAVING count(*) > {MOST}),
+    owners AS (SELECT feature_type, list AS my, object_id FROM holders JOIN targets USING (object_id)),
+    rare AS (SELECT * FROM words ANTI JOIN spread USING (feature_type, token)),
+    near AS (SELECT DISTINCT a.feature_type, a.list AS my, b.list FROM rare a JOIN rare b USING (feature_type, token)
+             WHERE a.list IN (SELECT my FROM owners)),
+    total AS (SELECT feature_type, list, count(*) AS d FROM words GROUP BY ALL),
+    scored AS (
+      SELECT n.feature_type, n.my, n.list, CAST(sum(least(a.n, b.n)) AS DOUBLE) / (x.d + y.d - count(*)) AS weight
+      FROM near n JOIN words a ON a.feature_type = n.feature_type AND a.list = n.my
+      JOIN words b ON b.feature_type = n.feature_type AND b.list = n.list AND b.token = a.token
+      JOIN total x ON x.feature_type = n.feature_type AND x.list = n.my
+      JOIN total y ON y.feature_type = n.feature_type AND y.list = n.list
+      GROUP BY n.feature_type, n.my, n.list, x.d, y.d),
+    links AS (
+      SELECT m.object_id, h.object_id AS other_id, NULL AS class_id, feature_type, weight, 1 AS n_links
+      FROM mine m JOIN held h USING (feature_type, feature_value)
+      WHERE size <= {MOST} AND m.object_id <> h.object_id
+      UNION ALL
+      SELECT object_id, NULL, {_class("value", "feature_value")}, feature_type, weight, size - 1
+      FROM mine WHERE size > {MOST}
+      UNION ALL
+      SELECT * FROM (
+        SELECT o.object_id, NULL, s.list, feature_type, weight, size - CAST(s.list = o.my AS INTEGER) AS n
+        FROM owners o JOIN scored s USING (feature_type, my) JOIN lists USING (feature_type, list)) WHERE n > 0
+      UNION ALL
+      SELECT object_id, NULL, {_class("token", "token")}, feature_type, NULL, lists - 1
+      FROM owners JOIN words w USING (feature_type) JOIN spread USING (feature_type, token) WHERE w.list = my)"""
 
 ALL_EDGES = f"""
-    {KB}, {ASKED}, {OVERLAP},
-    edges AS (
-      SELECT a.object_id, b.object_id AS other_id, feature_type, CAST({WEIGHTS} AS DOUBLE) AS weight
-      FROM kb a JOIN targets t ON a.object_id = t.object_id
-      JOIN kb b USING (feature_type, feature_value)
-      WHERE a.object_id <> b.object_id
-        AND feature_type IN ('pehash', 'imphash', 'binary_signature')
-      UNION ALL SELECT * FROM overlap)"""
+    {LINKS},
+    edges AS (SELECT object_id, coalesce(other_id, class_id) AS other_id, feature_type,
+                     coalesce(weight, 0) AS weight, n_links FROM links)"""
 
 EVENT_WEIGHT = "CASE WHEN feature_type IN ('purchase', 'signup') THEN 1.0 ELSE 0.5 END"
 
@@ -270,6 +341,19 @@ EVENT_COUNTS = f"""
                FROM latest JOIN grp USING (feature_type, feature_value))"""
 
 
+#: Records are cut into the least power of two of parts that keeps every cell within CELL matches.
+RECORD_DEALT = f"""
+    numbered AS (SELECT *, CAST('0x' || substr(md5(other_id), 1, 8) AS BIGINT) AS number FROM edges),
+    tried AS (
+      SELECT p, max(c) AS largest FROM (
+        SELECT p, object_id, feature_type, number % p AS part, count(*) AS c
+        FROM numbered, (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048]) AS p) GROUP BY ALL)
+      GROUP BY p),
+    dealt AS (
+      SELECT *, CAST(number % (SELECT coalesce(min(p), 1) FROM tried WHERE largest <= {CELL}) AS INTEGER) AS part
+      FROM numbered)"""
+
+
 def _record_column(feature: Feature) -> str:
     mine = f"feature_type = '{feature.name}'"
     texts = (
@@ -291,12 +375,16 @@ ORACLE = {
         strftime(ts, {SQL_TIME}) AS ts FROM held""",
     "q_rel_exact": f"""
         WITH {EVENT_COUNTS},
-        best AS (SELECT CAST(n_nationkey AS VARCHAR) AS object_id FROM nation)
-        SELECT l.object_id, h.object_id AS other_id, feature_type,
-               CAST({EVENT_WEIGHT} AS DOUBLE) AS weight, strftime(h.ts, {SQL_TIME}) AS ts
-        FROM latest l JOIN best ON l.object_id = best.object_id
-        JOIN held h USING (feature_type, feature_value)
-        WHERE l.object_id <> h.object_id""",
+        best AS (SELECT l.*, c, CAST({EVENT_WEIGHT} AS DOUBLE) AS weight
+                 FROM latest l JOIN grp USING (feature_type, feature_value)
+                 WHERE CAST(object_id AS BIGINT) % {EVERY} = 0)
+        SELECT l.object_id, h.object_id AS other_id, NULL AS class_id, feature_type, weight, 1 AS n_links,
+               strftime(h.ts, {SQL_TIME}) AS ts
+        FROM best l JOIN held h USING (feature_type, feature_value)
+        WHERE l.object_id <> h.object_id AND c <= {MOST}
+        UNION ALL
+        SELECT object_id, NULL, {_class("value", "feature_value")}, feature_type, weight, c - 1, NULL
+        FROM best WHERE c > {MOST}""",
     "q_rel_tokens": f"""
         WITH {WORD_KB}, {TOKENS}
         SELECT object_id, token, CAST(n AS INTEGER) AS n, CAST(d AS INTEGER) AS "distinct"
@@ -306,16 +394,21 @@ ORACLE = {
         targets AS (SELECT 'item-' || item_id AS object_id FROM benchmark), {OVERLAP}
         SELECT object_id, other_id, feature_type, round(weight, 6) AS weight FROM overlap""",
     "q_rel_links": f"""
-        WITH {KB}, targets AS (SELECT 'page-' || n_nationkey AS object_id FROM nation), {OVERLAP}
-        SELECT object_id, other_id, feature_type, round(weight, 6) AS weight FROM overlap""",
+        WITH {LINKS}
+        SELECT object_id, other_id, class_id, feature_type, round(weight, 6) AS weight, n_links FROM links
+        WHERE feature_type IN ('yara_rules', 'called_domains') AND object_id LIKE 'page-%'""",
     "q_rel_all_features": f"""
-        WITH {ALL_EDGES}
-        SELECT object_id, other_id, feature_type, round(weight, 6) AS weight FROM edges""",
+        WITH {LINKS}
+        SELECT object_id, other_id, class_id, feature_type, round(weight, 6) AS weight, n_links FROM links""",
+    "q_rel_members": f"""
+        WITH {LINKS}
+        SELECT {_class("value", "feature_value")} AS class_id, 'value' AS kind, object_id AS member
+        FROM held JOIN sizes USING (feature_type, feature_value) WHERE size > {MOST}
+        UNION ALL SELECT list, 'list', object_id FROM holders
+        UNION ALL SELECT {_class("token", "token")}, 'token', list FROM words JOIN spread USING (feature_type, token)""",
     "q_rel_record": f"""
         WITH {ALL_EDGES}
-        , dealt AS (
-          SELECT *, CAST(CAST('0x' || substr(md5(other_id), 1, 8) AS BIGINT) % {R.RECORD_PARTS} AS INTEGER) AS part
-          FROM edges),
+        , {RECORD_DEALT},
         p AS (SELECT object_id, part FROM dealt UNION SELECT object_id, 0 FROM targets)
         SELECT p.object_id, p.part, {", ".join(map(_record_column, FEATURES))}
         FROM p LEFT JOIN dealt e ON e.object_id = p.object_id AND e.part = p.part
@@ -328,11 +421,11 @@ ORACLE = {
         UNION ALL SELECT 'features', object_id, count(*), NULL FROM edges
         WHERE feature_type IN ('pehash', 'yara_rules') GROUP BY object_id
         UNION ALL SELECT 'histogram', 'segment-' || segment,
-                  count(*), count(DISTINCT other_id)
+                  CAST(sum(n_links) AS BIGINT), count(DISTINCT other_id)
         FROM (SELECT *, CASE WHEN weight < 0 THEN 0 WHEN weight >= 1 THEN 11
                         ELSE CAST(floor(weight * 10) AS INTEGER) + 1 END AS segment FROM edges)
         GROUP BY segment
-        UNION ALL SELECT 'total', object_id, CAST(round(sum(weight) * 1000) AS BIGINT), NULL FROM (
+        UNION ALL SELECT 'total', object_id, CAST(round(sum(weight) * 100) AS BIGINT), NULL FROM (
           SELECT object_id, other_id, sum(weight) AS weight FROM edges GROUP BY object_id, other_id)
         GROUP BY object_id""",
     "q_app_run": f"""

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from relspark.bindings.basics import EVENT_KB, event_knowledge, time_text
 from relspark.bindings.derived import table
 from relspark.bindings.ml import embedding_arrays, vector_model
-from relspark.bindings.relations import ALL_EDGES, all_edges
+from relspark.bindings.relations import ALL_EDGES, CELL, RECORD_DEALT, all_edges
 from relspark.functions.gzip_text import gunzip_text
 from relspark.operators.relationships import records_as_blobs, relationship_records
 from relspark.plans import classify
@@ -42,18 +42,18 @@ def record_upsert(spark, sf_dir):
     path = new_path(spark)
     for day, some in ((1, edges.limit(0)), (2, edges)):
         stamp = F.lit(f"2024-06-0{day}").cast("timestamp_ntz")
-        TB.append_relationships(relationship_records(kb, targets, some, stamp, parts=1), path)
+        TB.append_relationships(relationship_records(kb, targets, some, stamp, most=CELL), path)
     current = TB.current_relationships(spark.read.parquet(path))
     sizes = [F.coalesce(F.size(c), F.lit(-1)).alias(f"n_{c}") for c in EXACT]
-    return current.select("object_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), *sizes)
+    return current.select("object_id", "part", F.date_format("ts", "yyyy-MM-dd").alias("day"), *sizes)
 
 
 def record_json(spark, sf_dir):
     """The exchange form over real edges: gzip blobs of JSON lists, unpacked again."""
     kb, targets, edges = all_edges(spark, sf_dir)
     stamp = F.lit("2024-06-01").cast("timestamp_ntz")
-    blobs = stored(records_as_blobs(relationship_records(kb, targets, edges, stamp, parts=1)))
-    return blobs.select("object_id", *[gunzip_text(c).alias(c) for c in EXACT])
+    blobs = stored(records_as_blobs(relationship_records(kb, targets, edges, stamp, most=CELL)))
+    return blobs.select("object_id", "part", *[gunzip_text(c).alias(c) for c in EXACT])
 
 
 def word_lists(spark, sf_dir):
@@ -114,17 +114,25 @@ QUERIES = {
 }
 
 
+#: Parts of the records that have a match, and part 0 of every target.
+PARTS = f"""
+    {RECORD_DEALT},
+    p AS (SELECT object_id, part FROM dealt UNION SELECT object_id, 0 FROM targets)"""
+
+
+def _has(feature: str) -> str:
+    return f"p.object_id IN (SELECT object_id FROM kb WHERE feature_type = '{feature}')"
+
+
 def _size(feature: str) -> str:
-    return f"""CASE WHEN t.object_id IN (SELECT object_id FROM kb WHERE feature_type = '{feature}')
-               THEN CAST(count(e.other_id) FILTER (WHERE e.feature_type = '{feature}') AS INTEGER) ELSE -1 END
-               AS n_{feature}"""
+    n = f"CAST(count(e.other_id) FILTER (WHERE e.feature_type = '{feature}') AS INTEGER)"
+    return f"CASE WHEN {n} > 0 THEN {n} WHEN p.part = 0 AND {_has(feature)} THEN 0 ELSE -1 END AS n_{feature}"
 
 
 def _json(feature: str) -> str:
     one = """'{"sha256":"' || e.other_id || '","weight":' || CAST(e.weight AS VARCHAR) || '}'"""
-    return f"""CASE WHEN t.object_id IN (SELECT object_id FROM kb WHERE feature_type = '{feature}')
-               THEN '[' || coalesce(string_agg({one}, ',' ORDER BY e.other_id)
-                                    FILTER (WHERE e.feature_type = '{feature}'), '') || ']' END AS {feature}"""
+    some = f"string_agg({one}, ',' ORDER BY e.other_id) FILTER (WHERE e.feature_type = '{feature}')"
+    return f"coalesce('[' || {some} || ']', CASE WHEN p.part = 0 AND {_has(feature)} THEN '[]' END) AS {feature}"
 
 
 ORACLE = {
@@ -132,13 +140,13 @@ ORACLE = {
         SELECT object_id, feature_type, feature_value, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts
         FROM ({EVENT_KB}) WHERE feature_type IN ('view', 'purchase') AND feature_value IS NOT NULL""",
     "q_record_upsert": f"""
-        WITH {ALL_EDGES}
-        SELECT t.object_id, '2024-06-02' AS day, {", ".join(map(_size, EXACT))}
-        FROM targets t LEFT JOIN edges e ON e.object_id = t.object_id GROUP BY t.object_id""",
+        WITH {ALL_EDGES}, {PARTS}
+        SELECT p.object_id, p.part, '2024-06-02' AS day, {", ".join(map(_size, EXACT))}
+        FROM p LEFT JOIN dealt e ON e.object_id = p.object_id AND e.part = p.part GROUP BY p.object_id, p.part""",
     "q_record_json": f"""
-        WITH {ALL_EDGES}
-        SELECT t.object_id, {", ".join(map(_json, EXACT))}
-        FROM targets t LEFT JOIN edges e ON e.object_id = t.object_id GROUP BY t.object_id""",
+        WITH {ALL_EDGES}, {PARTS}
+        SELECT p.object_id, p.part, {", ".join(map(_json, EXACT))}
+        FROM p LEFT JOIN dealt e ON e.object_id = p.object_id AND e.part = p.part GROUP BY p.object_id, p.part""",
     "q_word_lists": "SELECT lower(n_name) AS term FROM nation",
     "q_typed_scan": """
         SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice

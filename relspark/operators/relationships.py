@@ -20,7 +20,8 @@ from relspark.sources.schemas import FEATURES, Feature
 from relspark.sources.stored import Stored, measured
 
 EDGE_COLUMNS = ["object_id", "other_id", "feature_type", "weight", "ts"]
-RECORD_PARTS = 8
+#: Matches that one cell of a record holds at most.
+RECORD_CELL = 10_000
 
 
 def _names(features: Sequence[Feature]) -> list[str]:
@@ -203,30 +204,57 @@ def most_related(counts: DataFrame, k: int) -> DataFrame:
     return total.orderBy(F.desc("total_weight"), "object_id").limit(k)
 
 
+def _part_of(other_id: str, parts: int) -> Column:
+    number = F.conv(F.substring(F.md5(other_id), 1, 8), 16, 10).cast("long")
+    return (number % parts).cast("int")
+
+
+def record_parts(edges: DataFrame, most: int = RECORD_CELL) -> int:
+    """The least power of two of parts for which no cell of a record holds more than `most` matches.
+
+    One aggregate over the edges, which should be stored, and one more for each doubling behind the first guess.
+    Matches with the same id cannot be parted: an object with more than `most` of them ends the search.
+    """
+    cell = ["object_id", "feature_type"]
+
+    def largest(*more: Column) -> int:
+        return edges.groupBy(*cell, *more).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+    whole, parts = largest(), 1
+    while parts * most < whole:
+        parts *= 2
+    while parts > 1 and parts < 64 * whole and largest(_part_of("other_id", parts).alias("part")) > most:
+        parts *= 2
+    return parts
+
+
 def relationship_records(
     kb: DataFrame,
     targets: DataFrame,
     edges: DataFrame,
     ts: Column,
     features: Sequence[Feature] = FEATURES,
-    parts: int = RECORD_PARTS,
+    parts: int | None = None,
+    most: int = RECORD_CELL,
 ) -> DataFrame:
     """The wide record: one array of {sha256, weight} per feature, sorted by id and weight.
 
-    `edges` are those of the targets; they are read twice and should be stored.
+    `edges` are those of the targets, or links as edges (see `classes.as_edges`); they are read several times
+    and should be stored.
 
-    An object's matches are dealt to `parts` rows by a hash of their id, at every size alike; rows
-    without a match are left out but for part 0. So no row has to hold all matches of a frequent value:
-    choose `parts` by the largest group. In part 0 NULL says that the object lacks the feature, an empty
+    An object's matches are dealt to `parts` rows by a hash of their id; rows without a match are left out but
+    for part 0. The number of parts is worked out from the largest group (`record_parts`), so that no cell holds
+    more than `most` matches. In part 0 NULL says that the object lacks the feature, an empty
     array that none of its matches is there; in the others NULL says either.
     """
+    if parts is None:
+        parts = record_parts(edges, most)
     group = ["object_id", "feature_type"]
     targets = measured(targets.select("object_id").distinct())
     asked = kb.where(F.col("feature_type").isin(_names(features)))
     mine = semi_join(asked, targets, ["object_id"], ["feature_type", "ts"])
     owned = mine.select(*group).distinct()
-    number = F.conv(F.substring(F.md5("other_id"), 1, 8), 16, 10).cast("long")
-    placed = edges.withColumn("part", (number % parts).cast("int"))
+    placed = edges.withColumn("part", _part_of("other_id", parts))
     match = F.struct(F.col("other_id").alias("sha256"), "weight")
     lists = placed.groupBy(*group, "part").agg(F.array_sort(F.collect_list(match)).alias("matches"))
     none = F.array().cast(lists.schema["matches"].dataType)
@@ -266,16 +294,21 @@ def with_features(edges: DataFrame, names: list[str]) -> DataFrame:
 
 
 def weight_histogram(edges: DataFrame, low: float, high: float, segments: int) -> DataFrame:
-    """Number of edges and of related objects per segment of the weight.
+    """Number of edges and of related objects (or classes) per segment of the weight.
 
-    Segment 0 lies below `low`, segment `segments` + 1 from `high` on.
+    Segment 0 lies below `low`, segment `segments` + 1 from `high` on. Links to classes count as many edges
+    as they have links.
     """
     segment = F.width_bucket("weight", F.lit(low), F.lit(high), F.lit(segments)).cast("int")
     return edges.groupBy(segment.alias("segment")).agg(
-        F.count("*").alias("n_edges"), F.countDistinct("other_id").alias("n_objects")
+        _edge_count(edges).alias("n_edges"), F.countDistinct("other_id").alias("n_objects")
     )
 
 
+def _edge_count(edges: DataFrame) -> Column:
+    return F.sum("n_links") if "n_links" in edges.columns else F.count("*")
+
+
 def total_weights(edges: DataFrame) -> DataFrame:
     """The final score of a pair: its summed weights over all features. The sum is our choice."""
     return edges.groupBy("object_id", "other_id").agg(F.sum("weight").alias("weight"))

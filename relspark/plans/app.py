@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relspark.operators.relationships import (
-    RECORD_PARTS,
-    primary_relationships,
-    relationship_records,
-)
+from relspark.operators.classes import as_edges, primary_links
+from relspark.operators.relationships import primary_relationships, relationship_records
 from relspark.plans.knowledge import build_knowledge_base
 from relspark.sources.stored import stored
 from relspark.sources.tables import append_knowledge_base, append_relationships
@@ -30,17 +27,23 @@ def run(
     ts: Column | None = None,
     kb_path: str | None = None,
     records_path: str | None = None,
-    parts: int = RECORD_PARTS,
+    parts: int | None = None,
+    most: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Build the knowledge base of a batch and the relationships of the targets.
 
-    Returns (knowledge base, edges, wide records); with paths they are also appended there.
+    Returns (knowledge base, edges, wide records); with paths they are also appended there. With `most`,
+    values and tokens of more objects or lists than that are linked as classes (`operators.classes`), as it
+    takes for many targets.
     """
     stamp = F.current_timestamp() if ts is None else ts
     batch = object_batch(objects, batch_size)
     kb = stored(build_knowledge_base(meta, data, batch, stamp))
     targets = stored(targets)
-    edges = stored(primary_relationships(kb, targets))
+    if most is None:
+        edges = stored(primary_relationships(kb, targets))
+    else:
+        edges = stored(as_edges(primary_links(kb, targets, most=most).links))
     records = relationship_records(kb, targets, edges, stamp, parts=parts)
     if kb_path is not None:
         append_knowledge_base(kb, kb_path)
