@@ -16,6 +16,7 @@ from relspark.bindings.derived import (
 from relspark.functions.vectors import bind
 from relspark.operators import classes as C
 from relspark.operators import relationships as R
+from relspark.operators import similarity as S
 from relspark.plans import app
 from relspark.plans.knowledge import build_knowledge_base
 from relspark.sources.schemas import FEATURES, Feature
@@ -37,6 +38,8 @@ SHINGLE = 5
 MOST, CELL = 10, 64
 #: Objects asked about: those whose number it divides.
 EVERY = 50
+#: Least weight of similar lists.
+SIMILAR = 0.3
 
 
 def stamp():
@@ -158,6 +161,21 @@ def rel_members(spark, sf_dir):
     return all_links(spark, sf_dir)[2].members
 
 
+def similar_pages(spark, sf_dir):
+    """All pairs of lists of links or rules above a weight, over all pages; equal lists as classes."""
+    kb = stored(knowledge(spark, sf_dir))
+    pairs, holders = S.similar_lists(kb, SIMILAR)
+    classes = S.similar_classes(pairs, holders)
+    return classes.select("feature_type", "a", "b", "n_a", "n_b", F.round("weight", 6).alias("weight"))
+
+
+def similar_counts(spark, sf_dir):
+    """How many other pages each page is linked to by lists above that weight."""
+    kb = stored(knowledge(spark, sf_dir))
+    pairs, holders = S.similar_lists(kb, SIMILAR)
+    return S.linked_objects(stored(S.similar_classes(pairs, holders)), holders)
+
+
 def rel_record(spark, sf_dir):
     kb, targets, edges = all_edges(spark, sf_dir)
     records = R.relationship_records(kb, targets, edges, stamp(), most=CELL)
@@ -222,6 +240,8 @@ QUERIES = {
     "q_rel_links": rel_links,
     "q_rel_all_features": flagship,
     "q_rel_members": rel_members,
+    "q_similar_pages": similar_pages,
+    "q_similar_counts": similar_counts,
     "q_rel_record": rel_record,
     "q_edge_views": edge_views,
     "q_app_run": app_run,
@@ -364,6 +384,21 @@ def _record_column(feature: Feature) -> str:
     return f"coalesce({texts}, CASE WHEN p.part = 0 AND {owned} THEN '' END) AS {feature.column}"
 
 
+SIMILAR_CLASSES = f"""
+    {LINKS},
+    every AS (
+      SELECT a.feature_type, a.list AS a, b.list AS b, x.d AS da, y.d AS db,
+             CAST(sum(least(a.n, b.n)) AS DOUBLE) / (x.d + y.d - count(*)) AS weight
+      FROM words a JOIN words b ON a.feature_type = b.feature_type AND a.token = b.token AND a.list < b.list
+      JOIN total x ON x.feature_type = a.feature_type AND x.list = a.list
+      JOIN total y ON y.feature_type = b.feature_type AND y.list = b.list
+      GROUP BY a.feature_type, a.list, b.list, x.d, y.d),
+    classes AS (
+      SELECT e.feature_type, a, b, m.size AS n_a, n.size AS n_b, round(weight, 6) AS weight
+      FROM every e JOIN lists m ON m.feature_type = e.feature_type AND m.list = a
+      JOIN lists n ON n.feature_type = e.feature_type AND n.list = b WHERE weight >= {SIMILAR}
+      UNION ALL SELECT feature_type, list, list, size, size, NULL FROM lists WHERE size > 1)"""
+
 ORACLE = {
     "q_kb_build": f"""
         WITH {KB} SELECT object_id, feature_type, feature_value, '{STAMP}' AS ts FROM kb""",
@@ -406,6 +441,13 @@ ORACLE = {
         FROM held JOIN sizes USING (feature_type, feature_value) WHERE size > {MOST}
         UNION ALL SELECT list, 'list', object_id FROM holders
         UNION ALL SELECT {_class("token", "token")}, 'token', list FROM words JOIN spread USING (feature_type, token)""",
+    "q_similar_pages": f"WITH {SIMILAR_CLASSES} SELECT * FROM classes",
+    "q_similar_counts": f"""
+        WITH {SIMILAR_CLASSES},
+        ways AS (SELECT feature_type, a AS list, n_b - CAST(a = b AS INTEGER) AS n FROM classes
+                 UNION ALL SELECT feature_type, b, n_a FROM classes WHERE a <> b)
+        SELECT feature_type, object_id, CAST(sum(n) AS BIGINT) AS n_links
+        FROM holders JOIN ways USING (feature_type, list) GROUP BY ALL""",
     "q_rel_record": f"""
         WITH {ALL_EDGES}
         , {RECORD_DEALT},
