@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from relspark.bindings.derived import LINK, links, table
+from relspark.bindings.derived import LINK, links, table, yara_results
 from relspark.functions import json_fields as J
 from relspark.functions import vectors as V
 from relspark.functions.gzip_text import gunzip_text, gzip_text
@@ -96,8 +96,9 @@ def topn_ids(spark, sf_dir):
 
 
 def rule_cleanup(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", clean_rules(F.col("url")).alias("rules"))
+    """The rule lists of the matches found on each page."""
+    results = yara_results(table(spark, sf_dir, "pages"))
+    return results.select("object_id", clean_rules(F.col("results")).alias("rules"))
 
 
 def overlap_in_row(spark, sf_dir):
@@ -221,9 +222,10 @@ ORACLE = {
         FROM events e WHERE ts = (SELECT max(ts) FROM events m WHERE m.user_id = e.user_id)""",
     "q_topn_ids": """
         SELECT DISTINCT CAST(user_id AS VARCHAR) AS object_id FROM events ORDER BY 1 LIMIT 100""",
-    "q_rule_cleanup": """
-        SELECT page_id, replace(regexp_replace(url, '[^a-zA-Z0-9.,_]', '', 'g'), 'yara', '') AS rules
-        FROM pages""",
+    "q_rule_cleanup": f"""
+        SELECT 'page-' || page_id AS object_id, coalesce(replace(array_to_string(
+          ['rule' || regexp_replace(l, '[^a-zA-Z0-9.,_]', '', 'g') FOR l IN links], ','), 'yara', ''), '') AS rules
+        FROM (SELECT page_id, regexp_extract_all(html, '{LINK}', 1) AS links FROM pages)""",
     "q_overlap_in_row": f"""
         WITH v AS (SELECT page_id, array_to_string(regexp_extract_all(html, '{LINK}', 1), ',') AS a
                    FROM pages),

@@ -84,8 +84,9 @@ def keyword_vocab(spark, sf_dir):
 
 
 def keyword_matrix(spark, sf_dir):
+    """The ones of the flags, by position."""
     _, matrix = P.keyword_features(*scans(spark, sf_dir), stop_words(spark, sf_dir))
-    return matrix.select("object_id", F.array_join(ints("features"), "").alias("flags"))
+    return matrix.select("object_id", F.explode("indices").alias("idx"))
 
 
 def multihot(spark, sf_dir):
@@ -191,12 +192,18 @@ def kmeans(spark, sf_dir):
 
 
 def cluster_labels(spark, sf_dir):
-    """Keyword flags of the documents clustered into labels."""
+    """Keyword flags of the documents clustered into labels: each that of the nearest centre, and not all alike."""
     _, matrix = P.keyword_features(*scans(spark, sf_dir), stop_words(spark, sf_dir))
-    labels = P.cluster_labels(matrix)
+    labels = stored(P.cluster_labels(matrix))
+    away = P.flag_distances(F.col("indices"), P.fit_clusters(matrix))
     ones = F.aggregate("label", F.lit(0.0), lambda a, b: a + b)
     one_hot = (F.size("label") == P.CLUSTERS) & (ones == 1.0) & (F.array_max("label") == 1.0)
-    return labels.select("object_id", one_hot.alias("one_hot"))
+    nearest = F.get("away", V.arg_max(F.col("label")).cast("int")) <= F.array_min("away") + 1e-6
+    several = labels.select("label").distinct().agg((F.count("*") > 1).alias("several"))
+    found = labels.join(matrix.select("object_id", away.alias("away")), "object_id")
+    return found.crossJoin(several).select(  # one row
+        "object_id", one_hot.alias("one_hot"), nearest.alias("nearest"), "several"
+    )
 
 
 def classify_vectors(spark, sf_dir):
@@ -325,7 +332,8 @@ OPCODES = f"""
 ORACLE = {
     # what must hold of any fitted model
     "q_kmeans": "SELECT 'vec-' || vec_id AS object_id, true AS in_range, true AS nearest FROM embeddings",
-    "q_cluster_labels": "SELECT 'doc-' || doc_id AS object_id, true AS one_hot FROM documents",
+    "q_cluster_labels": """
+        SELECT 'doc-' || doc_id AS object_id, true AS one_hot, true AS nearest, true AS several FROM documents""",
     "q_classify": """
         SELECT 'vec-' || vec_id AS object_id, CAST(label AS INTEGER) AS label, true AS in_range,
                true AS line_holds FROM embeddings""",
@@ -343,11 +351,7 @@ ORACLE = {
     "q_vocab": f"WITH {KEYWORDS} SELECT term, idx, count FROM voc",
     "q_keyword_matrix": f"""
         WITH {KEYWORDS}
-        SELECT 'doc-' || d.doc_id AS object_id,
-               string_agg(CASE WHEN u.doc_id IS NULL THEN '0' ELSE '1' END, '' ORDER BY idx) AS flags
-        FROM documents d CROSS JOIN voc
-        LEFT JOIN (SELECT DISTINCT doc_id, term FROM use) u ON u.doc_id = d.doc_id AND u.term = voc.term
-        GROUP BY d.doc_id""",
+        SELECT DISTINCT 'doc-' || doc_id AS object_id, idx FROM use JOIN voc USING (term)""",
     "q_multihot": """
         WITH voc AS (SELECT o_orderpriority AS term,
                             row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS idx

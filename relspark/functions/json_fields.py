@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -171,3 +173,32 @@ def called_urls(text: Column) -> Column:
 def opcode_lists(text: Column) -> Column:
     """The opcode lists of a disassembly as array<array<string>>; a null list stays NULL."""
     return json_find_lists(text, OPCODES)
+
+
+def opcode_codes(text: Column, terms: Sequence[str]) -> Column:
+    """The opcodes of a disassembly as array<int>: positions from 1 in a fixed list, 0 for others; null lists left out.
+
+    NULL without opcode lists. Names are coded where they are found, by dictionary: no text goes back to Spark.
+    """
+    known = pa.array(list(terms), pa.string())
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def code(texts: pa.Array) -> pa.Array:
+        names: list[str | None] = []
+        ends, missing = [0], []
+        for one in texts.to_pylist():
+            readable, value = _parsed(one)
+            lists = _find(value, OPCODES) if readable else []
+            for found in lists:
+                if isinstance(found, list):
+                    names.extend(found)
+            missing.append(not lists)
+            ends.append(len(names))
+        if not all(x is None or isinstance(x, str) for x in names):
+            names = [_as_text(x) for x in names]
+        coded = pa.array(names, pa.string()).dictionary_encode()
+        place = pc.add(pc.fill_null(pc.index_in(coded.dictionary, known), -1), 1)
+        codes = place.take(coded.indices).cast(pa.int32())
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), codes, mask=pa.array(missing))
+
+    return code(text)

@@ -13,8 +13,8 @@ def uuid_timestamp(uuid: Column) -> Column:
     """The time inside a version-1 UUID, to the microsecond."""
     digits = F.concat(F.substring(uuid, 16, 3), F.substring(uuid, 10, 4), F.substring(uuid, 1, 8))
     steps = F.conv(digits, 16, 10).cast("long") - UUID_EPOCH
-    # a multiple of ten, so that the division is exact in double precision
-    return F.timestamp_micros(((steps - F.pmod(steps, F.lit(10))) / 10).cast("long"))
+    # doubles cannot tell these numbers apart from 2027 on, decimals can
+    return F.timestamp_micros(F.floor(steps.cast("decimal(20,0)") / 10).cast("long"))
 
 
 def time_uuid(ts: Column, *unique: str) -> Column:

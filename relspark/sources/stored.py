@@ -27,16 +27,19 @@ class Stored:
     size: int
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, read_as: dict[str, T.DataType] | None = None) -> DataFrame:
     """Write the rows to a table in the shared folder and read them from there.
 
     Used where a result is read more than once and must be the same each time. The table outlives
-    executors, cuts the lineage, and gives Spark its true size for later join planning.
+    executors, cuts the lineage, and gives Spark its true size for later join planning. `read_as` names
+    columns to be read as another type of the same layout.
     """
     spark = df.sparkSession
     path = f"{folder_of_application(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    other = read_as or {}
+    fields = [T.StructField(f.name, other.get(f.name, f.dataType)) for f in df.schema.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
 def folder_of_application(spark: SparkSession) -> str:

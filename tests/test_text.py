@@ -99,6 +99,16 @@ def test_uuid_timestamp(spark):
         check_uuid(spark, uuid.UUID(fields=(0x5DB98D00 + steps, 0xC99B, 0x11EE, 0x80, 1, 2)))
 
 
+@pytest.mark.parametrize("year", [1960, 1970, 2026, 2027, 2030, 2050, 2200])
+def test_uuid_times_of_other_years(spark, year):
+    """To the microsecond, also where a double cannot hold the number of steps."""
+    start = int((dt.datetime(year, 6, 1) - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    micros = spark.range(5000).select((F.lit(start) + F.col("id") * 7919).alias("us"))
+    ts = F.timestamp_micros("us")
+    back = micros.select("us", F.unix_micros(uuid_timestamp(time_uuid(ts, "us"))).alias("again"))
+    assert back.where("us <> again").count() == 0
+
+
 def check_uuid(spark, made):
     when = dt.datetime(1582, 10, 15) + dt.timedelta(microseconds=made.time // 10)
     df = spark.createDataFrame([(str(made),)], "u string")
