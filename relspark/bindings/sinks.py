@@ -7,17 +7,20 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relspark.bindings.basics import EVENT_KB, event_knowledge, time_text
+from relspark.bindings.basics import EVENT_KB, event_knowledge, event_results, time_text
 from relspark.bindings.derived import table
 from relspark.bindings.ml import embedding_arrays, vector_model
-from relspark.bindings.relations import ALL_EDGES, CELL, RECORD_DEALT, all_edges
+from relspark.bindings.relations import ALL_EDGES, CELL, EVERY, RECORD_DEALT, all_edges
 from relspark.functions.gzip_text import gunzip_text
+from relspark.operators.latest import latest_rows
 from relspark.operators.relationships import records_as_blobs, relationship_records
 from relspark.plans import classify
 from relspark.sources import tables as TB
+from relspark.sources.buckets import BucketTable, bucketed
 from relspark.sources.schemas import KNOWLEDGE_BASE
 from relspark.sources.stored import folder_of_application, stored
 
+BUCKETS, UPSERTS = 64, 4
 EXACT = ("pehash", "imphash", "binary_signature")
 
 
@@ -48,6 +51,32 @@ def record_upsert(spark, sf_dir):
     return current.select("object_id", "part", F.date_format("ts", "yyyy-MM-dd").alias("day"), *sizes)
 
 
+def bucket_lookup(spark, sf_dir):
+    """The history of every 50th user, from a knowledge base laid out by buckets: other buckets stay unread."""
+    kb = event_knowledge(spark, sf_dir)
+    laid_out = bucketed(kb, new_path(spark), BUCKETS)
+    ids = kb.select("object_id").where(F.col("object_id").cast("long") % EVERY == 0)
+    found = laid_out.lookup(ids)
+    return found.select("object_id", "feature_type", "feature_value", time_text())
+
+
+def bucket_upsert(spark, sf_dir):
+    """The newest event of each user, after one upsert for each part of the events in order of time."""
+    events = event_results(spark, sf_dir).select("object_id", "ts", "event_id", "value")
+    latest = BucketTable(new_path(spark), events.schema, BUCKETS)
+    latest.create(spark)
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    if low is None:
+        return latest.read(spark).select("object_id", "event_id", "value", time_text())
+    step = (high - low) / UPSERTS
+    for i in range(UPSERTS):
+        some = events.where(F.col("ts") >= F.lit(low + i * step))
+        if i + 1 < UPSERTS:
+            some = some.where(F.col("ts") < F.lit(low + (i + 1) * step))
+        latest.upsert(latest_rows(some, ["object_id"], [F.desc("ts"), F.desc("event_id")]))
+    return latest.read(spark).select("object_id", "event_id", "value", time_text())
+
+
 def record_json(spark, sf_dir):
     """The exchange form over real edges: gzip blobs of JSON lists, unpacked again."""
     kb, targets, edges = all_edges(spark, sf_dir)
@@ -113,6 +142,8 @@ QUERIES = {
     "q_kb_sink": kb_sink,
     "q_record_upsert": record_upsert,
     "q_record_json": record_json,
+    "q_bucket_lookup": bucket_lookup,
+    "q_bucket_upsert": bucket_upsert,
     "q_word_lists": word_lists,
     "q_typed_scan": typed_scan,
     "q_model_reload": model_reload,
@@ -153,6 +184,13 @@ ORACLE = {
         WITH {ALL_EDGES}, {PARTS}
         SELECT p.object_id, p.part, {", ".join(map(_json, EXACT))}
         FROM p LEFT JOIN dealt e ON e.object_id = p.object_id AND e.part = p.part GROUP BY p.object_id, p.part""",
+    "q_bucket_lookup": f"""
+        SELECT object_id, feature_type, feature_value, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts
+        FROM ({EVENT_KB}) WHERE CAST(object_id AS BIGINT) % {EVERY} = 0""",
+    "q_bucket_upsert": """
+        SELECT CAST(user_id AS VARCHAR) AS object_id, event_id, value, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
+        WHERE r = 1""",
     "q_word_lists": "SELECT lower(n_name) AS term FROM nation",
     "q_typed_scan": """
         SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice

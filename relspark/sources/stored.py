@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -42,16 +45,38 @@ def stored(df: DataFrame, read_as: dict[str, T.DataType] | None = None) -> DataF
     return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
+#: Names of the runs that are open, the outermost first.
+_RUNS: ContextVar[tuple[str, ...]] = ContextVar("runs", default=())
+
+
 def folder_of_application(spark: SparkSession) -> str:
-    """Where this application keeps its intermediate tables."""
-    return f"{shared_folder(spark)}/relspark/{spark.sparkContext.applicationId}"
+    """Where this application, or the innermost open run of it, keeps what it writes in between."""
+    return "/".join([shared_folder(spark), "relspark", spark.sparkContext.applicationId, *_RUNS.get()])
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def drop_stored(spark: SparkSession) -> None:
-    """Remove all intermediate tables of this application. Results not yet written need them."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder_of_application(spark))
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.delete(folder, True)
+    """Remove all intermediate tables of this application or open run. Results not yet written need them."""
+    _remove(spark, folder_of_application(spark))
+
+
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[str]:
+    """A run that owns every folder made inside it, and removes them at its end, also if it fails.
+
+    Write results before the end: frames made inside read from those folders. Runs may be nested.
+    """
+    token = _RUNS.set((*_RUNS.get(), f"run-{uuid.uuid4().hex}"))
+    folder = folder_of_application(spark)
+    try:
+        yield folder
+    finally:
+        _RUNS.reset(token)
+        _remove(spark, folder)
 
 
 def _width(column: Column, kind: T.DataType) -> Column:
