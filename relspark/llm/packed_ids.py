@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from relspark.llm.byte_pairs import encoder
 from relspark.llm.rows import column, text_of
 from relspark.llm.words import runs
-from relspark.sources.stored import shared_folder
+from relspark.sources.stored import folder_of_application
 
 MAGIC = b"pkids001"
 BLOCK = 1 << 14
@@ -257,4 +257,5 @@ def read_ids(files: DataFrame, with_ids: bool = False) -> DataFrame:
 
 
 def new_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/relspark/ids-{uuid.uuid4().hex}"
+    """Among the application's, so that it goes with them (or with the open run)."""
+    return f"{folder_of_application(spark)}/ids-{uuid.uuid4().hex}"
