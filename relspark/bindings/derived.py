@@ -61,8 +61,8 @@ def _rows(df: DataFrame, object_id: Column, service: str, results: Column) -> Da
 def peinfo_results(documents: DataFrame) -> DataFrame:
     """Hashes, signature, timestamp, sections and imports of a document's text.
 
-    French documents have an undefined pehash and no timestamp, German ones a numeric imphash and
-    version records one level deeper, Spanish ones no signature and no sections.
+    French documents have an undefined pehash and no timestamp, German ones a numeric imphash, version
+    records one level deeper, and sections and a timestamp spread over deeper members, Spanish ones no signature and no sections.
     """
     lang = F.col("lang")
     names = F.array(*[F.lit(n) for n in SECTION_NAMES])
@@ -89,7 +89,17 @@ def peinfo_results(documents: DataFrame) -> DataFrame:
     sections = F.when(lang != "es", F.transform(lines(), section))
     pehash = F.when(lang == "fr", F.lit("Undefined")).otherwise(F.md5("text"))
 
-    def result(imphash: str, info: Column) -> Column:
+    def spread_out(line: Column, i: Column) -> Column:
+        flat = section(line, i)
+        header = F.struct(flat["section_name"].alias("section_name"), flat["virt_address"].alias("virt_address"))
+        sizes = F.struct(flat["virt_size"].alias("virt_size"), flat["size"].alias("size"))
+        stats = F.struct(flat["entropy"].alias("entropy"), sizes.alias("sizes"))
+        return F.struct(header.alias("header"), stats.alias("stats"))
+
+    deep_sections = F.array(F.struct(F.transform(lines(), spread_out).alias("entries")))
+    deep_stamp = F.struct(F.struct(F.col("n_chars").alias("timestamp")).alias("header"))
+
+    def result(imphash: str, info: Column, stamp: Column, sections: Column) -> Column:
         return F.to_json(
             F.struct(
                 pehash.alias("pehash"),
@@ -102,7 +112,9 @@ def peinfo_results(documents: DataFrame) -> DataFrame:
         )
 
     deeper = F.struct(F.array(F.struct(info.alias("StringFileInfo"))).alias("children"))
-    text = F.when(lang == "de", result("n_chars", deeper)).otherwise(result("source", info))
+    text = F.when(lang == "de", result("n_chars", deeper, deep_stamp, deep_sections)).otherwise(
+        result("source", info, stamp, sections)
+    )
     return _rows(documents, doc_id(), "peinfo", text)
 
 

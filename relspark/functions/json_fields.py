@@ -27,6 +27,7 @@ PEINFO = {
     "virt_size:double,size:double>>",
     "imports": "array<struct<dll:string,function:string>>",
 }
+SECTION_MEMBERS = ("section_name", "entropy", "virt_address", "virt_size", "size")
 DETECTIONS = "scans map<string,struct<result:string>>"
 
 
@@ -91,6 +92,75 @@ def detection_names(text: Column) -> Column:
     return F.filter(found, lambda r: r.isNotNull())
 
 
+def pe_layout(text: Column, parsed: Column) -> Column:
+    """struct<sections, timestamp> of a PE result parsed with `pe_sections` and `timestamp`.
+
+    Flat records keep what the parser found. If the text has more section members than that, they lie
+    deeper, and one walk below `pe_sections` pairs the n-th name with the n-th entropy, address and sizes in
+    document order; what is missing is NULL. A timestamp not directly below its member is the first at any depth below it.
+    """
+    sections, stamp = parsed["pe_sections"], parsed["timestamp"]["timestamp"]
+
+    def seen(name: str) -> Column:
+        return F.greatest(_known(F.transform(sections, lambda s: s[name])), F.lit(0))
+
+    def whole(section: Column) -> Column:
+        held = F.lit(True)
+        for name in SECTION_MEMBERS:
+            held &= section[name].isNotNull()
+        return held
+
+    # cheap first: whole records, and no section name elsewhere
+    flat = F.coalesce(F.forall(sections, whole), F.lit(False)) & (_members(text, "section_name") == F.size(sections))
+    same = F.lit(True)
+    for name in SECTION_MEMBERS:
+        same &= _members(text, name) == seen(name)
+    flat |= same
+    deep_sections = ~flat & text.contains('"pe_sections"')
+    deep_stamp = stamp.isNull() & (_members(text, "timestamp") > 1)
+    walked = _walk_pe(F.when(deep_sections | deep_stamp, text))
+    return F.struct(
+        F.when(deep_sections, walked["sections"]).otherwise(sections).alias("sections"),
+        F.coalesce(stamp, walked["timestamp"]).alias("timestamp"),
+    )
+
+
+def _number(value: object) -> float | None:
+    return float(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else None
+
+
+def _paired_sections(value: object) -> list[dict] | None:
+    """Section records of what lies below the member, their fields paired by order."""
+    if value is None:
+        return None
+    found = {name: _find(value, name) for name in SECTION_MEMBERS}
+    text_members = ("section_name", "virt_address")
+
+    def field(name: str, i: int) -> str | float | None:
+        member = found[name][i] if i < len(found[name]) else None
+        return _as_text(member) if name in text_members else _number(member)
+
+    return [{name: field(name, i) for name in SECTION_MEMBERS} for i in range(len(found["section_name"]))]
+
+
+def _walk_pe(text: Column) -> Column:
+    kept = f"sections {PEINFO['pe_sections']}, timestamp double"
+    section = pa.struct([(n, pa.string() if n in ("section_name", "virt_address") else pa.float64()) for n in SECTION_MEMBERS])
+    shape = pa.struct([("sections", pa.list_(section)), ("timestamp", pa.float64())])
+
+    @F.arrow_udf(kept)
+    def walk(texts: pa.Array) -> pa.Array:
+        rows = []
+        for one in texts.to_pylist():
+            value = _parsed(one)[1]
+            stamps = _find(_follow(value, ("timestamp",)), "timestamp")
+            sections = _paired_sections(_follow(value, ("pe_sections",)))
+            rows.append({"sections": sections, "timestamp": _number(stamps[0]) if stamps else None})
+        return pa.array(rows, shape)
+
+    return walk(text)
+
+
 def _find(root: object, name: str) -> list:
     """Members called `name` at any depth, in document order, without recursion."""
     found, waiting = [], [(None, root)]

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,6 +99,42 @@ def codes(terms: Column, vocabulary: list[str] | tuple[str, ...]) -> Column:
     return F.transform(terms, lambda t: F.array_position(listed, t).cast("double"))
 
 
+def term_positions(terms: Column) -> Column:
+    """array<struct<term, positions>>: the distinct terms of an array<string>, each with its places from 0.
+
+    A null term is the empty text; NULL has no terms. One Arrow pass: terms are numbered by dictionary and sorted
+    by (row, number).
+    """
+
+    @F.arrow_udf("array<struct<term:string,positions:array<int>>>")
+    def positions(lists: pa.Array) -> pa.Array:
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = pc.fill_null(lists.flatten(), "").dictionary_encode()
+        number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(counts)), counts)
+        place = np.arange(len(number)) - np.repeat(np.cumsum(counts) - counts, counts)
+        key = row * max(1, len(coded.dictionary)) + number
+        order = np.argsort(key, kind="stable")
+        heads = np.flatnonzero(np.diff(key[order], prepend=-1))
+        ends = pa.array(np.append(heads, len(key)), pa.int32())
+        spots = pa.ListArray.from_arrays(ends, pa.array(place[order], pa.int32()))
+        distinct = coded.dictionary.take(pa.array(number[order][heads]))
+        entries = pa.StructArray.from_arrays([distinct, spots], ["term", "positions"])
+        bounds = np.searchsorted(row[order][heads], np.arange(len(counts) + 1))
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), entries)
+
+    return positions(terms)
+
+
+def codes_by_position(entries: Column) -> Column:
+    """array<double> from array<struct<code, positions>>: each code at its places. Position and code are sorted as one long."""
+    places = F.transform(
+        entries,
+        lambda e: F.transform(e["positions"], lambda p: F.shiftleft(p.cast("long"), 32) + e["code"]),
+    )
+    return F.transform(F.sort_array(F.flatten(places)), lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double"))
+
+
 def padded(array: Column, length: int | Column) -> Column:
     """Pad with 0 up to a length; longer arrays stay whole."""
     length = F.lit(length) if isinstance(length, int) else length

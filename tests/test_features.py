@@ -270,3 +270,38 @@ def test_classifier(spark, tmp_path):
     features = spark.createDataFrame([([9.0, 2.0, 2.0],)], "f array<double>")
     joined = features.select(classify.classifier_input(F.col("f"), 1)).first()[0]
     assert len(joined) == 1 + V.CLASSIFIER_CODES and joined[0] == 9.0 and joined[3] == 2.0
+
+
+def spread_section(name, entropy, address, virt_size, size):
+    """The members of a section in three places."""
+    return {"header": {"section_name": name, "virt_address": address}, "stats": [{"entropy": entropy}, {"virt_size": virt_size, "size": size}]}
+
+
+@pytest.mark.parametrize("wrap", [lambda x: x, lambda x: [{"entries": x}], lambda x: {"table": {"rows": x}}])
+def test_sections_and_timestamp_at_any_depth(spark, wrap):
+    """Members are paired by order, as in the flat form of the same sections."""
+    given = [(".text\0\0\0", 1.5, "0x10", 2, 3), (".other", 7.0, "0x1", 1, 1), (".data\0\0\0", 2.5, "0xFF", 4, 5)]
+    flat = {"pe_sections": [section(*x) for x in given], "timestamp": {"timestamp": 9}}
+    deep = {"pe_sections": wrap([spread_section(*x) for x in given]), "timestamp": {"head": [{"timestamp": 9}]}}
+    partly = {"pe_sections": wrap([section(*given[0]), {"more": [section(*x) for x in given[1:]]}]), "timestamp": {"timestamp": 9}}
+    short = {"pe_sections": wrap([{"header": {"section_name": ".text"}}]), "timestamp": {}}
+    bad = {"pe_sections": wrap([{"header": {"section_name": ".text", "entropy": "high", "size": None, "virt_size": True}}])}
+    rows = [(name, P.PEINFO, json.dumps(x)) for name, x in (("flat", flat), ("deep", deep), ("partly", partly), ("short", short), ("bad", bad))]
+    data = spark.createDataFrame(rows, "object_id string, service_name string, results string")
+    meta = data.select("object_id", "service_name")
+    got = {r.object_id: r.numbers for r in P.pe_results(meta, data).collect()}
+    assert got["flat"][:8] == [1.5, 16.0, 2.0, 3.0, 2.5, 255.0, 4.0, 5.0] and got["flat"][16] == 9.0
+    assert got["deep"] == got["partly"] == got["flat"]
+    assert got["short"] == got["bad"] == [0.0] * 17
+
+
+def test_terms_are_joined_once_per_row_and_keep_their_places(spark):
+    rows = spark.createDataFrame(
+        [(1, ["b", "a", "b", "zz", None, "b"]), (2, []), (3, None), (4, ["a"] * 3000 + ["b"]), (5, [""])], "id int, terms array<string>"
+    )
+    vocab = spark.createDataFrame([("a", 0), ("b", 4)], "term string, idx int")
+    found = {r.id: r.terms for r in rows.select("id", V.term_positions(F.col("terms")).alias("terms")).collect()}
+    assert sorted((t.term, t.positions) for t in found[1]) == [("", [4]), ("a", [1]), ("b", [0, 2, 5]), ("zz", [3])]
+    assert len(found[4]) == 2 and found[2] == found[3] == []
+    got = {r.id: r.codes for r in encode_sequences(rows, ["id"], "terms", vocab).collect()}
+    assert got == {1: [5, 1, 5, 0, 0, 5], 2: [], 3: [], 4: [1.0] * 3000 + [5.0], 5: [0.0]}
