@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from cases import DOCS, awkward, prose, row, table
 
 from relspark.llm import quality, toxicity
@@ -214,3 +215,45 @@ def test_a_term_of_few_toxic_texts_counts():
     model = toxicity.train(pa.array(texts), labels)
     scores = toxicity.score_texts(model, pa.array([prose(5000, 60), prose(5000, 60) + " snarl"]))
     assert scores[1] >= toxicity.THRESHOLD > scores[0]
+
+
+def test_quality_is_the_size_difference_alone(spark):
+    """Each text compressed by itself, block by block, then one straight line between two points of the curve."""
+    docs, labels = labelled(300, 3)
+    given = table(spark, docs + awkward())
+    model = quality.fit(given, spark.createDataFrame(labels, LABELS))
+    packers = [
+        zstandard.ZstdCompressor(
+            level=quality.LEVEL,
+            dict_data=zstandard.ZstdCompressionDict(d),
+            write_content_size=False,
+            write_checksum=False,
+            write_dict_id=False,
+        )
+        for d in (model.good, model.bad)
+    ]
+    texts = [text for _, text, *_ in docs + awkward()]
+    expected = []
+    for text in texts:
+        raw, size = (text or "").encode(), quality.BLOCK
+        good, bad = (sum(len(p.compress(raw[i : i + size])) for i in range(0, len(raw), size)) for p in packers)
+        x = (bad - good + quality.PSEUDO * model.prior) / (bad + good + quality.PSEUDO)
+        if x <= model.places[0] or x >= model.places[-1]:
+            expected.append(model.scores[0 if x <= model.places[0] else -1])
+            continue
+        k = next(i for i in range(len(model.places)) if model.places[i] > x)
+        a, b = model.places[k - 1 : k + 1]
+        expected.append(model.scores[k - 1] + (model.scores[k] - model.scores[k - 1]) * (x - a) / (b - a))
+    got = sorted(r.score for r in quality.scored(given, model).collect())
+    assert got == pytest.approx(sorted(expected))
+
+
+def test_the_curve_rises_and_keeps_the_shares():
+    r = np.random.default_rng(3)
+    x, share = r.normal(size=400), np.ones(400)
+    y = (r.random(400) < 1 / (1 + np.exp(-2 * x))).astype(float)
+    places, scores = quality.curve(x, y, share)
+    assert (np.diff(places) > 0).all() and (np.diff(scores) >= 0).all() and 0 < scores[0] < scores[-1] < 1
+    assert np.interp(x, places, scores).mean() == pytest.approx(y.mean(), abs=0.05)
+    places, scores = quality.curve(np.zeros(10), np.arange(10) % 2.0, np.ones(10))
+    assert scores.tolist() == [0.5]
