@@ -117,25 +117,6 @@ def test_a_long_clean_part_does_not_hide_a_toxic_one():
     assert scores[2] == scores[3] < 0.3
 
 
-def test_window_sums_are_the_formula():
-    texts = pa.array([prose(1, 10), prose(2, 60), ""])
-    words = toxicity.words_of(texts)
-    _, terms = toxicity.word_terms(words)
-    known = np.unique(terms[terms != 0])
-    r = np.random.default_rng(1)
-    weights, vectors = r.normal(size=len(known) + 1), r.normal(size=(len(known) + 1, 4))
-    weights[-1], vectors[-1] = 0, 0
-    model = toxicity.Model(known, 0.5, weights, vectors, 1.0, 0.0)
-    text, logits = toxicity.window_logits(model, words)
-    places, _ = toxicity.word_terms(words)
-    starts = toxicity.windows(words)[1]
-    assert text.tolist() == [0, 1, 1]
-    for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(places)], strict=True)):
-        used = [t for p in places[a:b] for t in toxicity.term_numbers(known, terms[p])]
-        pairs = sum(vectors[i] @ vectors[j] for x, i in enumerate(used) for j in used[:x])
-        assert logits[k] == pytest.approx(0.5 + weights[used].sum() + pairs)
-
-
 def met_pairs(n, places):
     """Texts of 130 words in which "zorg" and "blit" stand alone or, if toxic, at the given places."""
     texts, labels = [], []
