@@ -1,8 +1,9 @@
 """Shards cut from a Hilbert curve over several dimensions of metadata.
 
 Each dimension is quantised to 2^BITS steps at its own quantiles, so that a frequent value does not
-leave the other steps empty. Strings are ordered by their first bytes. A row's steps are a cell of a
-grid, and cells are ordered along a Hilbert curve, on which neighbours differ by one step in one
+leave the other steps empty. Strings are compared whole, so that values with a long common beginning
+are told apart: their distinct values are counted, and the bounds are those at which the running count
+passes each share. A row's steps are a cell of a grid, and cells are ordered along a Hilbert curve, on which neighbours differ by one step in one
 dimension. The curve is cut into runs of equal numbers of rows: so each shard, and each file in it,
 spans a short range of every dimension at once, and a filter on any of them skips most files by the
 ranges in the Parquet footers.
@@ -12,7 +13,7 @@ checksum of their text, so that equal texts of a cell lie together, then by id;
 of all rows is cut like any other run. Texts are read once, for size and checksum; what is ordered
 are short rows. At most (2^BITS - 1) bounds per dimension come to the driver.
 
-A null dimension counts as the least value. Null text has size 1 and checksum 0. Null ids come first in
+Long texts count whole. Repeated rows are rows of their own, each with a slot. Names of the given columns may be any. A null dimension counts as the least value. Null text has size 1 and checksum 0. Null ids come first in
 a cell. An empty table gives an empty result.
 """
 
@@ -23,12 +24,13 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relspark.llm.rows import column, numbered
 from relspark.operators.ranking import with_index
-from relspark.sources.stored import measured
+from relspark.sources.stored import measured, stored
 
 SHARDS = 16
 BITS = 4
@@ -67,11 +69,45 @@ def curve_place(steps: list[Column], bits: int = BITS) -> Column:
 
 
 def measure(value: Column, kind: T.DataType) -> Column:
-    """A dimension as a number in the order of its values; strings by their first six bytes."""
-    if isinstance(kind, T.NumericType):
-        return value.cast("double")
-    first = F.hex(F.substring(value.cast("string").cast("binary"), 1, 6))
-    return F.conv(F.rpad(first, 12, "0"), 16, 10).cast("double")
+    """A dimension as a number, or as a whole string, in the order of its values."""
+    return value.cast("double" if isinstance(kind, T.NumericType) else "string")
+
+
+def string_bounds(values: DataFrame, shares: list[float]) -> list[str | None]:
+    """For each share the least value of the column `value` that, with all before it, makes up that share of the rows.
+
+    Distinct values are counted before the shuffle and added up range by range; only the sizes of the
+    ranges meet in one task.
+    """
+    counts = values.where("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n"))
+    ranged = stored(counts.repartitionByRange("value").withColumn("range", F.spark_partition_id()))
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = (
+        ranged.groupBy("range")
+        .agg(F.sum("n").alias("size"))
+        .select(
+            "range",
+            F.coalesce(F.sum("size").over(before), F.lit(0)).alias("shift"),
+            F.sum("size").over(W.partitionBy()).alias("total"),
+        )
+    )
+    upto = F.col("shift") + F.sum("n").over(W.partitionBy("range").orderBy("value"))
+    reached = ranged.join(F.broadcast(ranges), "range").select("value", "total", upto.alias("upto"))
+    least = [F.min(F.when(F.col("upto") >= F.col("total") * share, F.col("value"))) for share in shares]
+    return list(reached.agg(*[c.alias(f"b{k}") for k, c in enumerate(least)]).first())
+
+
+def bounds_of(rows: DataFrame, names: list[str], bits: int) -> list[list]:
+    """The distinct bounds between the steps of each dimension, in order; none for a dimension without values."""
+    shares = [k / (1 << bits) for k in range(1, 1 << bits)]
+    numbers = [n for n in names if isinstance(rows.schema[n].dataType, T.DoubleType)]
+    found = {}
+    if numbers:
+        one = rows.agg(*[F.percentile_approx(n, shares, 10_000).alias(n) for n in numbers]).first()
+        found = {n: one[n] or [] for n in numbers}
+    for name in set(names) - set(numbers):
+        found[name] = string_bounds(rows.select(F.col(name).alias("value")), shares)
+    return [sorted({b for b in found[n] if b is not None}) for n in names]
 
 
 def _facts(
@@ -94,18 +130,13 @@ def _facts(
 def _ordered(rows: DataFrame, dimensions: int, bits: int) -> DataFrame:
     """(row, id, size, text_crc32, curve, place) of rows with measures d0, d1, ...: their global order."""
     names = [f"d{i}" for i in range(dimensions)]
-    shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    bounds = rows.agg(*[F.percentile_approx(n, shares, 10_000).alias(n) for n in names]).first()
     steps = []
-    for name in names:
+    for name, bounds in zip(names, bounds_of(rows, names, bits), strict=True):
         above = F.lit(0)
-        for bound in sorted(set(bounds[name] or [])):
-            above += F.coalesce(F.col(name) > bound, F.lit(False)).cast("int")
-        steps.append(above)
-    # equal bounds leave steps out: spread what is left over the whole range
-    for i, name in enumerate(names):
-        used = len(set(bounds[name] or []))
-        steps[i] = F.floor(steps[i] * ((1 << bits) - 1) / max(1, used)).cast("int")
+        for bound in bounds:
+            above += F.coalesce(F.col(name) > F.lit(bound), F.lit(False)).cast("int")
+        # equal bounds leave steps out: spread what is left over the whole range
+        steps.append(F.floor(above * ((1 << bits) - 1) / max(1, len(bounds))).cast("int"))
     placed = rows.withColumn("curve", curve_place(steps, bits))
     order = [F.col(c).asc_nulls_first() for c in ("curve", "text_crc32", "id", "row")]
     return with_index(placed, order, "place", "long")

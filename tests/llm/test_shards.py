@@ -63,3 +63,20 @@ def test_files_keep_rows_and_span_little(spark):
     for r in found.collect():
         spans[r[name]].add((r.lang, r.source == "hot"))
     assert langs == 16 and np.mean([len(s) for s in spans.values()]) < len({x for s in spans.values() for x in s}) / 2
+
+
+def test_values_with_a_common_beginning_are_told_apart(spark):
+    """The curve is the same whether or not all sources begin alike."""
+    plain = [(r[0], r.curve) for r in hilbert.curve_shards(table(spark, many())).collect()]
+    at = DOCS.names.index("source")
+    long = [tuple("https://site/" * 40 + x if k == at and x is not None else x for k, x in enumerate(r)) for r in many()]
+    assert Counter(plain) == Counter((r[0], r.curve) for r in hilbert.curve_shards(table(spark, long)).collect())
+
+
+@pytest.mark.parametrize("values", [["b"] * 30 + ["a"] * 5 + ["c", None], [f"v{i:03}" for i in range(100)], ["\u00e9", "z", "", "\U0001f600"], [None], []])
+def test_string_bounds(spark, values):
+    shares = [k / 8 for k in range(1, 8)]
+    given = spark.createDataFrame([(v,) for v in values], "value string")
+    held = sorted((v for v in values if v is not None), key=lambda v: v.encode())
+    expected = [next(v for k, v in enumerate(held, 1) if k >= share * len(held)) if held else None for share in shares]
+    assert hilbert.string_bounds(given, shares) == expected
