@@ -46,7 +46,7 @@ PREFIXES = (4, 5, 6)
 PER_CLASS = 2000
 MAX_BYTES = 12_000
 PENALTY, VECTOR_PENALTY = 20, 60
-CHI2 = 3.0
+CHI2 = 10.0
 EPOCHS, STEPS = 8, 128
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
