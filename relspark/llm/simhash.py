@@ -16,6 +16,13 @@ step, and the full chain is the Hamming distance itself.
 Only distinct fingerprints are compared, each once with the least id of its rows; copies are never
 expanded into pairs. Components come from contraction: each fingerprint points to the neighbour
 that comes first in a random order, links are carried over to those, until none is left.
+
+One fingerprint, or one component, may hold a third of all rows: joins on them broadcast the side of
+one row each if it was measured to fit, else they cut hot keys into pieces.
+
+Null text counts as empty. Texts without words all have fingerprint 0 and are linked like any other.
+Long texts are read whole, their bits counted in blocks. Repeated rows, and rows with equal ids or none,
+are rows of their own; rows without id come after those with one. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +34,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relspark.llm.rows import column, least_row, numbered, text_of, without_rows
-from relspark.sources.stored import measured, stored
+from relspark.llm.words import runs
+from relspark.operators.joins import sized_join
+from relspark.sources.stored import Stored, measured, stored
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -60,7 +69,8 @@ def fingerprint_of(text: Column, shingle_words: int = SHINGLE_WORDS) -> Column:
 
     @F.arrow_udf("long")
     def fingerprints(texts: pa.Array) -> pa.Array:
-        values = [fingerprint(t.encode(), shingle_words) for t in texts.to_pylist()]
+        parts = (part.cast(pa.binary()).to_pylist() for _, part in runs(texts))
+        values = [fingerprint(t, shingle_words) for part in parts for t in part]
         return pa.array(np.array(values, np.uint64).view(np.int64), pa.int64())
 
     return fingerprints(text)
@@ -136,6 +146,12 @@ def linked_pairs(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     )
 
 
+def renamed(table: Stored, **names: str) -> Stored:
+    """The same table with other column names."""
+    columns = [F.col(old).alias(new) for old, new in names.items()]
+    return Stored(table.df.select(*columns), table.rows, table.size)
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) of every node that has a link; nodes of one component have the same root.
 
@@ -155,21 +171,21 @@ def components(pairs: DataFrame) -> DataFrame:
         )
         nearest = both.groupBy("node").agg(F.min(place("other")).alias("nearest"))
         first = F.least(place("node"), "nearest")
-        hop = stored(nearest.select("node", first["node"].alias("root")))
+        hop = measured(nearest.select("node", first["node"].alias("root")))
         hops.append(hop)
-        a = hop.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        b = hop.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        moved = edges.df.join(a, "a").join(b, "b").where("ra != rb")
+        a = renamed(hop, node="a", root="ra")
+        b = renamed(hop, node="b", root="rb")
+        moved = sized_join(sized_join(edges.df, a, ["a"], ["b"]), b, ["b"], ["a"]).where("ra != rb")
         ends = (F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
         edges = measured(moved.select(*ends).distinct())
     if not hops:
         return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
     roots = hops.pop()
     while hops:
-        further = roots.select(F.col("node").alias("root"), F.col("root").alias("end"))
-        moved = hops.pop().join(further, "root", "left")
-        roots = stored(moved.select("node", F.coalesce("end", "root").alias("root")))
-    return roots
+        further = renamed(roots, node="root", root="end")
+        moved = sized_join(hops.pop().df, further, ["root"], ["node"], "left")
+        roots = measured(moved.select("node", F.coalesce("end", "root").alias("root")))
+    return roots.df
 
 
 def fingerprint_classes(table: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -178,8 +194,9 @@ def fingerprint_classes(table: DataFrame, max_bits: int = MAX_BITS) -> DataFrame
     pairs = linked_pairs(classes.select("fp"), max_bits)
     roots = components(pairs).withColumnRenamed("node", "fp")
     linked = classes.join(roots, "fp")
-    best = stored(linked.groupBy("root").agg(F.min("own").alias("joint")))
-    joint = stored(linked.select("fp", "root").join(best, "root").select("fp", "joint"))
+    best = measured(linked.groupBy("root").agg(F.min("own").alias("joint")))
+    members = linked.select("fp", "root")
+    joint = stored(sized_join(members, best, ["root"], ["fp"]).select("fp", "joint"))
     return classes.join(joint, "fp", "left").select("fp", F.coalesce("joint", "own").alias("best"))
 
 
@@ -192,13 +209,13 @@ def near_duplicates(
 ) -> DataFrame:
     """(<id>, fingerprint, component_id) of every row.
 
-    component_id is the least id in the component; null only if none of its rows has an id. Null
-    text counts as empty; an empty table gives an empty result.
+    component_id is the least id in the component; null only if none of its rows has an id.
     """
     fp = fingerprint_of(text_of(docs, text_column), shingle_words).alias("fp")
     row = F.monotonically_increasing_id().alias("row")
     table = stored(docs.select(column(docs, id_column).alias("id"), fp, row))
-    found = table.join(fingerprint_classes(table, max_bits), "fp")
+    classes = measured(fingerprint_classes(table, max_bits))
+    found = sized_join(table, classes, ["fp"], ["row"])
     return found.select(
         F.col("id").alias(id_column),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -216,6 +233,6 @@ def without_near_duplicates(
     """One row of each component with its columns: that of the least id; of equal ids one."""
     rows = numbered(docs, fp=fingerprint_of(text_of(docs, text_column), shingle_words))
     table = rows.select("row", "fp", F.col("doc").getField(id_column).alias("id"))
-    found = table.join(fingerprint_classes(table, max_bits), "fp")
-    gone = measured(found.where("row != best.row").select("row"))
+    kept = fingerprint_classes(table, max_bits).select("best.row").distinct()
+    gone = measured(table.select("row").join(kept, "row", "left_anti"))
     return without_rows(rows, gone)
