@@ -8,20 +8,23 @@ DataFrame functions are used.
    rows have. There are at most 1 / support of them, however large the table is.
 3. Their exact winners (least id) and group sizes are counted with map-side combining. This table
    of at most 1 / support rows is broadcast, so rows of frequent texts never cross the network.
-4. No other digest has more than `support` of the rows; they are grouped by an ordinary shuffle.
+4. No other digest has more than `support` of the rows; they are grouped by an ordinary shuffle with
+   map-side combining. Only groups of two rows or more are joined back: broadcast if they were measured
+   to fit, else shuffled with the larger digests cut into pieces, so no task holds a whole large group.
+5. Rows are removed by their numbers; texts are never shuffled.
 
-Null text counts as empty. Rows without id come after all rows with one. Of rows with equal id and
-text one stays. An empty table gives an empty result.
+Null text counts as empty. Long texts are hashed whole. Rows without id come after all rows with one. Of
+rows with equal id and text one stays. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from relspark.llm.rows import column, least_row, text_of, whole_row
-from relspark.sources.stored import stored
+from relspark.llm.rows import column, least_row, numbered, text_of, without_rows
+from relspark.operators.joins import sized_join
+from relspark.sources.stored import measured, stored
 
 SUPPORT = 0.005
 
@@ -40,15 +43,31 @@ def frequent_digests(digests: DataFrame, support: float = SUPPORT) -> DataFrame:
     return found.select(F.explode("digest_freqItems").alias("digest"))
 
 
+def groups_of(digests: DataFrame) -> DataFrame:
+    """(digest, winner, group_size) of digests of two rows or more."""
+    groups = digests.groupBy("digest").agg(
+        F.min(least_row("id")).alias("winner"), F.count("*").alias("group_size")
+    )
+    return groups.where("group_size > 1")
+
+
 def frequent_winners(digests: DataFrame, support: float = SUPPORT) -> DataFrame:
     """Verified (digest, winner, group_size) of the frequent digests, at most 1 / support rows."""
     frequent = stored(frequent_digests(digests, support))
-    counted = (
-        digests.join(F.broadcast(frequent), "digest", "left_semi")
-        .groupBy("digest")
-        .agg(F.min(least_row("id")).alias("winner"), F.count("*").alias("group_size"))
+    return stored(groups_of(digests.join(F.broadcast(frequent), "digest", "left_semi")))
+
+
+def with_winners(digests: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """(id, digest, row, winner, group_size) of every row of (id, digest, row)."""
+    winners = F.broadcast(frequent_winners(digests, support))
+    frequent = digests.join(winners, "digest")
+    rare = digests.join(winners, "digest", "left_anti")
+    found = sized_join(rare, measured(groups_of(rare)), ["digest"], ["row"], "left")
+    columns = ("id", "digest", "row", "winner", "group_size")
+    alone = found.withColumn("winner", F.coalesce("winner", least_row("id"))).withColumn(
+        "group_size", F.coalesce("group_size", F.lit(1).cast("long"))
     )
-    return stored(counted.where("group_size > 1"))
+    return frequent.select(*columns).unionByName(alone.select(*columns))
 
 
 def exact_groups(
@@ -65,15 +84,7 @@ def exact_groups(
             F.monotonically_increasing_id().alias("row"),
         )
     )
-    winners = F.broadcast(frequent_winners(digests, support))
-    group = W.partitionBy("digest")
-    frequent = digests.join(winners, "digest")
-    rare = (
-        digests.join(winners, "digest", "left_anti")
-        .withColumn("winner", F.min(least_row("id")).over(group))
-        .withColumn("group_size", F.count("*").over(group))
-    )
-    return frequent.unionByName(rare).select(
+    return with_winners(digests, support).select(
         F.col("id").alias(id_column),
         F.col("winner.id").alias("keep_id"),
         "group_size",
@@ -85,22 +96,8 @@ def exact_groups(
 def without_copies(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", support: float = SUPPORT
 ) -> DataFrame:
-    """The rows that stay, with their columns.
-
-    Rows of frequent texts other than those with the least id are dropped where they are read; what
-    is left is shuffled by digest once and one row of each digest stays.
-    """
-    rows = docs.select(
-        column(docs, id_column).alias("id"),
-        digest_of(text_of(docs, text_column)).alias("digest"),
-        whole_row(docs).alias("doc"),
-    )
-    digests = stored(rows.select("id", "digest", F.lit(0).alias("row")))
-    winners = frequent_winners(digests, support).select("digest", "winner")
-    left = (
-        rows.join(F.broadcast(winners), "digest", "left")
-        .where(F.col("winner").isNull() | F.col("id").eqNullSafe(F.col("winner.id")))
-        .drop("winner")
-    )
-    first = F.row_number().over(W.partitionBy("digest").orderBy(F.asc_nulls_last("id")))
-    return left.withColumn("place", first).where("place = 1").select("doc.*")
+    """The rows that stay, with their columns."""
+    rows = numbered(docs, digest=digest_of(text_of(docs, text_column)))
+    digests = rows.select("row", "digest", F.col("doc").getField(id_column).alias("id"))
+    gone = measured(with_winners(digests, support).where("row != winner.row").select("row"))
+    return without_rows(rows, gone)
