@@ -11,6 +11,10 @@ fingerprints, whose size is fixed whatever the benchmark's; it lets through ever
 few others. What is left is joined on the fingerprint, compared word by word, and extended to both
 sides while words are equal. Extended spans of WINDOW words or more are the hits.
 
+A passage may be in many items and many documents. Grams with equal surroundings are one class with a list
+of items; documents meet classes, and items are listed once for each distinct set of classes met, so the
+work grows with documents plus items, not with their product.
+
 Items shorter than a window are looked up by the gram of all their words, for each such length.
 
 Null text has no words: no hits, and as an item no window. Rows with the same id, or none, are told
@@ -188,6 +192,11 @@ def equal_words(a: str, b: str) -> Column:
     return F.size(F.filter(places, lambda n: F.slice(a, 1, n) == F.slice(b, 1, n)))
 
 
+def place_id(place: str) -> Column:
+    """A name for a gram with what is around it: equal ones of several items are one class."""
+    return F.sha2(F.to_json(place), 256)
+
+
 def contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -210,16 +219,11 @@ def contamination(
         text_of(items, item_text_column).alias("text"),
     )
     marked = with_grams(given, window, gram, [], whole_items=True).select("id", F.inline("grams"))
-    marks = measured(
-        marked.select(
-            F.col("id").cast("string").alias("item"),
-            "span",
-            "fp",
-            F.col("gram").alias("item_gram"),
-            F.col("before").alias("item_before"),
-            F.col("after").alias("item_after"),
-        )
-    )
+    place = F.struct("span", "fp", F.col("gram").alias("item_gram"), F.col("before").alias("item_before"),
+                     F.col("after").alias("item_after"))
+    named = stored(marked.select(F.col("id").cast("string").alias("item"), place.alias("place"), place_id("place").alias("class")))
+    marks = measured(named.groupBy("class").agg(F.first("place").alias("place")).select("class", "place.*"))
+    items_of = measured(named.select("class", "item").distinct())
     # at most window - 1 lengths
     lengths = marks.df.where(F.col("span") < window).select("span").distinct().collect()
     short = sorted(r["span"] for r in lengths)
@@ -239,16 +243,22 @@ def contamination(
         .where(length >= F.col("span"))
         .select(
             "row",
-            "item",
+            "class",
             F.struct(
                 (F.col("pos") - F.col("left")).alias("from"),
                 (F.col("pos") + F.size("gram") + F.col("right")).alias("to"),
             ).alias("span"),
         )
     )
-    of_row = hits.groupBy("row").agg(
-        F.collect_set("item").alias("items"), F.collect_set("span").alias("spans")
+    hit = stored(
+        hits.groupBy("row")
+        .agg(F.array_sort(F.collect_set("class")).alias("classes"), F.collect_set("span").alias("spans"))
+        .withColumn("together", F.sha2(F.array_join("classes", ","), 256))
     )
+    sets = hit.groupBy("together").agg(F.first("classes").alias("classes"))
+    met = sized_join(sets.select("together", F.explode("classes").alias("class")), items_of, ["class"], ["together"])
+    lists = measured(met.groupBy("together").agg(F.array_sort(F.collect_set("item")).alias("items")))
+    of_row = sized_join(hit.drop("classes"), lists, ["together"], ["row"], "left")
     positions = F.flatten(F.transform("spans", lambda s: F.sequence(s["from"], s["to"] - 1)))
     no_items, no_spans = F.array().cast("array<string>"), F.array().cast("array<struct<from:int,to:int>>")
     return found.select("row", "id", "n_words").join(of_row, "row", "left").select(
@@ -257,7 +267,7 @@ def contamination(
         "n_words",
         F.coalesce(F.size(F.array_distinct(positions)), F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce(F.array_sort("items"), no_items).alias("items"),
+        F.coalesce("items", no_items).alias("items"),
         F.coalesce(F.array_sort("spans"), no_spans).alias("spans"),
     )
 

@@ -6,6 +6,16 @@ import pytest
 from cases import DOCS, awkward, linked, normal, prose, row, simhash, table
 
 from relspark.llm import exact_dedup, simhash as sim
+from relspark.operators import joins
+
+
+@pytest.fixture
+def cut_keys(monkeypatch):
+    """Nothing fits a broadcast, and keys of more than three rows are cut into pieces."""
+    sized, defaults = joins.fits_broadcast, joins.salted_join.__defaults__
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 20)
+    monkeypatch.setattr(joins, "fits_broadcast", lambda t: sized(t) and "_pieces" in t.df.columns)
+    monkeypatch.setattr(joins.salted_join, "__defaults__", (*defaults[:-1], 3))
 
 
 def least(ids):
@@ -116,3 +126,28 @@ def test_empty_tables(spark):
         sim.without_near_duplicates(empty),
     ):
         assert result.count() == 0
+
+
+def test_a_third_of_the_rows_in_one_group(spark, cut_keys):
+    """One text and one dense component hold a third of all rows each; their keys are cut into pieces."""
+    same, near = prose(70, 40), near_copies(60, 8)
+    rows = [row(i, same) for i in range(60)] + [row(100 + i, t) for i, t in enumerate(near)]
+    rows += [row(200 + i, prose(300 + i // 2, 30)) for i in range(60)]
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[1]].append(r[0])
+    docs = table(spark, rows)
+    # at this support no digest is frequent: all groups go through the shuffle
+    got = exact_dedup.exact_groups(docs, support=0.9).collect()
+    expected = Counter((r[0], min(groups[r[1]]), len(groups[r[1]]), r[0] == min(groups[r[1]])) for r in rows)
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == expected
+    kept = {r.doc_id for r in exact_dedup.without_copies(docs, support=0.9).collect()}
+    assert kept == {min(g) for g in groups.values()}
+    prints = [simhash(r[1]) for r in rows]
+    root = linked(prints)
+    least_of = {}
+    for r, p in zip(rows, prints, strict=True):
+        least_of[root[p]] = min(r[0], least_of.get(root[p], r[0]))
+    got = {r.doc_id: r.component_id for r in sim.near_duplicates(docs).collect()}
+    assert got == {r[0]: least_of[root[p]] for r, p in zip(rows, prints, strict=True)}
+    assert {r.doc_id for r in sim.without_near_duplicates(docs).collect()} == set(least_of.values())

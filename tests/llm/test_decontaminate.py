@@ -115,3 +115,12 @@ def test_words_are_cut_like_the_pattern(spark):
     found = words_of(pa.array(texts, pa.string()))
     for i, text in enumerate(texts):
         assert [found.word(k) for k in range(found.first[i], found.first[i + 1])] == words(text)
+
+
+def test_one_passage_in_many_items_and_documents(spark):
+    """Equal surroundings are one class; items that hold the passage elsewhere are others. All are listed."""
+    passage = prose(700, 30)
+    given = [(i, passage, "x") for i in range(40)] + [(100 + i, prose(800 + i, 12) + " " + passage, "x") for i in range(5)]
+    docs = [row(i, prose(900 + i, 5) + " " + passage) for i in range(50)] + [row(60, prose(990, 40)), row(61, prose(801, 12))]
+    found = check(spark, docs, given)
+    assert sum(r.n_items == 45 for r in found) == 50
