@@ -6,6 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import MinMaxScaler
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,12 @@ def classifier_input(features: Column, pe_width: int, steps: int | None = None)
     return F.concat(F.slice(features, 1, pe_width), V.code_counts(opcodes))
 
 
+def _vector(data: DataFrame) -> Column:
+    """The features of a table, arrays or vectors, as vectors."""
+    given = isinstance(data.schema["features"].dataType, VectorUDT)
+    return (F.col("features") if given else array_to_vector("features")).alias("vector")
+
+
 def train(
     data: DataFrame,
     width: int,
@@ -28,11 +35,11 @@ def train(
     max_iter: int = 100,
     seed: int = 1,
 ) -> PipelineModel:
-    """Fit scaler and perceptron on (label one-hot, features of `width` numbers)."""
+    """Fit scaler and perceptron on (label one-hot, features of `width` numbers, as arrays or vectors)."""
     rows = stored(
         data.select(
             V.arg_max(F.col("label")).cast("double").alias("class"),
-            array_to_vector("features").alias("vector"),
+            _vector(data),
         )
     )
     stages = [
@@ -50,7 +57,7 @@ def train(
 
 def predict(model: PipelineModel, data: DataFrame) -> DataFrame:
     """(object_id, prediction)."""
-    rows = data.select("object_id", array_to_vector("features").alias("vector"))
+    rows = data.select("object_id", _vector(data))
     return model.transform(rows).select("object_id", F.col("prediction").cast("int").alias("prediction"))
 
 
@@ -59,7 +66,7 @@ def evaluate(model: PipelineModel, data: DataFrame) -> DataFrame:
     rows = data.select(
         "object_id",
         V.arg_max(F.col("label")).cast("int").alias("label"),
-        array_to_vector("features").alias("vector"),
+        _vector(data),
     )
     return model.transform(rows).select(
         "object_id", "label", F.col("prediction").cast("int").alias("prediction")

@@ -305,3 +305,36 @@ def test_terms_are_joined_once_per_row_and_keep_their_places(spark):
     assert len(found[4]) == 2 and found[2] == found[3] == []
     got = {r.id: r.codes for r in encode_sequences(rows, ["id"], "terms", vocab).collect()}
     assert got == {1: [5, 1, 5, 0, 0, 5], 2: [], 3: [], 4: [1.0] * 3000 + [5.0], 5: [0.0]}
+
+
+def test_sparse_pe_features_take_room_by_their_own_entries(spark):
+    """Flags of all rows and of none are the same everywhere and stand in no row; the entries are those of the arrays."""
+    function = lambda name: {"dll": "K", "function": name}
+    rows = [
+        (f"o{i}", {"pe_sections": [section(".text", float(i))], "imports": [function("all"), function(f"f{i}")]})
+        for i in range(40)
+    ]
+    rows.append(("bare", {"imports": [function("nowhere"), function("f1")]}))
+    meta, data = inputs(spark, "peinfo", rows)
+    sparse = P.sparse_pe_features(meta, data, min_count=0)
+    assert sparse.width == 17 + 42 and sparse.rows.count() == 40
+    assert sparse.rows.select(F.max(F.size("indices"))).first()[0] == 18
+    positions = [r.pos for r in sparse.same.collect()]
+    assert len(positions) == 2, "the flag of all rows, and the one of the row without numbers"
+    full = by_id(sparse.arrays())
+    assert all(len(f) == 59 and [f[p] for p in positions] == [0.5, 0.5] for f in full.values())
+    entries = {(r.object_id, r.pos): r.value for r in sparse.entries("object_id").collect() if r.value}
+    assert entries == {(o, p): x for o, f in full.items() for p, x in enumerate(f) if x}
+    assert by_id(P.pe_features(meta, data, min_count=0)) == full
+
+
+def test_sparse_training_set_is_that_of_arrays(spark):
+    labels = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("b", [1.0, 0.0])], "object_id string, label array<double>")
+    rows = spark.createDataFrame([("a", [0, 2], [3.0, 1.0]), ("b", [], []), ("c", [1], [1.0])], "object_id string, indices array<int>, values array<double>")
+    first = P.SparseFeatures(rows, spark.createDataFrame([(3,)], "pos int"), 4)
+    codes = spark.createDataFrame([("a", [0.0, 7.0, 9.0]), ("b", []), ("d", [1.0])], "object_id string, features array<double>")
+    got = P.sparse_training_set(labels, first, codes, last_length=5)
+    whole = P.training_set(labels, first.arrays(), codes, last_length=5)
+    assert got.width == 9
+    expected = {(r.object_id, *r.label, p, x) for r in whole.collect() for p, x in enumerate(r.features) if x}
+    assert {(r.object_id, *r.label, r.pos, r.value) for r in got.entries("object_id", "label").collect() if r.value} == expected
