@@ -338,3 +338,17 @@ def test_sparse_training_set_is_that_of_arrays(spark):
     assert got.width == 9
     expected = {(r.object_id, *r.label, p, x) for r in whole.collect() for p, x in enumerate(r.features) if x}
     assert {(r.object_id, *r.label, r.pos, r.value) for r in got.entries("object_id", "label").collect() if r.value} == expected
+
+
+def test_distances_of_wide_flags_stand_in_no_plan(spark):
+    """Centres as literals of the plan took the driver's memory by the width of the vocabulary."""
+
+    class Model:
+        def clusterCenters(self):
+            return [[0.25] * 5000, [0.0] * 4999 + [1.0]]
+
+    rows = spark.createDataFrame([("a", [0, 4999]), ("b", [])], "object_id string, indices array<int>")
+    away = rows.select("object_id", P.flag_distances(F.col("indices"), Model()).alias("away"))
+    assert len(away._jdf.queryExecution().logical().toString()) < 2000
+    got = {r.object_id: r.away for r in away.collect()}
+    assert got["a"] == pytest.approx([5000 / 16 + 2 * 0.5, 1.0]) and got["b"] == pytest.approx([5000 / 16, 1.0])
