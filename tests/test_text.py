@@ -118,3 +118,40 @@ def check_uuid(spark, made):
     got = row.select("ts", uuid_timestamp(F.col("again")).alias("back"), "again").first()
     assert got.ts == when and got.back == when
     assert uuid.UUID(got.again).version == 1
+
+
+def test_batches_are_worked_off_in_slices():
+    """A batch has as many rows as Spark likes; what Python makes of it at once is bounded in bytes."""
+    pa = pytest.importorskip("pyarrow")
+    from relspark.functions.arrow_slices import by_slices, slices
+
+    texts = pa.array(["x" * (i % 90) if i % 7 else None for i in range(3000)] + ["y" * 9000, None, ""], pa.string())
+    parts = list(slices(texts, 5000))
+    assert pa.concat_arrays(parts).equals(texts) and len(parts) > 40
+    assert all(part.to_pylist() for part in parts)
+    assert all(sum(len(x or "") + 64 for x in part.to_pylist()[1:]) <= 5000 for part in parts)
+    assert by_slices(lambda some: some, texts, 5000).equals(texts)
+    assert by_slices(lambda some: some, texts.slice(5, 20), 100).equals(texts.slice(5, 20))
+    assert len(by_slices(lambda some: some, texts.slice(0, 0))) == 0
+
+
+def test_udfs_take_bounded_memory_of_a_large_batch():
+    """Opcode names of 40 MB of text took more than ten times that as Python objects."""
+    pa = pytest.importorskip("pyarrow")
+    import json
+    import tracemalloc
+
+    from relspark.functions import arrow_slices
+
+    def make(some):
+        seen = [json.loads(x)["opcodes"] for x in some.to_pylist()]
+        return pa.array([len(x) for x in seen])
+
+    text = json.dumps({"opcodes": [f"word{i}" for i in range(500)]})
+    batch = pa.array([text] * 4000)
+    tracemalloc.start()
+    found = arrow_slices.by_slices(make, batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.to_pylist() == [500] * 4000
+    assert peak < 40 << 20
