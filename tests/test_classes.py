@@ -116,3 +116,18 @@ def test_cells_of_records_are_bounded(spark, most):
     if parts > 1:
         half = edges.groupBy("object_id", R._part_of("other_id", parts // 2).alias("part")).count()
         assert half.agg(F.max("count")).first()[0] > most
+
+
+@pytest.mark.parametrize("most", [1, 6])
+def test_lists_that_meet_under_frequent_tokens_are_scored(spark, most):
+    """With `score_all` no link of lists is without its weight, and no token is a class."""
+    kb = stored(spark.createDataFrame(random_kb(most), KNOWLEDGE_BASE).coalesce(2))
+    targets = ids(spark, [f"o{i:03d}" for i in range(0, 60, 4)])
+    linked = C.primary_links(kb, targets, most=most, score_all=True)
+    assert linked.links.where("weight IS NULL").count() == 0
+    assert linked.members.where("kind = 'token'").count() == 0
+    lists = linked.members.where("kind = 'list'").select("class_id", F.col("member").alias("other_id"))
+    key = ["object_id", "other_id", "feature_type"]
+    scored = linked.links.drop("other_id").join(lists, "class_id").where("object_id <> other_id")
+    edges = R.overlap_edges(kb, targets).select(*key, F.round("weight", 9))
+    assert {tuple(r) for r in scored.select(*key, F.round("weight", 9)).collect()} == {tuple(r) for r in edges.collect()}
