@@ -41,6 +41,8 @@ MAGIC = b"pkids001"
 BLOCK = 1 << 14
 FOOTER = 5 * 8 + len(MAGIC)
 END_ID = 2
+#: Text encoded at once; what that takes for a while is a multiple of it, in every worker of an executor.
+SLICE_BYTES = 1 << 19
 
 
 def bits_for(vocabulary_size: int) -> int:
@@ -186,7 +188,7 @@ def write_ids(
             writer = FileWriter(out, bits)
             for batch in batches:
                 keys = batch["id"]
-                for first, texts in runs(batch["text"]):
+                for first, texts in runs(batch["text"], SLICE_BYTES):
                     ids, before = encode(texts)
                     sizes = np.diff(before)
                     ids = np.insert(ids, before[1:], end_id)

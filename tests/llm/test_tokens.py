@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -14,6 +15,7 @@ from tokenizers import Tokenizer, models
 
 from relspark.llm import packed_ids, sentence_pieces, token_counts
 from relspark.llm.byte_pairs import Encoder
+from relspark.llm.words import runs
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -248,3 +250,18 @@ def test_counts_of_documents(spark, model):
     assert Counter(tuple(r) for r in got) == Counter((r[0], *brute(r[1])) for r in docs)
     assert token_counts.token_counts(table(spark, []), PIECES).count() == 0
     assert token_counts.token_counts(table(spark, [row(1, None)]), PIECES).collect()[0][1:] == (0, 0, 0)
+
+
+def test_what_encoding_takes_for_a_while_is_bounded():
+    """Two megabytes of text at once took more of every worker than an executor with many partitions has."""
+    with open(BPE, "rb") as file:
+        encoder = Encoder(file.read())
+    texts = pa.array([" ".join(f"word{i % 50}" for i in range(2000))] * 300)
+    sizes = []
+    tracemalloc.start()
+    for _, some in runs(texts, packed_ids.SLICE_BYTES):
+        sizes.append(len(encoder.encode(some)[0]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(sizes) > 4 and len(set(sizes[1:-1])) <= 2
+    assert peak < 10 << 20
