@@ -131,3 +131,23 @@ def test_lists_that_meet_under_frequent_tokens_are_scored(spark, most):
     scored = linked.links.drop("other_id").join(lists, "class_id").where("object_id <> other_id")
     edges = R.overlap_edges(kb, targets).select(*key, F.round("weight", 9))
     assert {tuple(r) for r in scored.select(*key, F.round("weight", 9)).collect()} == {tuple(r) for r in edges.collect()}
+
+
+def plain_edges(spark, kb, targets):
+    """{(object, other, feature, weight)} of all pairs, without classes."""
+    edges = R.primary_relationships(kb, targets)
+    return edges.select("object_id", "other_id", "feature_type", F.round("weight", 9).alias("weight")).distinct()
+
+
+@pytest.mark.parametrize("most", [1, 6])
+def test_links_name_the_members_of_their_classes(spark, most):
+    """From the one table of links every pair follows, with its weight."""
+    kb = stored(spark.createDataFrame(random_kb(most + 10), KNOWLEDGE_BASE).coalesce(2))
+    targets = ids(spark, [f"o{i:03d}" for i in range(0, 60, 4)])
+    found = stored(C.whole_links(C.primary_links(kb, targets, most=most, score_all=True)))
+    members = found.where("object_id IS NULL").select("class_id", F.col("other_id").alias("member"))
+    links = found.where("object_id IS NOT NULL")
+    pairs = links.join(members, "class_id", "left").withColumn("other_id", F.coalesce("other_id", "member"))
+    pairs = pairs.select("object_id", "other_id", "feature_type", F.round("weight", 9)).where("object_id <> other_id")
+    assert {tuple(r) for r in pairs.collect()} == {tuple(r) for r in plain_edges(spark, kb, targets).collect()}
+    assert members.count() == members.distinct().count()
