@@ -151,3 +151,23 @@ def test_links_name_the_members_of_their_classes(spark, most):
     pairs = pairs.select("object_id", "other_id", "feature_type", F.round("weight", 9)).where("object_id <> other_id")
     assert {tuple(r) for r in pairs.collect()} == {tuple(r) for r in plain_edges(spark, kb, targets).collect()}
     assert members.count() == members.distinct().count()
+
+
+@pytest.mark.parametrize("score_all", [True, False])
+def test_records_say_who_is_in_the_classes(spark, score_all):
+    kb = stored(spark.createDataFrame(random_kb(3), KNOWLEDGE_BASE).coalesce(2))
+    names = [f"o{i:03d}" for i in range(0, 60, 4)]
+    targets = ids(spark, names)
+    edges = stored(C.whole_edges(C.primary_links(kb, targets, most=6, score_all=score_all)))
+    met, columns = {}, {f.name: f.column for f in R.FEATURES}
+    for r in R.relationship_records(kb, targets, edges, F.lit(DAY), most=7).collect():
+        for name, column in columns.items():
+            assert len(r[column] or []) <= 7
+            met.setdefault((r.object_id, name), set()).update(m.sha256 for m in r[column] or [])
+
+    def reached(one, name):
+        """Objects of a cell; a class stands for those in its own record."""
+        return {x for other in met.get((one, name), ()) for x in (reached(other, name) if other[0] != "o" else [other])}
+
+    found = {(one, other, name) for one in names for name in columns for other in reached(one, name) - {one}}
+    assert found == {tuple(r)[:3] for r in plain_edges(spark, kb, targets).collect()}
