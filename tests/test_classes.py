@@ -171,3 +171,22 @@ def test_records_say_who_is_in_the_classes(spark, score_all):
 
     found = {(one, other, name) for one in names for name in columns for other in reached(one, name) - {one}}
     assert found == {tuple(r)[:3] for r in plain_edges(spark, kb, targets).collect()}
+
+
+def test_views_of_classes_are_those_of_all_pairs(spark):
+    """Counts and scores over links to classes equal those over the pairs written out."""
+    rows = [r for r in random_kb(5) if r[3] == DAY]  # one value of each object and feature
+    rows += [("a1", "pehash", "two", DAY), ("a2", "pehash", "two", DAY), ("a3", "pehash", "two", DAY)]
+    kb = stored(spark.createDataFrame(rows, KNOWLEDGE_BASE).coalesce(2))
+    targets = ids(spark, ["a1", *[f"o{i:03d}" for i in range(0, 60, 4)]])
+    linked = C.primary_links(kb, targets, most=2, score_all=True)
+    links, plain = stored(linked.links), stored(R.primary_relationships(kb, targets))
+    edges, members = C.as_edges(links), C.linked_members(C.Linked(links, linked.members))
+
+    def views(some, *members):
+        total = R.total_weights(some).groupBy("object_id").agg(F.round(F.sum("weight"), 6))
+        numbers = R.related_numbers(R.above(some, 0.4))
+        bars = R.weight_histogram(some, 0.0, 1.0, 10, *members).select("segment", "n_edges", "n_objects")
+        return [{tuple(r) for r in df.collect()} for df in (numbers, bars, total)]
+
+    assert views(edges, members) == views(plain)
