@@ -191,6 +191,22 @@ def test_opcodes(spark, as_table):
     assert len(whole["e"]) == 9 and whole["c"] == []
 
 
+def test_opcodes_are_found_once_and_in_slices(spark, monkeypatch):
+    """A filter below the Python step made Spark take it twice, in two processes of each task."""
+    rows = [(f"o{i}", {"opcodes": ["mov", "zzz", "ret"] * (i * 40)} if i % 3 else {}) for i in range(200)]
+    meta, data = inputs(spark, "objdump", rows)
+    plans, store = [], P.stored
+
+    def stored(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df)
+
+    monkeypatch.setattr(P, "stored", stored)
+    got = by_id(P.opcode_features(meta.coalesce(1), data.coalesce(1), ["mov", "ret"], length=None))
+    assert got == {k: [1, 0, 2] * (i * 40) for i, (k, _) in enumerate(rows) if i % 3}
+    assert [plan.count("ArrowEvalPython") for plan in plans] == [1]
+
+
 def test_opcode_list():
     assert len(V.X86_OPCODES) == V.CLASSIFIER_CODES - 1
     assert len(set(V.X86_OPCODES)) == len(V.X86_OPCODES)

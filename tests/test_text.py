@@ -155,3 +155,21 @@ def test_udfs_take_bounded_memory_of_a_large_batch():
     tracemalloc.stop()
     assert found.to_pylist() == [500] * 4000
     assert peak < 40 << 20
+
+
+def test_results_of_slices_are_handed_on_one_by_one():
+    """The codes of a whole batch were held twice: in parts, and put together."""
+    pa = pytest.importorskip("pyarrow")
+    from relspark.functions.arrow_slices import in_slices
+
+    made = []
+
+    def make(some):
+        made.append(len(some))
+        return pa.array([len(x or "") for x in some.to_pylist()])
+
+    batches = [pa.array(["x" * 500] * 40 + [None]), pa.array([], pa.string()), pa.array(["y"])]
+    parts = in_slices(make, iter(batches), 5000)
+    first = next(parts)
+    assert made == [len(first)] and len(first) < 12
+    assert pa.concat_arrays([first, *parts]).to_pylist() == [500] * 40 + [0, 1]
