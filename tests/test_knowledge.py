@@ -203,6 +203,23 @@ def test_bad_results_give_null_and_are_counted(spark):
     assert (counts.n_results, counts.n_undecodable) == (6, 3) and counts.n_unparsable in (1, 2)
 
 
+def test_texts_of_a_batch_are_handed_on_as_they_come(spark):
+    """All texts of a batch of blobs were held at once, many times the size of the batch."""
+    pa = pytest.importorskip("pyarrow")
+    from relspark.functions.gzip_text import SLICE_BYTES, unpacked_texts
+
+    texts = [str(i) * 200_000 if i % 5 else None for i in range(60)]
+    blobs = [None if x is None else gzip.compress(x.encode()) for x in texts]
+    longest = max(len(x) for x in texts if x)
+    batches = [pa.array(blobs[:50], pa.binary()), pa.array([], pa.binary()), pa.array(blobs[50:], pa.binary())]
+    parts = list(unpacked_texts(iter(batches)))
+    assert [x for part in parts for x in part.to_pylist()] == texts
+    assert len(parts) > 10 and max(part.nbytes for part in parts) <= SLICE_BYTES + longest + 1000
+    rows = [(str(i), "s", blob) for i, blob in enumerate(blobs)]
+    data = spark.createDataFrame(rows, "object_id string, service_name string, results binary").coalesce(1)
+    assert {int(r.object_id): r.results for r in decode_results(data).collect()} == dict(enumerate(texts))
+
+
 def test_search_keeps_document_order(spark):
     text = '{"a": {"x": 1, "b": [{"x": 2}, {"c": {"x": 3}}]}, "x": {"x": 4}, "d": [[{"x": 5}]]}'
     df = spark.createDataFrame([(text,)], "t string")
