@@ -1,13 +1,15 @@
 import json
 
+import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from relspark.functions import vectors as V
 from relspark.operators import joins
 from relspark.operators.ranking import with_index
 from relspark.operators.vocabulary import encode_flags, encode_sequences, vocabulary
-from relspark.plans import classify
+from relspark.plans import classify, perceptron
 from relspark.plans import features as P
 
 DATA = "object_id string, service_name string, results string"
@@ -228,6 +230,14 @@ def test_small_arrays(spark):
     assert row.hex == 255.0 and row.zeros == [0.0, 0.0]
 
 
+def test_code_counts_of_odd_rows(spark):
+    """A NULL sequence has NULLs; NULL, unknown and broken codes count nowhere."""
+    rows = [(0, None), (1, []), (2, [1.0, None, 3.0, 2.5, -1.0, float("nan"), 1.0]), (3, [0.0] * 200_000 + [2.0]), (4, [2.0])]
+    df = spark.createDataFrame(rows, "id int, codes array<double>").coalesce(1)
+    got = {r.id: r.found for r in df.select("id", V.code_counts(F.col("codes"), 3).alias("found")).collect()}
+    assert got == {0: [None] * 3, 1: [0, 0, 0], 2: [0, 2, 0], 3: [200_000, 0, 1], 4: [0, 0, 1]}
+
+
 def test_training_set(spark):
     make = lambda rows, name: spark.createDataFrame(rows, f"object_id string, {name} array<double>")
     labels = make([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "label")
@@ -288,6 +298,64 @@ def test_classifier(spark, tmp_path):
     assert len(joined) == 1 + V.CLASSIFIER_CODES and joined[0] == 9.0 and joined[3] == 2.0
 
 
+def test_classifier_of_vectors_makes_no_dense_rows(spark, monkeypatch, tmp_path):
+    """Spark's perceptron kept all rows dense; its model, as loaded, still gives the predictions of the sparse form."""
+    given = []
+    fit = classify.MultilayerPerceptronClassifier.fit
+    monkeypatch.setattr(classify.MultilayerPerceptronClassifier, "fit", lambda self, rows: (given.append(rows.count()), fit(self, rows))[1])
+    rows = [(f"o{i}", [float(i % 2 == 0), float(i % 2)], [i % 2 + 1, 5 + i, 900], [3.0, 1.0, 7.0]) for i in range(40)]
+    arrays = [(o, y, [dict(zip(places, values)).get(p, 0.0) for p in range(901)]) for o, y, places, values in rows]
+    vectors = spark.createDataFrame([(o, y, Vectors.sparse(901, p, x) if i % 3 else Vectors.dense(arrays[i][2])) for i, (o, y, p, x) in enumerate(rows)], ["object_id", "label", "features"])
+    model = classify.train(vectors, width=901, classes=2, hidden=(4,))
+    assert given == [1]
+    assert classify.accuracy(classify.evaluate(model, vectors)).first().accuracy == 1.0
+    classify.save(model, path := str(tmp_path / "model"))
+    dense = spark.createDataFrame(arrays, "object_id string, label array<double>, features array<double>")
+    assert sorted(classify.predict(classify.load(path), dense).collect()) == sorted(classify.predict(model, vectors).collect())
+
+
+@pytest.mark.parametrize("most", [perceptron.DRIVER_BYTES, 0])
+def test_gradient_of_sparse_rows(spark, monkeypatch, most):
+    """That of the loss of the scaled dense rows, whole or added up in pieces, over blocks of some entries."""
+    monkeypatch.setattr(perceptron, "PIECE_BYTES", 64)
+    random = np.random.default_rng(3)
+    rows, classes = random.integers(0, 3, (30, 6)) * random.normal(size=(30, 6)), random.integers(0, 3, 30)
+    rows[:, 4] = 2.0
+    vectors = [(float(c), Vectors.sparse(6, [(j, float(v)) for j, v in enumerate(x) if v])) for c, x in zip(classes, rows)]
+    blocks = perceptron.packed(spark.createDataFrame(vectors, ["class", "vector"]))
+    layers = [6, 5, 4, 3]
+    weights, (factor, offset) = perceptron.first_weights(layers, 1), perceptron.scaling(rows.min(axis=0), rows.max(axis=0))
+
+    def loss(weights):
+        x = rows * factor + offset
+        assert x.min() == 0 and abs(x.max() - 1) < 1e-12 and (x[:, 4] == 0.5).all()
+        net = perceptron.split(weights, layers)
+        for w, b in net[:-1]:
+            x = 1 / (1 + np.exp(-(x @ w + b)))
+        z = np.exp(x @ net[-1][0] + net[-1][1])
+        return -np.log(z[np.arange(30), classes] / z.sum(axis=1)).mean()
+
+    net = perceptron.over_raw(perceptron.split(weights, layers), factor, offset)
+    got, slope = perceptron.gradient(blocks, 2, net, layers, most)
+    first, bias = perceptron.split(slope := slope.copy(), layers)[0]
+    first[:] = first * factor[:, None] + offset[:, None] * bias
+    assert got == pytest.approx(loss(weights))
+    steps = np.eye(len(weights)) * 1e-6
+    assert slope == pytest.approx([(loss(weights + s) - loss(weights - s)) / 2e-6 for s in steps], abs=1e-7)
+
+
+def test_blocks_of_sparse_rows(monkeypatch):
+    """Rows and entries of a block are bounded, but for a row of more entries; none is lost."""
+    monkeypatch.setattr(perceptron, "ROWS", 3)
+    monkeypatch.setattr(perceptron, "ENTRIES", 4)
+    lengths = np.array([0, 9, 2, 2, 1, 0, 0, 0, 0], np.int32)
+    rows = perceptron.Rows(lengths, np.arange(14, dtype=np.int32), np.arange(14.0))
+    blocks = list(rows.blocks())
+    assert [(a, b) for a, b, _ in blocks] == [(0, 1), (1, 2), (2, 4), (4, 7), (7, 9)]
+    assert [x for _, _, b in blocks for x in b.places] == list(range(14))
+    assert [x for _, _, b in blocks for x in b.lengths] == list(lengths)
+
+
 def spread_section(name, entropy, address, virt_size, size):
     """The members of a section in three places."""
     return {"header": {"section_name": name, "virt_address": address}, "stats": [{"entropy": entropy}, {"virt_size": virt_size, "size": size}]}
