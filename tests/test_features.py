@@ -412,6 +412,25 @@ def test_sparse_pe_features_take_room_by_their_own_entries(spark):
     assert by_id(P.pe_features(meta, data, min_count=0)) == full
 
 
+def test_shared_entries_take_few_bytes(spark, tmp_path, monkeypatch):
+    """Row after row, each of so many positions in turn, they took more than a byte each."""
+    monkeypatch.setattr(P, "ENTRIES_PER_TASK", 1 << 20)
+    rows = spark.range(0, 800, 1, 2).select(
+        F.format_string("doc-%d", F.col("id") % 790).alias("object_id"), F.when(F.col("id") > 5, F.col("id") % 2).alias("label"),
+        F.array(F.lit(0)).alias("indices"), F.array(F.lit(0.25)).alias("values"),
+    )
+    same = spark.range(1, 2504, 1, 1).select((F.col("id") * 3).cast("int").alias("pos"))
+    entries = P.SparseFeatures(rows, same, 8000).entries("object_id", "label")
+    entries.write.parquet(path := str(tmp_path / "entries"))
+    size = sum(f.stat().st_size for f in (tmp_path / "entries").glob("*.parquet"))
+    assert size < 0.25 * 800 * 2503
+    found = spark.read.parquet(path)
+    once = rows.select("object_id", "label")
+    expected = once.crossJoin(same).withColumn("value", F.lit(P.SAME)).union(once.select("*", F.lit(0), F.lit(0.25)))
+    sums = [d.groupBy(*d.columns).count().agg(F.count("*"), F.sum("count"), F.sum(F.xxhash64("object_id", "label", "pos", "value", "count") % 1_000_003)).first() for d in (found, expected)]
+    assert sums[0] == sums[1]
+
+
 def test_sparse_training_set_is_that_of_arrays(spark):
     labels = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("b", [1.0, 0.0])], "object_id string, label array<double>")
     rows = spark.createDataFrame([("a", [0, 2], [3.0, 1.0]), ("b", [], []), ("c", [1], [1.0])], "object_id string, indices array<int>, values array<double>")
