@@ -443,6 +443,19 @@ def test_sparse_training_set_is_that_of_arrays(spark):
     assert {(r.object_id, *r.label, r.pos, r.value) for r in got.entries("object_id", "label").collect() if r.value} == expected
 
 
+def test_training_set_lists_shared_positions_in_runs(spark):
+    """Labelled rows take turns at a position, so that files hold it once for them all."""
+    rows = spark.range(0, 600, 1, 1).select(F.format_string("doc-%d", "id").alias("object_id"), F.array(F.lit(1)).alias("indices"), F.array(F.lit(0.5)).alias("values"))
+    labels = rows.select("object_id", F.array(F.lit(1.0), F.lit(0.0)).alias("label")).where("object_id NOT LIKE '%3'")
+    codes = rows.select("object_id", F.array(F.lit(0.0), F.lit(4.0)).alias("features"))
+    first = P.SparseFeatures(rows, spark.createDataFrame([(p,) for p in range(2, 9)], "pos int"), 9)
+    found = P.sparse_training_set(labels, first, codes, last_length=5)
+    listed = [(r.object_id, r.pos, r.value) for r in found.shared_entries("object_id", "label").collect()]
+    assert sorted(listed) == sorted((f"doc-{i}", p, 0.5) for i in range(600) if i % 10 != 3 for p in range(2, 9))
+    runs = 1 + sum(a[1] != b[1] for a, b in zip(listed, listed[1:]))
+    assert runs <= 7 * 20 and found.entries("object_id", "label").count() == 540 * 9
+
+
 def test_distances_of_wide_flags_stand_in_no_plan(spark):
     """Centres as literals of the plan took the driver's memory by the width of the vocabulary."""
 
