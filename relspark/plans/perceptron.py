@@ -38,7 +38,9 @@ class Rows:
 
     @staticmethod
     def of(vectors: pa.StructArray) -> Rows:
-        """From the parts of vectors; an array of a dense one has all its positions. Zeros are left out."""
+        """From the parts of vectors, none NULL; an array of a dense one has all its positions. Zeros are left out."""
+        if vectors.null_count:
+            raise ValueError("Vectors MUST NOT be Null")
         kind, values = vectors.field("type").to_numpy(zero_copy_only=False), vectors.field("values")
         lengths = values.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         numbers, indices = values.flatten().to_numpy(zero_copy_only=False), vectors.field("indices")
@@ -144,6 +146,8 @@ def packed(rows: DataFrame) -> DataFrame:
     def pack(batches):
         for batch in batches:
             sparse = Rows.of(batch.column("vector"))
+            if not np.isfinite(sparse.values).all():
+                raise ValueError("Vector values MUST NOT be NaN or Infinity")
             classes = batch.column("class").to_numpy(zero_copy_only=False).astype(np.int32)
             for start, end, block in sparse.blocks():
                 parts = (block.lengths, block.places, block.values, classes[start:end])
@@ -249,8 +253,14 @@ def minimum(
 def fitted(
     rows: DataFrame, low: np.ndarray, high: np.ndarray, layers: list[int], max_iter: int, seed: int
 ) -> np.ndarray:
-    """Spark's array of weights, fitted to (class, vector) whose positions have the ranges `low` to `high`."""
+    """Spark's array of weights, fitted to (class, vector) whose positions have the ranges `low` to `high`.
+
+    Rows that Spark's trainer refuses fail here too: no class or one beyond the last, no vector, or numbers that are not finite.
+    """
     factor, offset = scaling(low, high)
+    refused = F.raise_error(F.lit("Labels MUST NOT be Null or NaN, and must be classes")).cast("double")
+    known = F.col("class").between(0, layers[-1] - 1)
+    rows = rows.withColumn("class", F.when(known, F.col("class")).otherwise(refused))
     with run_scope(rows.sparkSession):
         blocks = stored(packed(rows))
         tasks = min(blocks.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism)
