@@ -21,7 +21,7 @@ from relspark.sources.stored import run_scope, stored
 #: Rows and entries of a packed block; what a pass makes of one is ENTRIES x the first layer's outputs.
 ROWS, ENTRIES = 4096, 1 << 16
 #: Bytes of all tasks' gradients that may meet in the driver; more are added up by pieces in other tasks first.
-DRIVER_BYTES, PIECE_BYTES = 32 * 1024 * 1024, 1024 * 1024
+DRIVER_BYTES, PIECE_BYTES = 2 * 1024 * 1024, 1024 * 1024
 #: Steps the search remembers, and the relative change of the loss that ends it: as in Spark.
 MEMORY, TOLERANCE = 10, 1e-6
 
